@@ -76,7 +76,7 @@ def look_along_time(
 
     * every name in ``sums``: the total over all items up to and including the instant,
     * ``last``: the latest item up to and including the instant,
-    * ``next``: the earliest item after it (both STRUCT<at, item>; only where ``item`` is given).
+    * ``next``: the earliest item after it (both STRUCT<at, item>; only where ``item`` is given and not null).
 
     A count over an interval is the difference of two totals, and an as-of lookup is ``last`` or ``next``.
     Items become running values of :func:`chunked_scan`, so neither a hot key nor a long interval gathers
@@ -86,7 +86,8 @@ def look_along_time(
     values = [F.sum(v).cast("long").alias(n) for n, v in sums.items()]
     if item is not None:
         entry = F.struct(item_time.cast("long").alias("at"), item.alias("item"))
-        values += [F.min_by(entry, item_tie).alias("__lowest"), F.max_by(entry, item_tie).alias("__highest")]
+        tie = F.when(item.isNotNull(), F.col(item_tie))
+        values += [F.min_by(entry, tie).alias("__lowest"), F.max_by(entry, tie).alias("__highest")]
     # One row per key and instant, combined before the shuffle: many items at one instant cost one row.
     points = (items.filter(item_time.isNotNull()).groupBy(*keys, item_time.cast("long").alias("__t"))
               .agg(*values))

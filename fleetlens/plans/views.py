@@ -109,6 +109,10 @@ def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = lambda i: F.array(*[F.lit(k[i]) for k in MIXED_KINDS])
     command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("user_id") % len(COMMANDS) + 1).cast("int"))
     rows = (_common(rows).withColumn("category", F.element_at(table(0), which))
+            # Copies 1, 3, 5 ... only, and lines out of time order: material for the gap rules.
+            .withColumn("source_artifact_path", F.concat(
+                F.lit("var/log/syslog."), (F.col("user_id") % 8 * 2 + 1).cast("string")))
+            .withColumn("raw_line_offset", F.col("event_id") * 7919 % 1000003 * 80)
             .withColumn("subcategory", F.element_at(table(1), which))
             .withColumn("command", command)
             .withColumn("timestamp_utc", F.when(
@@ -172,7 +176,9 @@ audit3 AS (SELECT *, {_HASH_SQL} AS event_hash FROM audit2),
 audit4 AS (SELECT *, {_SHA1_SQL} AS h FROM audit3),
 audit AS (SELECT * EXCLUDE (h), {_UUID_SQL} AS event_id FROM audit4)"""
 
-MIXED_SQL = f"""mixed0 AS (SELECT {_COMMON_SQL},
+MIXED_SQL = f"""mixed0 AS (SELECT {_COMMON_SQL.replace("event_id * 80", "event_id * 7919 % 1000003 * 80")
+    .replace("'var/log/auth.log.' || CAST(user_id % 8 + 1 AS VARCHAR)",
+             "'var/log/syslog.' || CAST(user_id % 8 * 2 + 1 AS VARCHAR)")},
     {_list_sql(k[0] for k in MIXED_KINDS)}[CAST(event_id % {len(MIXED_KINDS)} + 1 AS INTEGER)] AS category,
     {_list_sql(k[1] for k in MIXED_KINDS)}[CAST(event_id % {len(MIXED_KINDS)} + 1 AS INTEGER)] AS subcategory,
     {_list_sql(COMMANDS)}[CAST(user_id % {len(COMMANDS)} + 1 AS INTEGER)] AS command FROM events),

@@ -199,12 +199,12 @@ def persistence_after_login(events: DataFrame, persistence_window: float = 120,
     """
     width = int(persistence_window * MINUTE_MICROS)
     keys = ["host_id"] if scope == "host" else []
-    logins = salted_join(
+    logins = cut_lineage(salted_join(
         events.filter((F.col("subcategory") == "successful_login") & F.col("timestamp_utc").isNotNull()
                       & F.col("source_ip").isNotNull() & not_tool_noise())
         .select(F.col("event_id").alias("login_id"), "source_ip", "host_id",
                 F.col("timestamp_utc").alias("anchor_ts"), micros(F.col("timestamp_utc")).alias("at")),
-        guessing_addresses(events, heavy_failures), ["source_ip"], "left_semi")
+        guessing_addresses(events, heavy_failures), ["source_ip"], "left_semi"))
     items = cut_lineage(events.filter(F.col("subcategory").isin(*PERSISTENCE)).select(
         *keys, "event_id", "event_hash", "subcategory", "timestamp_utc",
         F.when(F.col("timestamp_utc").isNull(), written_instant()).alias("written_ts")))
@@ -215,21 +215,18 @@ def persistence_after_login(events: DataFrame, persistence_window: float = 120,
     looked = look_along_time(
         logins, items, anchor_id="login_id", keys=keys,
         instants={"before": at - width - 1, "start": at - 1, "end": at + width},
-        item_time=micros(F.coalesce("timestamp_utc", "written_ts")), sums=measures)
+        item_time=micros(F.coalesce("timestamp_utc", "written_ts")), sums=measures,
+        item=F.col("timestamp_utc"))
     n_dated = {k: F.col(f"end.dated_{k}") - F.col(f"start.dated_{k}") for k in kinds}
     n_undated = {k: F.col(f"end.undated_{k}") - F.col(f"before.undated_{k}") for k in kinds}
     add = lambda counts: reduce(lambda a, b: a + b, counts.values())
     n_items = F.col("n_dated") + F.col("n_undated")
-    flagged = (looked.select(
+    heads = cut_lineage(looked.select(
         "login_id", "source_ip", "host_id", "anchor_ts", "at", add(n_dated).alias("n_dated"),
-        add(n_undated).alias("n_undated"),
+        add(n_undated).alias("n_undated"), F.col("end.last.item").alias("last_dated"),
         F.array_compact(F.array(*[F.when(n_dated[k] + n_undated[k] > 0, F.lit(k.replace("_", " ")))
                                   for k in kinds])).alias("kinds"))
         .filter(n_items > 0))
-    last = look_along_time(
-        flagged, items.filter(dated), anchor_id="login_id", keys=keys, instants={"end": at + width},
-        item_time=micros(F.col("timestamp_utc")), sums={"n": F.lit(1)}, item=F.col("timestamp_utc"))
-    heads = cut_lineage(last.withColumn("last_dated", F.col("end.last.item")).drop("end"))
     listed = heads.filter(n_items < INLINE_EVIDENCE).select(*keys, "login_id", "anchor_ts")
     near = within_minutes(listed, items.select(*keys, "event_id", "timestamp_utc"), persistence_window,
                           keys=keys, before=False)

@@ -54,11 +54,11 @@ def suspicious_process(events: DataFrame, suspicious_process_window: float = 60,
         F.min_by(F.struct("raw_line", "source_artifact_path"), row_order()).alias("row"),
         *[F.min(F.when(F.col("kind") == k, row_order())).alias(f"first_{k}") for k in SOURCE_LABEL],
         *[F.max((F.col("subcategory") == s).cast("int")).alias(f"has_{s}") for s in SOURCE_KIND])
-    logins = salted_join(
+    logins = cut_lineage(salted_join(
         events.filter((F.col("subcategory") == "successful_login") & F.col("source_ip").isNotNull()
                       & F.col("timestamp_utc").isNotNull())
         .select("event_id", "event_hash", "source_ip", "timestamp_utc"),
-        guessing_addresses(events, heavy_failures), ["source_ip"], "left_semi")
+        guessing_addresses(events, heavy_failures), ["source_ip"], "left_semi"))
     at = micros(F.col("timestamp_utc"))
     near = look_along_time(
         members.filter(F.col("timestamp_utc").isNotNull())
