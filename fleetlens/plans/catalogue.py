@@ -1,4 +1,4 @@
 """All named queries; importing the query modules fills the registry."""
 
-from fleetlens.plans import rule_queries  # noqa: F401
+from fleetlens.plans import relational_queries, report_queries, rule_queries  # noqa: F401
 from fleetlens.plans.registry import ORACLES, QUERIES  # noqa: F401
