@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fleetlens.functions.text import clean_utf8
-
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str) -> DataFrame:
     """(host_id, artifact_path, line_no, byte_offset, line, ...) of log files below ``root/<host>/``.
@@ -18,7 +16,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str) -> Da
     Files are split by Spark as usual, gzip is read transparently.  The offset of a line is the length of
     everything before it: a running sum inside each file split plus the total of the earlier splits of the
     file.  The running sum is thereby bounded by the split size (128 MB), however long a file is.
-    Undecodable bytes stay in ``raw`` (which ids are computed from) and are replaced in ``line``.
+    Undecodable bytes stay in ``line``, because ids are computed from them; events get them replaced.
     """
     # Only \n ends a line here; \r before it is content that counts for the offset and is cut off below.
     text = (spark.read.option("lineSep", "\n").text(paths)
@@ -43,10 +41,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str) -> Da
                 (F.unix_micros("__mtime") / 1_000_000).alias("artifact_mtime"),
                 (F.row_number().over(inside) + F.col("__first")).cast("long").alias("line_no"),
                 (F.sum("__bytes").over(inside) - F.col("__bytes") + F.col("__start")).alias("byte_offset"),
-                F.col("value").alias("raw"))
-            .withColumn("raw", F.rtrim("raw", F.lit("\r")))
-            .withColumn("line", clean_utf8(F.col("raw")))
-            .withColumn("had_decode_error", ~F.is_valid_utf8("raw")))
+                F.rtrim("value", F.lit("\r")).alias("line"),
+                (~F.is_valid_utf8("value")).alias("had_decode_error")))
 
 
 def lines_of_texts(texts: DataFrame, text_column: str = "text") -> DataFrame:
