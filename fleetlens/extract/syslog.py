@@ -87,7 +87,7 @@ def cron_log(lines: DataFrame) -> DataFrame:
         .withColumn("command", command).withColumn("why", suspicious_reasons(F.col("command")))
         .filter(F.size("why") > 0)
         .withColumn("raw_line_offset", F.col("byte_offset") + F.greatest(
-            F.locate(F.col("command"), stored) - 1, F.lit(0))))
+            F.position(F.col("command"), stored) - 1, F.lit(0))))
     derived = with_columns(
         derived, subcategory="suspicious_cron_command", actor_process="cron", severity="high",
         raw_line=F.col("command"), notes="derived_from:cron_command", actor_uid=F.lit(None).cast("long"),

@@ -45,4 +45,4 @@ def package_entries(text: Column) -> Column:
 
 def trimmed_parts(text: Column, separator: str = ",") -> Column:
     """Parts of a separated list, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")

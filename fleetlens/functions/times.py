@@ -90,9 +90,9 @@ def iso_instant(text: Column, zone: Column) -> Column:
         F.coalesce(blank_to_null(clock), F.lit("00:00:00")), F.lit(","), F.lit("."))))
     sign = F.when(offset.startswith("-"), -1).otherwise(1)
     digits = F.rpad(F.regexp_replace(offset, r"[^\d]", ""), 6, "0")
-    seconds = (F.substring(digits, 1, 2).try_cast("int") * 3600
-               + F.substring(digits, 3, 2).try_cast("int") * 60
-               + F.substring(digits, 5, 2).try_cast("int"))
+    seconds = (F.substring(digits, 1, 2).try_cast("long") * 3600
+               + F.substring(digits, 3, 2).try_cast("long") * 60
+               + F.substring(digits, 5, 2).try_cast("long"))
     shifted = F.timestamp_micros(F.unix_micros(wall) - sign * seconds * MICROS)
     value = (F.when(offset == "", to_utc(wall, zone))
              .when(offset == "Z", wall).otherwise(shifted))
