@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetlens.functions.text import bind, blank_to_null
+
 
 def unsigned_le(record: Column, start: int, width: int) -> Column:
     """Unsigned little-endian integer at byte ``start`` (from 0)."""
     # The byte order is turned on the hex text: reversing BINARY itself would go through a string.
-    digits = F.concat(*[F.hex(F.substring(record, start + i + 1, 1)) for i in reversed(range(width))])
-    return F.conv(digits, 16, 10).cast("long")
+    turned = lambda digits: F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
+    return F.conv(bind(F.hex(F.substring(record, start + 1, width)), turned), 16, 10).cast("long")
 
 
 def signed_le(record: Column, start: int, width: int = 4) -> Column:
-    value = unsigned_le(record, start, width)
-    return F.when(value >= 1 << (8 * width - 1), value - (1 << (8 * width))).otherwise(value)
+    return bind(unsigned_le(record, start, width), lambda value: F.when(
+        value >= 1 << (8 * width - 1), value - (1 << (8 * width))).otherwise(value))
 
 
 def c_string(record: Column, start: int, width: int) -> Column:
@@ -37,18 +39,24 @@ def all_zero(record: Column) -> Column:
 
 def address_text(record: Column, start: int) -> Column:
     """Sixteen address bytes to text: IPv4 when only the first four are used, IPv6 otherwise, null for none."""
-    octets = [unsigned_le(record, start + i, 1).cast("string") for i in range(4)]
-    groups = [F.ltrim(F.lower(F.hex(F.substring(record, start + 2 * i + 1, 2))), F.lit("0")) for i in range(8)]
-    full = F.concat_ws(":", *[F.when(g == "", "0").otherwise(g) for g in groups])
-    digits = F.hex(F.substring(record, start + 1, 16))
-    return (F.when(digits.rlike("^0*$"), F.lit(None).cast("string"))
-            .when(F.substring(digits, 9, 24).rlike("^0*$"), F.concat_ws(".", *octets))
-            .otherwise(compress_v6(full)))
+    def shown(digits: Column) -> Column:
+        octets = [F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10) for i in range(4)]
+        groups = [F.ltrim(F.lower(F.substring(digits, 4 * i + 1, 4)), F.lit("0")) for i in range(8)]
+        full = F.concat_ws(":", *[F.coalesce(blank_to_null(g), F.lit("0")) for g in groups])
+        return (F.when(digits.rlike("^0*$"), F.lit(None).cast("string"))
+                .when(F.substring(digits, 9, 24).rlike("^0*$"), F.concat_ws(".", *octets))
+                .otherwise(bind(full, compress_v6)))
+
+    return bind(F.hex(F.substring(record, start + 1, 16)), shown)
 
 
 def compress_v6(full: Column) -> Column:
     """Replace the longest run (two or more, the first one wins) of zero groups by ``::``."""
-    runs = [F.regexp_extract(full, rf"(?:^|:)(0(?::0){{{n - 1}}})(?=:|$)", 1) for n in range(8, 1, -1)]
-    run = F.coalesce(*[F.when(r != "", r) for r in runs])
-    pattern = F.concat(F.lit("^(.*?)(?:^|:)"), run, F.lit("(?::|$)"))
-    return F.when(run.isNull(), full).otherwise(F.regexp_replace(full, pattern, F.lit("$1::")))
+    runs = [blank_to_null(F.regexp_extract(full, rf"(?:^|:)(0(?::0){{{n - 1}}})(?=:|$)", 1))
+            for n in range(8, 1, -1)]
+
+    def cut(run: Column) -> Column:
+        pattern = F.concat(F.lit("^(.*?)(?:^|:)"), run, F.lit("(?::|$)"))
+        return F.when(run.isNull(), full).otherwise(F.regexp_replace(full, pattern, F.lit("$1::")))
+
+    return bind(F.coalesce(*runs), cut)

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from fleetlens.schema import RAW_LINE_MAX_BYTES
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 
@@ -175,8 +180,8 @@ def source_host_of(value: Column) -> Column:
 
 def key_fingerprint(blob_base64: Column) -> Column:
     """``SHA256:`` form of an SSH public key, null where the blob is not base64."""
-    strict = blob_base64.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-    blob = F.try_to_binary(F.when(strict & (blob_base64 != ""), blob_base64), F.lit("base64"))
+    strict = blob_base64.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(blob_base64) % 4 == 0)
+    blob = F.try_to_binary(F.when(strict, blob_base64), F.lit("base64"))
     digest = F.base64(F.unhex(F.sha2(blob, 256)))
     return F.concat(F.lit("SHA256:"), F.rtrim(digest, F.lit("=")))
 

@@ -1,4 +1,7 @@
 """All named queries; importing the query modules fills the registry."""
 
-from fleetlens.plans import relational_queries, report_queries, rule_queries  # noqa: F401
+from fleetlens.plans import (  # noqa: F401
+    evidence_queries, extract_queries, function_queries, relational_queries, report_queries, rule_queries,
+    stream_queries,
+)
 from fleetlens.plans.registry import ORACLES, QUERIES  # noqa: F401

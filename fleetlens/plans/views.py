@@ -89,7 +89,11 @@ def _common(rows: DataFrame) -> DataFrame:
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events")
+    return audit_rows(read_table(spark, sf_dir, "events"))
+
+
+def audit_rows(rows: DataFrame) -> DataFrame:
+    """The audit view over rows of the events table, batch or stream."""
     kind = F.col("event_type")
     pick = lambda i: F.coalesce(*[F.when(kind == t, F.lit(v[i])) for t, v in AUDIT_KINDS.items()])
     rows = (_common(rows).withColumn("category", pick(0)).withColumn("subcategory", pick(1))

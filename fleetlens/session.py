@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,19 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new path below the folder all executors share, for data written once and read back.
+
+    On one machine without such a folder it lies in a temporary one.
+    """
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the cluster's shared folder so that a lost executor costs a re-read, not a rerun.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fleetlens.functions.structured import ids_to_json
@@ -13,6 +13,7 @@ from fleetlens.schema import (
     CATEGORIES, EVENT_COLUMNS, EVENT_KINDS, RAW_LINE_MAX_BYTES, REQUIRED_TEXT, SEVERITIES,
     TIMESTAMP_CONFIDENCES, TZ_SOURCES,
 )
+from fleetlens.sources.manifests import existing_paths
 
 
 def canonical_order() -> list[Column]:
@@ -45,30 +46,25 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0))
 
 
-def append_events(events: DataFrame, path: str) -> DataFrame:
-    """Add valid, new events to the Parquet store and return counts (inserted, deduped, invalid).
+def append_events(events: DataFrame, path: str) -> dict[str, int]:
+    """Add valid, new events to the Parquet store; gives inserted, deduped and invalid counts.
 
-    The store is partitioned by host and day.  The batch is deduplicated by hash and checked against the
-    hashes already stored, read as one narrow column.
+    One pass: the counts are observed while the rows are written.  The store is partitioned by host and
+    day; a hot host-day is spread over several files.  Known hashes are read as one narrow column.
     """
     spark = events.sparkSession
-    valid, rejected = split_valid(events)
-    unique = dedupe_events(valid)
-    try:
-        stored = spark.read.parquet(path)
-        before = stored.count()
-        unique = only_new(unique, stored)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        before = 0
+    seen, kept = Observation("extracted"), Observation("kept")
+    checked = events.withColumn("errors", event_errors()).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid"))
+    unique = dedupe_events(checked.filter(F.size("errors") == 0).drop("errors"))
+    if existing_paths(spark, [path]):
+        unique = only_new(unique, spark.read.parquet(path))
+    unique = unique.observe(kept, F.count(F.lit(1)).alias("rows"))
     (unique.withColumn("event_date", F.coalesce(F.to_date("timestamp_utc").cast("string"), F.lit("undated")))
      .repartition("host_id", "event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8)))
      .write.mode("append").partitionBy("host_id", "event_date").parquet(path))
-    inserted = spark.read.parquet(path).count() - before
-    return (valid.agg(F.count(F.lit(1)).alias("valid"))
-            .select(F.lit(inserted).cast("long").alias("inserted"), (F.col("valid") - inserted).alias("deduped"))
-            .withColumn("invalid", F.lit(rejected.count()).cast("long")))
+    rows, invalid, inserted = seen.get["rows"], seen.get["invalid"], kept.get["rows"]
+    return {"inserted": inserted, "deduped": rows - invalid - inserted, "invalid": invalid}
 
 
 def read_events(spark, path: str) -> DataFrame:

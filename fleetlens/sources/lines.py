@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str) -> DataFrame:
-    """(host_id, artifact_path, line_no, byte_offset, line, ...) of log files below ``root/<host>/``.
+def scan_lines(reader, paths: str | Sequence[str]) -> DataFrame:
+    """Text lines with the file facts needed to place them; ``reader`` is spark.read or spark.readStream."""
+    # Only \n ends a line here; \r before it is content that counts for the offset and is cut off later.
+    return reader.option("lineSep", "\n").format("text").load(paths).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.col("_metadata.file_modification_time").alias("__mtime"))
 
-    Files are split by Spark as usual, gzip is read transparently.  The offset of a line is the length of
-    everything before it: a running sum inside each file split plus the total of the earlier splits of the
-    file.  The running sum is thereby bounded by the split size (128 MB), however long a file is.
-    Undecodable bytes stay in ``line``, because ids are computed from them; events get them replaced.
+
+def place_lines(text: DataFrame, root: str) -> DataFrame:
+    """Raw lines of scanned files below ``root/<host>/``.
+
+    The offset of a line is the length of everything before it: a running sum inside each file split plus
+    the total of the earlier splits of the file.  The running sum is thereby bounded by the split size
+    (128 MB), however long a file is.  Undecodable bytes stay in ``line``, because ids are computed from
+    them; events get them replaced.
     """
-    # Only \n ends a line here; \r before it is content that counts for the offset and is cut off below.
-    text = (spark.read.option("lineSep", "\n").text(paths)
-            .select("value", F.col("_metadata.file_path").alias("__file"),
-                    F.col("_metadata.file_block_start").alias("__block"),
-                    F.col("_metadata.file_modification_time").alias("__mtime"))
-            .withColumn("__seq", F.monotonically_increasing_id())
+    text = (text.withColumn("__seq", F.monotonically_increasing_id())
             .withColumn("__bytes", F.octet_length("value").cast("long") + 1))
     split = ["__file", "__block"]
     totals = text.groupBy(*split).agg(F.sum("__bytes").alias("__sum"), F.count(F.lit(1)).alias("__lines"))
@@ -31,18 +34,32 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str) -> Da
     starts = totals.select(*split, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"),
                            F.coalesce(F.sum("__lines").over(earlier), F.lit(0)).alias("__first"))
     inside = W.partitionBy(*split).orderBy("__seq")
-    base = re.escape("/" + root.strip("/").split("://")[-1].strip("/") + "/")
-    relative = F.regexp_extract("__file", base + r"([^/]+)/(.*)$", 2)
-    return (text.join(starts, split)
-            .select(
-                F.regexp_extract("__file", base + r"([^/]+)/(.*)$", 1).alias("host_id"),
-                artifact_path(relative).alias("artifact_path"),
-                F.lit("").alias("artifact_sha256"),
-                (F.unix_micros("__mtime") / 1_000_000).alias("artifact_mtime"),
-                (F.row_number().over(inside) + F.col("__first")).cast("long").alias("line_no"),
-                (F.sum("__bytes").over(inside) - F.col("__bytes") + F.col("__start")).alias("byte_offset"),
-                F.rtrim("value", F.lit("\r")).alias("line"),
-                (~F.is_valid_utf8("value")).alias("had_decode_error")))
+    below = re.escape("/" + root.strip("/").split("://")[-1].strip("/") + "/") + r"([^/]+)/(.*)$"
+    return text.join(starts, split).select(
+        F.regexp_extract("__file", below, 1).alias("host_id"),
+        artifact_path(F.regexp_extract("__file", below, 2)).alias("artifact_path"),
+        F.lit("0" * 64).alias("artifact_sha256"), (F.unix_micros("__mtime") / 1_000_000).alias("artifact_mtime"),
+        (F.row_number().over(inside) + F.col("__first")).cast("long").alias("line_no"),
+        (F.sum("__bytes").over(inside) - F.col("__bytes") + F.col("__start")).alias("byte_offset"),
+        F.rtrim("value", F.lit("\r")).alias("line"), (~F.is_valid_utf8("value")).alias("had_decode_error"))
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str,
+               manifest: DataFrame | None = None) -> DataFrame:
+    """Raw lines of log files below ``root/<host>/``; files are split as usual, gzip is read transparently.
+
+    ``manifest`` (host_id, artifact_path, sha256, mtime) gives the hash and time taken at collection;
+    without it the time of the stored file counts and the hash is a zero digest.
+    """
+    lines = place_lines(scan_lines(spark.read, paths), root)
+    if manifest is None:
+        return lines
+    facts = manifest.groupBy("host_id", "artifact_path").agg(
+        F.max("sha256").alias("__sha256"), F.max(F.col("mtime").try_cast("double")).alias("__collected"))
+    joined = lines.join(facts, ["host_id", "artifact_path"], "left")
+    return joined.withColumns({
+        "artifact_sha256": F.coalesce("__sha256", "artifact_sha256"),
+        "artifact_mtime": F.coalesce("__collected", "artifact_mtime")}).drop("__sha256", "__collected")
 
 
 def lines_of_texts(texts: DataFrame, text_column: str = "text") -> DataFrame:
