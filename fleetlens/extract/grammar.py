@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetlens.extract.base import render
-from fleetlens.functions.text import blank_to_null, unquote_identifier
+from fleetlens.functions.text import blank_to_null
 
 FIELDS = ("user", "ip", "uid", "target_user", "group", "command", "method", "failures", "home", "shell",
           "action", "target", "job")
@@ -168,43 +168,50 @@ def _overlay(rules: Sequence[GrammarRule]) -> list[GrammarRule]:
     return list(table.values())
 
 
-def applies(rule: GrammarRule, rules: Sequence[GrammarRule], distro: Column) -> Column:
+def _literal(text: str) -> str:
+    """SQL literal without escapes: raw, in the kind of quote the text does not use."""
+    quote = '"' if "'" in text else "'"
+    if quote in text:
+        raise ValueError(f"both kinds of quote in {text!r}")
+    return f"r{quote}{text}{quote}"
+
+
+def _applies(rule: GrammarRule, rules: Sequence[GrammarRule], distro: str) -> str:
     """Family rules count on their distributions, and there they hide a common rule of the same name."""
-    lower = F.lower(F.coalesce(distro, F.lit("")))
+    member = lambda family: f"lower(coalesce({distro}, '')) IN ({', '.join(map(repr, FAMILIES[family]))})"
     if rule.family:
-        return lower.isin(*FAMILIES[rule.family])
-    hiding = [r.family for r in rules if r.family and r.name == rule.name]
-    hidden = F.lit(False)
-    for family in hiding:
-        hidden = hidden | lower.isin(*FAMILIES[family])
-    return ~hidden if hiding else F.lit(True)
+        return f" AND {member(rule.family)}"
+    return "".join(f" AND NOT {member(r.family)}" for r in rules if r.family and r.name == rule.name)
 
 
-def line_matches(text: Column, distro: Column, rules: Sequence[GrammarRule] = RULES) -> Column:
-    """Array with one struct per rule found in the text: rule facts and captured fields."""
-    rules = _overlay(rules)
+_UNQUOTE = "regexp_replace({}, '(?s)^([\\'\"])(.*)\\\\1$', '$2')"
+
+
+def _entry_sql(rule: GrammarRule, rules: Sequence[GrammarRule], text: str, distro: str) -> str:
+    pattern, captured = _literal(rule.pattern), {}
+    for i, name in enumerate(rule.groups, 1):
+        value = f"regexp_extract({text}, {pattern}, {i})"
+        # An empty remote host of a PAM line is a value, not a missing one.
+        keep_empty = (rule.name, name) == ("pam_auth_failure", "ip")
+        captured[name] = value if keep_empty else f"nullif({value}, '')"
+        if name in IDENTIFIERS:
+            captured[name] = _UNQUOTE.format(captured[name])
+    facts = {"rule": rule.name, "category": rule.category, "subcategory": rule.subcategory,
+             "severity": rule.severity, "process": rule.process}
+    fields = [f"'{n}', {_literal(v)}" for n, v in facts.items()]
+    fields += [f"'{n}', {captured.get(n, 'CAST(NULL AS STRING)')}" for n in FIELDS]
+    return (f"CASE WHEN contains({text}, {_literal(rule.guard)}){_applies(rule, rules, distro)} "
+            f"AND rlike({text}, {pattern}) THEN named_struct({', '.join(fields)}) END")
 
-    def entry(rule: GrammarRule) -> Column:
-        captured = {}
-        for i, name in enumerate(rule.groups, 1):
-            value = F.regexp_extract(text, rule.pattern, i)
-            # An empty remote host of a PAM line is a value, not a missing one.
-            captured[name] = value if (rule.name, name) == ("pam_auth_failure", "ip") else blank_to_null(value)
-        fields = []
-        for name in FIELDS:
-            value = captured.get(name)
-            if value is None:
-                value = F.lit(None).cast("string")
-            elif name in IDENTIFIERS:
-                value = unquote_identifier(value)
-            fields.append(value.alias(name))
-        facts = [F.lit(v).alias(n) for n, v in (
-            ("rule", rule.name), ("category", rule.category), ("subcategory", rule.subcategory),
-            ("severity", rule.severity), ("process", rule.process))]
-        found = text.contains(rule.guard) & applies(rule, rules, distro) & text.rlike(rule.pattern)
-        return F.when(found, F.struct(*facts, *fields))
-
-    return F.array_compact(F.array(*[entry(r) for r in rules]))
+
+def line_matches(text: str, distro: str, rules: Sequence[GrammarRule] = RULES) -> Column:
+    """Array with one struct per rule found: rule facts and captured fields.
+
+    ``text`` and ``distro`` are column names.  The expression is written as SQL, as one text is much
+    quicker to hand to Spark than a thousand column calls.
+    """
+    rules = _overlay(rules)
+    return F.expr("array_compact(array(" + ", ".join(_entry_sql(r, rules, text, distro) for r in rules) + "))")
 
 
 def sentence(match: Column, cron: bool = False) -> Column:

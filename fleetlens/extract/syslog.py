@@ -41,7 +41,7 @@ def anchor_years(lines: DataFrame) -> DataFrame:
 def grammar_events(lines: DataFrame, cron: bool = False) -> DataFrame:
     """One event per grammar rule found in a line."""
     found = (lines.filter(F.trim("line") != "")
-             .withColumn("m", F.explode(line_matches(F.col("line"), F.col("distro_id")))))
+             .withColumn("m", F.explode(line_matches("line", "distro_id"))))
     timed = with_log_time(found)
     m = F.col("m")
     return dated(
@@ -131,7 +131,7 @@ def journal(lines: DataFrame) -> DataFrame:
     text = F.when(F.col("comm") != "", F.concat(
         "comm", F.lit("["), "pid", F.lit("]: "), "message")).otherwise(F.col("message"))
     notes = F.concat(F.lit("journald _COMM="), "comm", F.lit(" _PID="), "pid")
-    rows = entries.withColumn("m", F.explode_outer(line_matches(text, F.col("distro_id"))))
+    rows = entries.withColumn("text", text).withColumn("m", F.explode_outer(line_matches("text", "distro_id")))
     m, none = F.col("m"), F.col("m").isNull()
     events = dated(
         rows, F.col("instant"),
@@ -155,4 +155,4 @@ def journal(lines: DataFrame) -> DataFrame:
         description=F.format_string("Journal sequence gap detected: expected seq %d, got %d (%d missing records)",
                                     expected, F.col("seq"), gap),
         notes=F.format_string("SEQUENCE_GAP expected=%d actual=%d gap=%d", expected, F.col("seq"), gap))
-    return events.drop("m").unionByName(gaps.drop("before"), allowMissingColumns=True)
+    return events.drop("m", "text").unionByName(gaps.drop("before"), allowMissingColumns=True)

@@ -290,8 +290,8 @@ def _own_grammar(spark, sf_dir):
     made = [GrammarRule(f"shop_{kind}", kind, rf"{kind} by (\S+)", ("user",), "user_activity", kind, "info", "shop")
             for kind in ("click", "purchase")]
     line = F.concat("event_type", F.lit(" by u"), F.col("user_id").cast("string"))
-    return read_table(spark, sf_dir, "events").select(
-        "event_id", F.explode(line_matches(line, F.lit(""), made)).alias("m")).select(
+    return read_table(spark, sf_dir, "events").withColumn("line", line).select(
+        "event_id", F.explode(line_matches("line", "''", made)).alias("m")).select(
         "event_id", F.col("m.rule").alias("rule"), F.col("m.user").alias("user_name"))
 
 

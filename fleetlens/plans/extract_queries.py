@@ -109,7 +109,7 @@ def _grammar(spark, sf_dir):
     from fleetlens.extract.grammar import line_matches
     lines = auth_lines(spark, sf_dir)
     found = lines.select((F.col("byte_offset") / 1000).cast("long").alias("event_id"),
-                         F.explode(line_matches(F.col("line"), F.lit("debian"))).alias("m"))
+                         F.explode(line_matches("line", "'debian'")).alias("m"))
     return found.select("event_id", F.col("m.rule").alias("rule"))
 
 
