@@ -40,9 +40,8 @@ def anchor_years(lines: DataFrame) -> DataFrame:
 
 def grammar_events(lines: DataFrame, cron: bool = False) -> DataFrame:
     """One event per grammar rule found in a line."""
-    found = (lines.filter(F.trim("line") != "")
-             .withColumn("m", F.explode(line_matches("line", "distro_id"))))
-    timed = with_log_time(found)
+    found = lines.withColumn("matches", line_matches("line", "distro_id")).filter(F.size("matches") > 0)
+    timed = with_log_time(found).withColumn("m", F.explode("matches")).drop("matches")
     m = F.col("m")
     return dated(
         timed, F.col("instant"), F.col("confidence"), category=m["category"], subcategory=m["subcategory"],
@@ -57,12 +56,13 @@ def with_log_time(rows: DataFrame) -> DataFrame:
 
     Rows carry the ``anchor_year`` of their file, see :func:`with_years`.
     """
-    line, zone = F.col("line"), F.col("tz_name")
-    prefixed = has_syslog_prefix(line)
-    wall = syslog_wall_clock(line, F.col("artifact_mtime"), zone, F.col("anchor_year"))
-    return (rows.withColumn("instant", F.when(prefixed, to_utc(wall, zone)).otherwise(
-                iso_instant(F.substring(line, 1, 32), zone)))
-            .withColumn("confidence", F.when(prefixed, "year_inferred").otherwise("exact")))
+    zone = F.col("tz_name")
+    wall = syslog_wall_clock(F.col("line"), F.col("artifact_mtime"), zone, F.col("anchor_year"))
+    rows = rows.withColumns({"wall": wall, "prefixed": has_syslog_prefix(F.col("line"))})
+    return (rows.withColumn("instant", F.when(F.col("prefixed"), to_utc(F.col("wall"), zone)).otherwise(
+                iso_instant(F.substring("line", 1, 32), zone)))
+            .withColumn("confidence", F.when(F.col("prefixed"), "year_inferred").otherwise("exact"))
+            .drop("wall", "prefixed"))
 
 
 def with_years(lines: DataFrame) -> DataFrame:

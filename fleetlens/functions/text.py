@@ -186,6 +186,22 @@ def key_fingerprint(blob_base64: Column) -> Column:
     return F.concat(F.lit("SHA256:"), F.rtrim(digest, F.lit("=")))
 
 
+GROUP_MARK = "\x01"
+
+
+def capture_groups(text: Column, pattern: str, count: int) -> Column:
+    """All groups of a pattern that starts at ``^``, as an array with group i at place i; null for no match.
+
+    One evaluation of the pattern per row, where a ``regexp_extract`` per group costs one each.  Groups that
+    took no part are ''.
+    """
+    marked = GROUP_MARK + GROUP_MARK.join(f"${i}" for i in range(1, count + 1))
+    # Whatever follows the match is swallowed; a mark inside the text itself is made harmless first.
+    whole = pattern.removesuffix("$") + r"(?s:.*)$"
+    replaced = F.regexp_replace(F.translate(text, GROUP_MARK, "\ufffd"), whole, marked)
+    return bind(replaced, lambda r: F.when(r.startswith(GROUP_MARK), F.split(r, GROUP_MARK)))
+
+
 def any_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 

@@ -11,7 +11,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import blank_to_null
+from fleetlens.functions.text import bind, blank_to_null, capture_groups
 
 # Month names, the syslog prefix, and the slack for lines newer than the file's mtime.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -66,37 +66,49 @@ def syslog_wall_clock(line: Column, mtime_seconds: Column, zone: Column,
     """
     anchor = anchor_year if anchor_year is not None else F.lit(None).cast("int")
     mtime_local = F.from_utc_timestamp(F.timestamp_micros((mtime_seconds * MICROS).cast("long")), zone)
-    base_year = F.coalesce(anchor, F.year(mtime_local))
     upper = F.when(anchor.isNull(), mtime_local + F.expr(f"INTERVAL {MTIME_SLACK_DAYS} DAYS"))
-    part = lambda group: F.regexp_extract(line, SYSLOG_PREFIX, group)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(1)).cast("int")
-    numbers = [part(g).try_cast("int") for g in (2, 3, 4, 5)]
-    candidates = F.transform(
-        F.sequence(F.lit(0), F.lit(YEARS_TRIED - 1)),
-        lambda back: F.try_make_timestamp_ntz(base_year - back, month, *numbers))
-    usable = F.filter(
-        candidates,
-        lambda t: t.isNotNull() & F.coalesce(t.cast("timestamp") <= upper, upper.isNull()))
-    return F.when(has_syslog_prefix(line) & base_year.isNotNull(), F.try_element_at(usable, F.lit(1)))
+    months = F.array(*map(F.lit, MONTHS))
+
+    def resolve(parts: Column) -> Column:
+        month = F.array_position(months, parts[1]).cast("int")
+        numbers = F.struct(
+            F.coalesce(anchor, F.year(mtime_local)).alias("year"), month.alias("month"),
+            *[parts[i].try_cast("int").alias(n) for i, n in ((2, "day"), (3, "hour"), (4, "minute"), (5, "second"))],
+            upper.alias("upper"))
+
+        def in_year(p: Column, back: int) -> Column:
+            made = F.try_make_timestamp_ntz(
+                p["year"] - back, p["month"], p["day"], p["hour"], p["minute"], p["second"])
+            return bind(made, lambda t: F.when(p["upper"].isNull() | (t.cast("timestamp") <= p["upper"]), t))
+
+        # Nearly every line is settled by the first year; the others are only looked at after it.
+        return bind(numbers, lambda p: F.coalesce(*[in_year(p, back) for back in range(YEARS_TRIED)]))
+
+    return bind(capture_groups(line, SYSLOG_PREFIX, 5), lambda parts: F.when(parts.isNotNull(), resolve(parts)))
 
 
 def iso_instant(text: Column, zone: Column) -> Column:
     """ISO-8601 text to an instant; a text without offset is host-local.  Null where it does not parse."""
-    clean = F.trim(text)
     shape = (r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?))?"
              r"(Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?$")
-    date, clock, offset = (F.regexp_extract(clean, shape, g) for g in (1, 2, 3))
-    wall = F.try_to_timestamp(F.concat_ws(" ", date, F.replace(
-        F.coalesce(blank_to_null(clock), F.lit("00:00:00")), F.lit(","), F.lit("."))))
-    sign = F.when(offset.startswith("-"), -1).otherwise(1)
-    digits = F.rpad(F.regexp_replace(offset, r"[^\d]", ""), 6, "0")
-    seconds = (F.substring(digits, 1, 2).try_cast("long") * 3600
-               + F.substring(digits, 3, 2).try_cast("long") * 60
-               + F.substring(digits, 5, 2).try_cast("long"))
-    shifted = F.timestamp_micros(F.unix_micros(wall) - sign * seconds * MICROS)
-    value = (F.when(offset == "", to_utc(wall, zone))
-             .when(offset == "Z", wall).otherwise(shifted))
-    return F.when(clean.rlike(shape), value)
+
+    def resolve(parts: Column) -> Column:
+        clock = F.replace(F.coalesce(blank_to_null(parts[2]), F.lit("00:00:00")), F.lit(","), F.lit("."))
+        wall = F.try_to_timestamp(F.concat(parts[1], F.lit(" "), clock))
+        offset = parts[3]
+        sign = F.when(offset.startswith("-"), -1).otherwise(1)
+        digits = F.rpad(F.regexp_replace(offset, r"[^\d]", ""), 6, "0")
+        seconds = (F.substring(digits, 1, 2).try_cast("long") * 3600
+                   + F.substring(digits, 3, 2).try_cast("long") * 60
+                   + F.substring(digits, 5, 2).try_cast("long"))
+        shifted = lambda w: F.timestamp_micros(F.unix_micros(w) - sign * seconds * MICROS)
+        return bind(wall, lambda w: F.when(offset == "", to_utc(w, zone)).when(offset == "Z", w)
+                    .otherwise(shifted(w)))
+
+    # The end of the text must be the end of the match, so the test comes before the groups are taken.
+    clean = F.trim(text)
+    return bind(F.when(clean.rlike(shape), capture_groups(clean, shape, 3)),
+                lambda parts: F.when(parts.isNotNull(), resolve(parts)))
 
 
 def rpm_iso(text: Column) -> Column:

@@ -42,7 +42,9 @@ def lines_from(rows: DataFrame, path: Column | str, line: Column, number: str =
                host: Column | None = None) -> DataFrame:
     """Raw lines: one per row, in the order of ``number``."""
     who = host if host is not None else F.concat(F.lit("host-"), (F.col("user_id") % 8).cast("string"))
-    return rows.select(
+    # The given tables are single splits; the logs of a fleet come in many, so the rows are spread first.
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, number)
+    return spread.select(
         who.alias("host_id"), (F.lit(path) if isinstance(path, str) else path).alias("artifact_path"),
         F.lit("0" * 64).alias("artifact_sha256"), F.lit(FILE_MTIME).alias("artifact_mtime"),
         (F.col(number) + 1).cast("long").alias("line_no"), (F.col(number) * 1000).cast("long").alias("byte_offset"),
