@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.structured import ids_to_json
@@ -10,10 +10,11 @@ from fleetlens.functions.times import iso_text
 from fleetlens.operators.dedupe import dedupe_events, only_new
 from fleetlens.rules.base import finding_errors
 from fleetlens.schema import (
-    CATEGORIES, EVENT_COLUMNS, EVENT_KINDS, RAW_LINE_MAX_BYTES, REQUIRED_TEXT, SEVERITIES,
+    CATEGORIES, EVENT_COLUMNS, EVENT_KINDS, EVENT_SCHEMA, RAW_LINE_MAX_BYTES, REQUIRED_TEXT, SEVERITIES,
     TIMESTAMP_CONFIDENCES, TZ_SOURCES,
 )
-from fleetlens.sources.manifests import existing_paths
+from fleetlens.session import shared_folder
+from fleetlens.sources.manifests import existing_paths, remove_path
 
 
 def canonical_order() -> list[Column]:
@@ -49,22 +50,28 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_events(events: DataFrame, path: str) -> dict[str, int]:
     """Add valid, new events to the Parquet store; gives inserted, deduped and invalid counts.
 
-    One pass: the counts are observed while the rows are written.  The store is partitioned by host and
-    day; a hot host-day is spread over several files.  Known hashes are read as one narrow column.
+    Extraction is the dear part, so its result is written once to the shared folder; counts and the
+    deduplicated append read that copy.  The store is partitioned by host and day, a hot host-day is spread
+    over several files, and known hashes are read as one narrow column.
     """
     spark = events.sparkSession
-    seen, kept = Observation("extracted"), Observation("kept")
-    checked = events.withColumn("errors", event_errors()).observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid"))
-    unique = dedupe_events(checked.filter(F.size("errors") == 0).drop("errors"))
+    staged = shared_folder(spark, "batch")
+    events.withColumn("errors", event_errors()).write.parquet(staged)
+    bad = spark.read.parquet(staged).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid")).first()
+    checked = spark.read.parquet(staged).filter(F.size("errors") == 0).select(*EVENT_COLUMNS)
+    unique, before = dedupe_events(checked), 0
     if existing_paths(spark, [path]):
-        unique = only_new(unique, spark.read.parquet(path))
-    unique = unique.observe(kept, F.count(F.lit(1)).alias("rows"))
+        stored = spark.read.parquet(path)
+        # Counting Parquet rows reads file footers only.
+        before = stored.count()
+        unique = only_new(unique, stored)
     (unique.withColumn("event_date", F.coalesce(F.to_date("timestamp_utc").cast("string"), F.lit("undated")))
      .repartition("host_id", "event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8)))
      .write.mode("append").partitionBy("host_id", "event_date").parquet(path))
-    rows, invalid, inserted = seen.get["rows"], seen.get["invalid"], kept.get["rows"]
-    return {"inserted": inserted, "deduped": rows - invalid - inserted, "invalid": invalid}
+    inserted = spark.read.schema(EVENT_SCHEMA).parquet(path).count() - before
+    remove_path(spark, staged)
+    return {"inserted": inserted, "deduped": bad["rows"] - bad["invalid"] - inserted, "invalid": bad["invalid"]}
 
 
 def read_events(spark, path: str) -> DataFrame:
