@@ -52,20 +52,29 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+_stages: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder so that a lost executor costs a re-read, not a rerun.
+    """Write an intermediate table to the shared folder and go on from there.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only where that is unset (tests, one machine) and
-    no folder was set on the context either, a temporary one is made.
+    Later steps read only the columns they need, plans stay short, and a lost executor costs a re-read, not
+    a rerun.  :func:`remove_stages` deletes these tables at the end of a run.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(spark, "stage")
+    df.write.parquet(path)
+    _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; DataFrames made from them end with it."""
+    for path in _stages.pop(spark.sparkContext.applicationId, []):
+        remove_path(spark, path)
+
+
+def remove_path(spark: SparkSession, text: str) -> None:
+    """Remove a folder this library has made itself."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,8 +13,8 @@ from fleetlens.schema import (
     CATEGORIES, EVENT_COLUMNS, EVENT_KINDS, EVENT_SCHEMA, RAW_LINE_MAX_BYTES, REQUIRED_TEXT, SEVERITIES,
     TIMESTAMP_CONFIDENCES, TZ_SOURCES,
 )
-from fleetlens.session import shared_folder
-from fleetlens.sources.manifests import existing_paths, remove_path
+from fleetlens.session import remove_path, shared_folder
+from fleetlens.sources.manifests import existing_paths
 
 
 def canonical_order() -> list[Column]:

@@ -69,9 +69,3 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
         if path.getFileSystem(conf).globStatus(path):
             found.append(text)
     return found
-
-
-def remove_path(spark: SparkSession, text: str) -> None:
-    """Remove a folder this library has made itself."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
