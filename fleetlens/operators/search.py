@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # Searched columns, sortable columns, page limits, and ignored addresses.
 SEARCH_COLUMNS = ("description", "raw_line", "actor_user", "source_ip", "actor_process",
@@ -88,13 +89,39 @@ def clamp_page(limit: object = DEFAULT_LIMIT, offset: object = 0) -> tuple[int,
     return min(max(number(limit, DEFAULT_LIMIT), 1), MAX_LIMIT), max(number(offset, 0), 0)
 
 
+DEEP_OFFSET = 10_000
+
+
 def page(events: DataFrame, *, sort: str = "timestamp_utc", order: str = "asc",
-         limit: object = DEFAULT_LIMIT, offset: object = 0) -> DataFrame:
-    """One page in a total order.  Nulls come first in rising and last in falling order."""
-    column = F.col(sort if sort in SORT_COLUMNS else "timestamp_utc")
-    ordering = column.desc_nulls_last() if str(order).lower() == "desc" else column.asc_nulls_first()
+         limit: object = DEFAULT_LIMIT, offset: object = 0, deep_offset: int = DEEP_OFFSET) -> DataFrame:
+    """One page in a total order.  Nulls come first in rising and last in falling order.
+
+    A top-k keeps offset + limit rows on the driver, so beyond ``deep_offset`` the rows before the page are
+    counted by bucket instead, and only the buckets the page touches are sorted.
+    """
+    name = sort if sort in SORT_COLUMNS else "timestamp_utc"
+    falling = str(order).lower() == "desc"
+    directed = lambda c: F.col(c).desc_nulls_last() if falling else F.col(c).asc_nulls_first()
     size, skip = clamp_page(limit, offset)
-    return events.orderBy(ordering, F.col("event_hash").asc()).offset(skip).limit(size)
+    if skip > deep_offset:
+        events, skip = _page_buckets(events, name, directed, size, skip)
+    return events.orderBy(directed(name), F.col("event_hash").asc()).offset(skip).limit(size)
+
+
+def _page_buckets(events: DataFrame, name: str, directed, size: int, skip: int) -> tuple[DataFrame, int]:
+    """Rows of the buckets that hold places skip .. skip + size, and the places left to skip in them."""
+    # Buckets follow the sort order: hours of time, leading digits of ids, and values of short vocabularies.
+    bucket = {"timestamp_utc": F.date_trunc("hour", "timestamp_utc"),
+              "event_id": F.substring("event_id", 1, 5)}.get(name, F.col(name))
+    counts = events.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy(directed("__b")))
+    touched = (counts.withColumn("__upto", upto)
+               .filter((F.col("__upto") > skip) & (F.col("__upto") - F.col("__n") < skip + size)))
+    before = touched.agg(F.min(F.col("__upto") - F.col("__n")).alias("n")).first()["n"]
+    # Every touched bucket holds a row of the page: at most ``size`` of them, at most 500.
+    kept = events.withColumn("__b", bucket).join(
+        F.broadcast(touched.select(F.col("__b").alias("__t"))), F.col("__b").eqNullSafe(F.col("__t")), "left_semi")
+    return kept.drop("__b"), skip - (before if before is not None else 0)
 
 
 def search_counts(events: DataFrame, **filters) -> DataFrame:

@@ -436,6 +436,13 @@ def _page(spark, sf_dir):
     return search.page(mixed_events(spark, sf_dir), limit="100", offset="850").select("event_id", "timestamp_utc")
 
 
+@query("lim_2_deep_page", f"""WITH {MIXED_SQL} SELECT event_id, timestamp_utc FROM mixed
+ORDER BY timestamp_utc DESC NULLS LAST, event_hash LIMIT 100 OFFSET 5000""")
+def _deep_page(spark, sf_dir):
+    return search.page(mixed_events(spark, sf_dir), order="desc", limit=100, offset=5000, deep_offset=1000).select(
+        "event_id", "timestamp_utc")
+
+
 @query("lim_3_canonical_order", f"""WITH {MIXED_SQL} SELECT event_id, row_number() OVER (ORDER BY timestamp_utc
     NULLS LAST, category, event_hash) AS position FROM mixed QUALIFY position <= 300""")
 def _canonical(spark, sf_dir):

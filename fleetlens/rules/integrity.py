@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from fleetlens.functions.text import sql_quote, strip_quotes
 from fleetlens.functions.times import iso_text, micros, minute_text
@@ -101,17 +100,16 @@ def zero_length_login_log(events: DataFrame) -> DataFrame:
         host=F.col("host_id"))
 
 
-def missing_ranges(present: DataFrame, key: str, number: str) -> DataFrame:
-    """Gaps in 1..max per key as rows (key, gap_from, gap_to, highest).
+def missing_ranges(present: DataFrame, key: str, number: str, width: int = 10_000) -> DataFrame:
+    """Gaps in 1..max per key as rows (key, gap_from, gap_to).
 
     Ranges instead of single numbers: a dated name such as ``x.20240101`` would otherwise stand for twenty
     million missing copies.
     """
     distinct = present.select(key, number).distinct().filter(F.col(number) >= 1)
-    order = W.partitionBy(key).orderBy(number)
-    gaps = distinct.select(
-        key, (F.coalesce(F.lag(number).over(order), F.lit(0)) + 1).alias("gap_from"),
-        (F.col(number) - 1).alias("gap_to"), F.max(number).over(W.partitionBy(key)).alias("highest"))
+    scanned = chunked_scan(distinct, [key], F.col(number), width=width, lags={"below": F.col(number)})
+    gaps = scanned.select(key, (F.coalesce("below", F.lit(0)) + 1).alias("gap_from"),
+                          (F.col(number) - 1).alias("gap_to"))
     return gaps.filter(F.col("gap_from") <= F.col("gap_to"))
 
 
@@ -129,10 +127,12 @@ def rotation_gap(events: DataFrame) -> DataFrame:
     """A numbered sequence of log copies with holes."""
     shown = F.when(F.col("gap_from") == F.col("gap_to"), F.col("gap_from").cast("string")).otherwise(
         F.concat("gap_from", F.lit("-"), "gap_to"))
-    heads = (missing_ranges(rotation_members(events), "family", "number").groupBy("family")
+    members = cut_lineage(rotation_members(events))
+    # A family has as many gaps as numbered copies at most.
+    heads = (missing_ranges(members, "family", "number").groupBy("family")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("gap_from", shown.alias("s")))),
-                              lambda g: g["s"]).alias("gaps"),
-                  F.max("highest").alias("highest"))
+                              lambda g: g["s"]).alias("gaps"))
+             .join(members.groupBy("family").agg(F.max("number").alias("highest")), "family")
              .withColumn("event_count", F.lit(0).cast("long"))
              .withColumn("event_ids", F.array().cast("array<string>"))
              .withColumn("evidence_filter", text("startswith(source_artifact_path, ",

@@ -150,3 +150,18 @@ def test_page_puts_nulls_first_rising_and_last_falling(spark):
                                "event_id string, actor_user string, event_hash string")
     ids = lambda **kw: [r.event_id for r in search.page(df, sort="actor_user", **kw).collect()]
     assert ids() == ["x", "z", "y"] and ids(order="desc") == ["y", "z", "x"] and ids(offset=1, limit=1) == ["z"]
+
+
+def test_deep_pages_are_the_same_pages(spark):
+    rnd = random.Random(2)
+    users = [None, "a", "b", "c", "d"]
+    rows = [(f"{rnd.randrange(16**5):05x}{n}", rnd.choice(users), f"{rnd.random():.9f}",
+             None if n % 9 == 0 else f"2024-01-0{n % 3 + 1} 0{n % 7}:00:01") for n in range(300)]
+    df = spark.createDataFrame(rows, "event_id string, actor_user string, event_hash string, t string").withColumn(
+        "timestamp_utc", F.col("t").cast("timestamp")).cache()
+    for sort in ("timestamp_utc", "actor_user", "event_id"):
+        for order in ("asc", "desc"):
+            for offset in (40, 155, 290, 400):
+                ids = lambda **kw: [r.event_id for r in search.page(
+                    df, sort=sort, order=order, limit=25, offset=offset, **kw).collect()]
+                assert ids(deep_offset=0) == ids()
