@@ -50,6 +50,11 @@ COMMANDS = (
 )
 
 
+def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table over all cores: its file is one split, and the views compute two digests per row."""
+    return read_table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,7 +94,7 @@ def _common(rows: DataFrame) -> DataFrame:
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_rows(read_table(spark, sf_dir, "events"))
+    return audit_rows(spread_events(spark, sf_dir))
 
 
 def audit_rows(rows: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def audit_rows(rows: DataFrame) -> DataFrame:
 
 def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subcategory, some undated rows, and commands in description and raw line."""
-    rows = read_table(spark, sf_dir, "events")
+    rows = spread_events(spark, sf_dir)
     which = (F.col("event_id") % len(MIXED_KINDS) + 1).cast("int")
     table = lambda i: F.array(*[F.lit(k[i]) for k in MIXED_KINDS])
     command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("user_id") % len(COMMANDS) + 1).cast("int"))
