@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import fingerprints, mixing
+from fleetlens.llm import fingerprints, mixing, similarity
 from fleetlens.llm.tables import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op6_similar_documents")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 @query("op7_source_mix", r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
