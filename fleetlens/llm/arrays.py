@@ -85,10 +85,14 @@ def text_buffers(column: pa.Array, lower: bool = False, limit: int = PIECE) -> I
         row = last
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of each run of non-blank bytes, never across rows, and the first word of each row (rows + 1)."""
+#: Blanks, control characters and ASCII punctuation; what is left are digits, letters and all of UTF-8 beyond ASCII.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each run of bytes not in ``between``, never across rows, and the first word of each row (rows + 1)."""
     n = len(buf)
-    solid = ~IS_BLANK[buf]
+    solid = ~between[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n, bool)

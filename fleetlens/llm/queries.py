@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, mixing, similarity
+from fleetlens.llm import chunks, fingerprints, mixing, similarity, toxicity
 from fleetlens.llm.tables import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string")) % 4 == 2
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = documents(spark, sf_dir, "labels").filter(~held_out())
+    model = toxicity.fit_toxicity(docs, labels)
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.toxicity_score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query("op6_similar_documents")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
