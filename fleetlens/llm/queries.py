@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, mixing, similarity, toxicity
+from fleetlens.llm import chunks, fingerprints, leaks, mixing, similarity, toxicity
 from fleetlens.llm.tables import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op3_benchmark_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = leaks.find_leaks(docs, documents(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row")).join(found, "row").select(
+        "doc_id", F.col("item").alias("item_id"), "cosine", "shared", "answer")
+
+
 @query("op6_similar_documents")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
