@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, leaks, mixing, similarity, toxicity
+from fleetlens.llm import chunks, fingerprints, leaks, mixing, similarity, suffixes, toxicity
 from fleetlens.llm.tables import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("item").alias("item_id"), "cosine", "shared", "answer")
 
 
+@query("op4_repeated_bytes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_repeats(documents(spark, sf_dir))
+
+
 @query("op6_similar_documents")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
