@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, leaks, mixing, similarity, suffixes, toxicity
+from fleetlens.llm import chunks, fingerprints, leaks, mixing, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_page_texts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_text(documents(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 4 == 2
 
