@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, leaks, mixing, similarity, suffixes, templates, toxicity
+from fleetlens.llm import chunks, fingerprints, leaks, mixing, quality, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit_quality(docs, documents(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality.with_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "text_score", "meta_score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("n_bytes", F.octet_length(whole_text()).cast("long"))
