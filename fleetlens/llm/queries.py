@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, leaks, mixing, quality, similarity, suffixes, templates, toxicity
+from fleetlens.llm import chunks, fingerprints, leaks, mixing, quality, rollups, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
+from fleetlens.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +57,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_repeats(documents(spark, sf_dir))
 
 
+@query("op5_token_totals")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; then those of low quality are deleted and toxic ones revised to lose their digits; the
+    second batch is delivered twice."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    labels = documents(spark, sf_dir, "labels")
+    versions = {f"{name}@1": f"{rollups.TOKENIZER_FOLDER}/{name}.tiktoken" for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    totals = rollups.TokenTotals(spark, shared_folder(spark, "token-totals"))
+    first = docs.select("source", "lang", F.lit("insert").alias("op"), F.lit(None).cast("string").alias("before"), F.col("text").alias("after"))
+    op = F.when(F.col("quality") == 0, "delete").when(F.col("toxic") == 1, "revise")
+    second = docs.join(labels, "doc_id").select(
+        "source", "lang", op.alias("op"), F.col("text").alias("before"), F.regexp_replace("text", "[0-9]", "").alias("after")
+    ).filter("op is not null")
+    totals.commit("1-load", rollups.deltas_of(first, versions))
+    for _ in range(2):
+        totals.commit("2-clean", rollups.deltas_of(second, versions))
+    return totals.totals()
+
+
 @query("op6_similar_documents")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
