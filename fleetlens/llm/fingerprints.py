@@ -72,7 +72,7 @@ def with_next_text(docs: DataFrame, name: str, key: str = "doc_id", text: str =
     the table into chunks, a window runs in each, and the first row of a chunk is copied to the end of the chunk
     before it.  ``most_chunks`` bounds the list of cuts; beyond it chunks hold more rows, and their sort spills.
     """
-    chunk, tie, ghost, first = fresh(docs, "chunk", "tie", "ghost", "first_key")
+    chunk, tie, ghost, first, own, nth = fresh(docs, "chunk", "tie", "ghost", "first_key", "own_chunk", "nth")
     count = docs.count()
     chunks = max(1, min(most_chunks, count // chunk_rows))
     cuts: list = []
@@ -91,11 +91,11 @@ def with_next_text(docs: DataFrame, name: str, key: str = "doc_id", text: str =
                                      low + step).otherwise(low))
     rows = docs.withColumn(chunk, F.coalesce(place, F.lit(0))).withColumn(tie, F.xxhash64(text)).withColumn(ghost, F.lit(0))
     # The first row of each chunk: one key per chunk, then its row by the key.
-    heads = rows.groupBy(F.col(chunk).alias("c")).agg(F.max(key).alias(first))
+    heads = rows.groupBy(F.col(chunk).alias(own)).agg(F.max(key).alias(first))
     rank = F.row_number().over(Window.partitionBy(chunk).orderBy(tie))
     firsts = (
-        rows.join(F.broadcast(heads), (F.col(chunk) == F.col("c")) & F.col(key).eqNullSafe(F.col(first)), "inner")
-        .drop("c", first).withColumn("n", rank).filter("n = 1").drop("n")
+        rows.join(F.broadcast(heads), (F.col(chunk) == F.col(own)) & F.col(key).eqNullSafe(F.col(first)), "inner")
+        .drop(own, first).withColumn(nth, rank).filter(F.col(nth) == 1).drop(nth)
         .withColumn(chunk, F.when(F.col(chunk) == len(cuts), 0).otherwise(F.col(chunk) + 1))
         .withColumn(ghost, F.lit(1)))
     order = Window.partitionBy(chunk).orderBy(ghost, F.col(key).desc_nulls_last(), tie)

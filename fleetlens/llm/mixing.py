@@ -69,8 +69,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     give empty results.  Columns of ``docs`` named size, source_size, target or taken are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")])
-    digest, slices, slot, before, within, src, tie = fresh(
-        docs, "digest", "slices", "slot", "before", "within", "src", "tie")
+    digest, slices, slot, before, within, src, tie, epochs, own_slot, words = fresh(
+        docs, "digest", "slices", "slot", "before", "within", "src", "tie", "epochs", "own_slot", "words")
     sized = (docs.withColumn("size", F.regexp_count(whole_text(text), F.lit(WORD)).cast("long"))
              .withColumn(tie, F.xxhash64(text)))
     totals = source_sizes(sized, source)
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
             weights.select(F.col("source").alias(src), F.col("weight")), F.col("source").eqNullSafe(F.col(src)), "left"
         ).drop(src)
     targets = fill_targets(totals, max_epochs).select(
-        F.col("source").alias(src), "source_size", "target", "epochs",
+        F.col("source").alias(src), "source_size", "target", F.col("epochs").alias(epochs),
         F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n_docs") / SLICE_ROWS)))).cast("long").alias(slices))
 
     # 28 bits of the digest number the slice; 2^28 slices of 4096 documents are enough for any source.
@@ -94,18 +94,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
         .withColumn(slot, F.floor(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")
                                   * F.col(slices) / F.lit(1 << 28)).cast("long")))
     # Only slice totals meet per source, at most one per 2 048 documents or so.
-    slot_totals = joined.groupBy(F.col(source).alias(src), F.col(slot).alias("s")).agg(F.sum("size").alias("words"))
-    lead = Window.partitionBy(src).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    slot_starts = slot_totals.select(src, "s", F.coalesce(F.sum("words").over(lead), F.lit(0)).alias(before))
+    slot_totals = joined.groupBy(F.col(source).alias(src), F.col(slot).alias(own_slot)).agg(F.sum("size").alias(words))
+    lead = Window.partitionBy(src).orderBy(own_slot).rowsBetween(Window.unboundedPreceding, -1)
+    slot_starts = slot_totals.select(src, own_slot, F.coalesce(F.sum(words).over(lead), F.lit(0)).alias(before))
     inside = (Window.partitionBy(source, slot)
               .orderBy(digest, "size", tie)
               .rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.floor("epochs")
+    whole = F.floor(epochs)
     start = F.col(before) + F.coalesce(F.col(within), F.lit(0))
     rest = F.floor(F.col("target") - whole * F.col("source_size") + 0.5).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     return (
         joined.withColumn(within, F.sum("size").over(inside))
-        .join(slot_starts, F.col(source).eqNullSafe(F.col(src)) & (F.col(slot) == F.col("s")), "left")
+        .join(slot_starts, F.col(source).eqNullSafe(F.col(src)) & (F.col(slot) == F.col(own_slot)), "left")
         .withColumn("taken", (whole * F.col("size") + part).cast("long"))
         .select(*docs.columns, "size", "source_size", "target", "taken"))
