@@ -141,51 +141,54 @@ class CoTrained:
 
 
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, share: float, rounds: int = 4, per_round: int = 400,
-             confidence: float = 0.9) -> CoTrained:
+             confidence: float = 0.95, trust: float = 0.3) -> CoTrained:
     """Fit both views; ``y`` is 1, 0 or -1 (unlabelled), ``share`` the share of label 1 in the whole table.
 
-    Every fifth labelled row calibrates.  In each round a view labels the unlabelled rows it is surest of (at ``confidence`` or
-    more, ``per_round`` in the proportions of the labels) for the other view, and both are fitted anew.
+    Every fifth labelled row calibrates.  In each round a view labels the unlabelled rows it is surest of (calibrated at
+    ``confidence`` or more, ``per_round`` in the proportions of the labels) for the other view, and both are fitted anew;
+    a label so given weighs ``trust`` of a real one.
     """
     known = np.flatnonzero(y >= 0)
     check = known[4::5]
     fit = np.setdiff1d(known, check)
     pool = np.flatnonzero(y < 0)
-    labels = {"text": {int(i): float(y[i]) for i in fit}, "meta": {int(i): float(y[i]) for i in fit}}
     views = {"text": xt, "meta": xm}
-    models, exchanged = {}, []
+    given: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
+    goal = y[check].astype(float)
+    both_labels = len(check) > 0 and 0 < goal.mean() < 1
+    weight = np.where(goal > 0, share / goal.mean(), (1 - share) / (1 - goal.mean())) if both_labels else np.ones(len(check))
+    models, scales, exchanged = {}, {}, []
     for turn in range(rounds + 1):
         for name, x in views.items():
-            at = np.array(sorted(labels[name]))
-            goal = np.array([labels[name][i] for i in at])
-            balance = np.where(goal > 0.5, 0.5 / max(goal.mean(), 1e-9), 0.5 / max(1 - goal.mean(), 1e-9))
-            models[name] = Logistic().fit(x[at], goal, balance)
+            extra = np.array(sorted(given[name]), np.int64)
+            at = np.r_[fit, extra]
+            target = np.r_[y[fit].astype(float), [given[name][i] for i in extra.tolist()]]
+            real = np.r_[np.ones(len(fit)), np.full(len(extra), trust)]
+            high = (real * target).sum() / real.sum()
+            balance = real * np.where(target > 0.5, 0.5 / max(high, 1e-9), 0.5 / max(1 - high, 1e-9))
+            models[name] = Logistic().fit(x[at], target, balance)
+            scales[name] = (1.0, 0.0)
+            if both_labels:
+                platt = Logistic().fit(models[name](x[check])[:, None], goal, weight, steps=400, decay=1e-3)
+                scales[name] = (max(float(platt.weights[0]), 1e-3), platt.bias)
         if turn == rounds or not len(pool):
             break
-        given = {}
+        sure: dict[str, list] = {}
         for name, other in (("text", "meta"), ("meta", "text")):
-            open_rows = np.array([i for i in pool if int(i) not in labels[other]], np.int64)
-            p = probability(models[name](views[name][open_rows])) if len(open_rows) else np.zeros(0)
-            sure = []
-            for goal, q, n in ((1.0, p, round(per_round * share)), (0.0, 1 - p, round(per_round * (1 - share)))):
+            open_rows = np.array([i for i in pool.tolist() if i not in given[other]], np.int64)
+            a, b = scales[name]
+            p = probability(a * models[name](views[name][open_rows]) + b) if len(open_rows) else np.zeros(0)
+            sure[other] = []
+            for label, q, n in ((1.0, p, round(per_round * share)), (0.0, 1 - p, round(per_round * (1 - share)))):
                 best = np.argsort(-q, kind="stable")[: max(1, n)]
-                sure += [(int(open_rows[k]), goal) for k in best if q[k] >= confidence]
-            given[other] = sure
-        for name, sure in given.items():
-            labels[name].update(sure)
-        exchanged.append({name: len(sure) for name, sure in given.items()})
-    out = CoTrained(models["text"], models["meta"], exchanged=exchanged)
-    goal = y[check].astype(float)
-    if len(check) and 0 < goal.mean() < 1:
-        weight = np.where(goal > 0, share / goal.mean(), (1 - share) / (1 - goal.mean()))
-        logits = []
-        for name in ("text", "meta"):
-            raw = models[name](views[name][check])
-            platt = Logistic().fit(raw[:, None], goal, weight, steps=400)
-            scale = (max(float(platt.weights[0]), 1e-3), platt.bias)
-            setattr(out, f"{name}_scale", scale)
-            logits.append(raw * scale[0] + scale[1])
-        both = Logistic().fit(np.stack(logits, axis=1), goal, weight, steps=400)
+                sure[other] += [(int(open_rows[k]), label) for k in best if q[k] >= confidence]
+        for name, rows in sure.items():
+            given[name].update(rows)
+        exchanged.append({name: len(rows) for name, rows in sure.items()})
+    out = CoTrained(models["text"], models["meta"], scales["text"], scales["meta"], exchanged=exchanged)
+    if both_labels:
+        logits = [models[n](views[n][check]) * scales[n][0] + scales[n][1] for n in ("text", "meta")]
+        both = Logistic().fit(np.stack(logits, axis=1), goal, weight, steps=400, decay=1e-3)
         out.joint = (max(float(both.weights[0]), 0.0), max(float(both.weights[1]), 0.0), both.bias)
     return out
 

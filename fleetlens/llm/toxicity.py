@@ -134,7 +134,10 @@ class TextCNN:
                 error = ((p - labels[chosen]) / len(chosen)).astype(np.float32)
                 back = error[:, None] * self.top[None, :] * (pooled > 0)
                 gradient = np.zeros_like(vectors)
-                steps = [("top", self.top, pooled.T @ error)]
+                # Each batch has an empty text of label 0 too.
+                by_top = pooled.T @ error
+                by_top[-1] += 1 / (1 + np.exp(-float(self.top[-1]))) / len(chosen)
+                steps = [("top", self.top, by_top)]
                 for k, w in enumerate(WIDTHS):
                     g = back[rows, k * FILTERS: (k + 1) * FILTERS]
                     steps.append((f"b{w}", self.bias[w], g.sum(axis=0)))
@@ -158,7 +161,7 @@ class TextCNN:
                 for s in steps:
                     step(*s)
 
-    def calibrate(self, texts: pa.Array, labels: np.ndarray, weights: np.ndarray, langs: list, least_rows: int = 30) -> None:
+    def calibrate(self, texts: pa.Array, labels: np.ndarray, weights: np.ndarray, langs: list, least_rows: int = 8) -> None:
         """Platt's scale on rows the filters were not fitted on, then per language the threshold of the best F1.
 
         A language with fewer than ``least_rows`` rows of either label keeps the common threshold.
