@@ -11,7 +11,10 @@ from fleetlens.plans.views import AUDIT_SQL, MIXED_SQL, audit_events, mixed_even
 from fleetlens.rules import REGISTRY
 from fleetlens.rules.base import evidence_of, finding_errors, rule
 from fleetlens.schema import EVENT_COLUMNS
-from fleetlens.sinks.exports import content_digest, event_errors, findings_for_export, json_rows, split_valid
+from fleetlens.session import shared_folder
+from fleetlens.sinks.exports import (
+    append_events, content_digest, event_errors, findings_for_export, json_rows, read_events, split_valid,
+)
 from fleetlens.sources.manifests import hash_manifest_lines, host_contexts
 
 # --------------------------------------------------------------- sources
@@ -84,6 +87,24 @@ def _batch(spark, sf_dir):
         "event_hash", "event_id")
 
 
+@query("out_1_append_twice", f"""WITH {AUDIT_SQL}, n AS (SELECT count(DISTINCT event_hash) AS n FROM audit)
+SELECT 1 AS batch, n AS inserted, 0 AS deduped, 0 AS invalid, n AS stored FROM n
+UNION ALL SELECT 2, 0, n, 0, n FROM n""")
+def _append_twice(spark, sf_dir):
+    store, rows = shared_folder(spark, "store"), []
+    for batch in (1, 2):
+        counts = append_events(audit_events(spark, sf_dir), store)
+        rows.append((batch, counts["inserted"], counts["deduped"], counts["invalid"], read_events(spark, store).count()))
+    return spark.createDataFrame(rows, "batch int, inserted bigint, deduped bigint, invalid bigint, stored bigint")
+
+
+@query("src_11_store_read_back", f"WITH {AUDIT_SQL} SELECT event_hash, event_id, host_id, timestamp_utc, description FROM audit")
+def _read_back(spark, sf_dir):
+    store = shared_folder(spark, "store")
+    append_events(audit_events(spark, sf_dir), store)
+    return read_events(spark, store).select("event_hash", "event_id", "host_id", "timestamp_utc", "description")
+
+
 def _json_sql(column: str) -> str:
     fixed = {
         "timestamp_utc": "strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'",

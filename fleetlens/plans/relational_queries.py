@@ -8,7 +8,7 @@ from fleetlens.functions.text import sorted_text
 from fleetlens.functions.times import from_micros, micros
 from fleetlens.operators import aggregates, dedupe, search
 from fleetlens.operators.joins import look_along_time, salted_join, within_minutes
-from fleetlens.operators.windows import chunked_scan, fifo_pairs, first_per_group, stitch_runs
+from fleetlens.operators.windows import chunked_scan, fifo_pairs, first_per_group, numbered, stitch_runs
 from fleetlens.plans.registry import query
 from fleetlens.plans.views import AUDIT_SQL, MIXED_SQL, audit_events, mixed_events, read_table
 from fleetlens.reports.tables import direction
@@ -33,14 +33,14 @@ _search("prd_6_time_range", "timestamp_utc BETWEEN TIMESTAMP '2024-01-05' AND TI
 
 
 @query("prd_7_ids_of_finding", f"""WITH {MIXED_SQL},
-ids AS (SELECT event_id FROM mixed WHERE subcategory = 'uid0_account')
+ids AS (SELECT event_id FROM mixed WHERE subcategory = 'passwordless_account')
 SELECT event_id, host_id FROM mixed WHERE event_id IN (SELECT event_id FROM ids)""")
 def _ids(spark, sf_dir):
     from fleetlens.rules import REGISTRY
+    from fleetlens.rules.base import finding_events
     events = mixed_events(spark, sf_dir)
-    findings = REGISTRY["uid0_account"].findings(events.filter(F.col("subcategory") == "uid0_account"))
-    wanted = findings.select(F.explode("event_ids").alias("event_id"))
-    return events.join(wanted, "event_id", "left_semi").select("event_id", "host_id")
+    wanted = finding_events(REGISTRY["passwordless_account"].findings(events), events)
+    return events.join(wanted.select("event_id"), "event_id", "left_semi").select("event_id", "host_id")
 
 
 @query("prd_8_no_tool_noise",
@@ -444,13 +444,10 @@ def _deep_page(spark, sf_dir):
 
 
 @query("lim_3_canonical_order", f"""WITH {MIXED_SQL} SELECT event_id, row_number() OVER (ORDER BY timestamp_utc
-    NULLS LAST, category, event_hash) AS position FROM mixed QUALIFY position <= 300""")
+    NULLS LAST, category, event_hash) AS position FROM mixed""")
 def _canonical(spark, sf_dir):
     from fleetlens.sinks.exports import canonical_order
-    first = mixed_events(spark, sf_dir).orderBy(*canonical_order()).limit(300)
-    from pyspark.sql import Window as W
-    # Numbering only the 300 rows of the report page.
-    return first.select("event_id", F.row_number().over(W.orderBy(*canonical_order())).alias("position"))
+    return numbered(mixed_events(spark, sf_dir), canonical_order(), "position").select("event_id", "position")
 
 
 @query("lim_4_top_users", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
@@ -469,15 +466,14 @@ def _union(spark, sf_dir):
     return part("events", "event", "event_id").unionByName(part("documents", "document", "doc_id"))
 
 
-@query("set_2_both_differences", """WITH a AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02'),
-b AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30')
-SELECT user_id, 'left' AS side FROM a WHERE user_id NOT IN (SELECT user_id FROM b)
-UNION ALL SELECT user_id, 'right' FROM b WHERE user_id NOT IN (SELECT user_id FROM a)""")
+@query("set_2_both_differences", """WITH a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('click', 'view')),
+b AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type NOT IN ('click', 'view'))
+SELECT user_id, day, 'left' AS side FROM a ANTI JOIN b USING (user_id, day)
+UNION ALL SELECT user_id, day, 'right' FROM b ANTI JOIN a USING (user_id, day)""")
 def _differences(spark, sf_dir):
-    events = read_table(spark, sf_dir, "events")
-    early = events.filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
-    late = events.filter(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz"))
-    return dedupe.both_differences(early, late, ["user_id"])
+    events = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    looking = F.col("event_type").isin("click", "view")
+    return dedupe.both_differences(events.filter(looking), events.filter(~looking), ["user_id", "day"])
 
 
 @query("set_3_dedupe", """SELECT sha256(text) AS event_hash, min(doc_id) AS kept FROM documents GROUP BY 1""")

@@ -321,6 +321,6 @@ FROM mixed WHERE subcategory = 'privileged_group_member'""")
 def _pivot(spark, sf_dir):
     events = mixed_events(spark, sf_dir)
     findings = REGISTRY["privileged_group_member"].findings(events)
-    return (pivot_to_events(findings, events.select("event_id", "subcategory"))
+    return (pivot_to_events(findings, events, events.select("event_id", "subcategory"))
             .join(findings.select("finding_id", "title"), "finding_id")
             .select("title", "event_id", "subcategory"))

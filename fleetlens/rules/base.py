@@ -131,10 +131,28 @@ def evidence_of(events: DataFrame, evidence_filter: str) -> DataFrame:
     return events.filter(F.expr(evidence_filter))
 
 
-def pivot_to_events(findings: DataFrame, events: DataFrame) -> DataFrame:
-    """Finding to events for findings with listed ids, as (finding_id, event columns)."""
-    links = findings.select("finding_id", F.explode("event_ids").alias("event_id"))
-    return links.join(events, "event_id", "inner")
+def finding_events(findings: DataFrame, events: DataFrame, at_once: int = 100) -> DataFrame:
+    """(finding_id, event_id) of all findings, listed or not.
+
+    Listed ids are rows already.  Of the other findings, each of which stands on more than ``INLINE_EVIDENCE`` events, only
+    id and predicate come to the driver; ``at_once`` predicates at a time are put to one pass over the events.
+    """
+    links = findings.filter(F.col("event_ids").isNotNull()).select("finding_id", F.explode("event_ids").alias("event_id"))
+    long = (findings.filter(F.col("event_ids").isNull() & (F.col("event_count") > 0))
+            .select("finding_id", "evidence_filter").orderBy("finding_id").collect())
+    for start in range(0, len(long), at_once):
+        tests = [F.when(F.expr(r["evidence_filter"]), F.lit(r["finding_id"])) for r in long[start:start + at_once]]
+        links = links.unionByName(events.select(
+            F.explode(F.array_compact(F.array(*tests))).alias("finding_id"), "event_id"))
+    return links
+
+
+def pivot_to_events(findings: DataFrame, events: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
+    """Finding to events, as (finding_id, event columns), for findings of any size.
+
+    ``events`` must have the columns that evidence predicates name; ``narrow`` are the columns to return, if fewer.
+    """
+    return finding_events(findings, events).join(events if narrow is None else narrow, "event_id", "inner")
 
 
 def ranked(findings: DataFrame) -> DataFrame:

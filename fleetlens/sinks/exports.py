@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.structured import ids_to_json
 from fleetlens.functions.times import iso_text
@@ -47,36 +48,50 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0))
 
 
+#: The store as it is on disk: without a schema, folder names such as host_id=007 would be read as numbers.
+STORE_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.StringType())])
+#: Events of one host and day that go to one file.
+FILE_EVENTS = 1_000_000
+
+
 def append_events(events: DataFrame, path: str) -> dict[str, int]:
     """Add valid, new events to the Parquet store; gives inserted, deduped and invalid counts.
 
     Extraction is the dear part, so its result is written once to the shared folder; counts and the
-    deduplicated append read that copy.  The store is partitioned by host and day, a hot host-day is spread
-    over several files, and known hashes are read as one narrow column.
+    deduplicated append read that copy.  The store is partitioned by host and day; a host-day gets as many files as its
+    events fill.  An event's hash covers its host, so only the folders of the batch's hosts are asked for known hashes.
+    The inserted rows are this batch's own, whoever else writes.
     """
     spark = events.sparkSession
     staged = shared_folder(spark, "batch")
     events.withColumn("errors", event_errors()).write.parquet(staged)
-    bad = spark.read.parquet(staged).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid")).first()
-    checked = spark.read.parquet(staged).filter(F.size("errors") == 0).select(*EVENT_COLUMNS)
-    unique, before = dedupe_events(checked), 0
+    batch = spark.read.parquet(staged)
+    bad = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid")).first()
+    checked = batch.filter(F.size("errors") == 0).select(*EVENT_COLUMNS).withColumn(
+        "event_date", F.coalesce(F.to_date("timestamp_utc").cast("string"), F.lit("undated")))
+    unique = dedupe_events(checked)
     if existing_paths(spark, [path]):
-        stored = spark.read.parquet(path)
-        # Counting Parquet rows reads file footers only.
-        before = stored.count()
-        unique = only_new(unique, stored)
-    (unique.withColumn("event_date", F.coalesce(F.to_date("timestamp_utc").cast("string"), F.lit("undated")))
-     .repartition("host_id", "event_date", F.pmod(F.xxhash64("event_hash"), F.lit(8)))
-     .write.mode("append").partitionBy("host_id", "event_date").parquet(path))
-    inserted = spark.read.schema(EVENT_SCHEMA).parquet(path).count() - before
+        stored = spark.read.schema(STORE_SCHEMA).parquet(path)
+        unique = only_new(unique, stored.join(checked.select("host_id").distinct(), "host_id", "left_semi"))
+    days = checked.groupBy("host_id", "event_date").agg(F.ceil(F.count(F.lit(1)) / FILE_EVENTS).alias("__files"))
+    # New rows are settled before they are published, so that their count is that of this batch, whoever else writes.
+    settled = shared_folder(spark, "new")
+    unique.write.parquet(settled)
+    new = spark.read.schema(unique.schema).parquet(settled)
+    inserted = new.count()
+    if inserted or not existing_paths(spark, [path]):
+        (new.join(days, ["host_id", "event_date"])
+         .repartition("host_id", "event_date", F.pmod(F.xxhash64("event_hash"), F.col("__files")))
+         .select(*STORE_SCHEMA.fieldNames())
+         .write.mode("append").partitionBy("host_id", "event_date").parquet(path))
+    remove_path(spark, settled)
     remove_path(spark, staged)
     return {"inserted": inserted, "deduped": bad["rows"] - bad["invalid"] - inserted, "invalid": bad["invalid"]}
 
 
 def read_events(spark, path: str) -> DataFrame:
     """The event store; filters on host_id and event_date prune its folders."""
-    return spark.read.parquet(path).select(*EVENT_COLUMNS)
+    return spark.read.schema(STORE_SCHEMA).parquet(path).select(*EVENT_COLUMNS)
 
 
 def _export_values(events: DataFrame) -> list[Column]:
@@ -135,13 +150,19 @@ def write_findings(findings: DataFrame, path: str, case_id: str) -> None:
 
     Findings that fail validation stop the write, as they point to a broken rule.
     """
-    checked = findings.withColumn("errors", finding_errors(findings))
+    spark = findings.sparkSession
+    staged = shared_folder(spark, "findings")
+    # The rules run once: what is checked is what is published.
+    findings.withColumn("errors", finding_errors(findings)).write.parquet(staged)
+    checked = spark.read.parquet(staged)
     broken = checked.filter(F.size("errors") > 0).select("rule_name", "errors").limit(1).collect()
+    if not broken:
+        (checked.drop("errors").dropDuplicates(["finding_id"]).withColumn("case_id", F.lit(case_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("case_id").parquet(path))
+    remove_path(spark, staged)
     if broken:
         raise ValueError(f"rule {broken[0]['rule_name']} gave an invalid finding: {broken[0]['errors']}")
-    (findings.dropDuplicates(["finding_id"]).withColumn("case_id", F.lit(case_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("case_id").parquet(path))
 
 
 def findings_for_export(findings: DataFrame) -> DataFrame:

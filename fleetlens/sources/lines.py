@@ -18,6 +18,11 @@ def scan_lines(reader, paths: str | Sequence[str]) -> DataFrame:
         F.col("_metadata.file_modification_time").alias("__mtime"))
 
 
+def decoded_path(uri: Column) -> Column:
+    """The path a file has, from the URI that the scan gives: %20 and the like decoded, + kept."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def place_lines(text: DataFrame, root: str) -> DataFrame:
     """Raw lines of scanned files below ``root/<host>/``.
 
@@ -36,8 +41,8 @@ def place_lines(text: DataFrame, root: str) -> DataFrame:
     inside = W.partitionBy(*split).orderBy("__seq")
     below = re.escape("/" + root.strip("/").split("://")[-1].strip("/") + "/") + r"([^/]+)/(.*)$"
     return text.join(starts, split).select(
-        F.regexp_extract("__file", below, 1).alias("host_id"),
-        artifact_path(F.regexp_extract("__file", below, 2)).alias("artifact_path"),
+        F.regexp_extract(decoded_path(F.col("__file")), below, 1).alias("host_id"),
+        artifact_path(F.regexp_extract(decoded_path(F.col("__file")), below, 2)).alias("artifact_path"),
         F.lit("0" * 64).alias("artifact_sha256"), (F.unix_micros("__mtime") / 1_000_000).alias("artifact_mtime"),
         (F.row_number().over(inside) + F.col("__first")).cast("long").alias("line_no"),
         (F.sum("__bytes").over(inside) - F.col("__bytes") + F.col("__start")).alias("byte_offset"),

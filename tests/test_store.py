@@ -82,6 +82,44 @@ def test_evidence_to_store(spark, bundle, tmp_path):
     assert "PartitionFilters: [isnotnull(host_id" in plan
 
 
+def test_names_keep_their_types_and_characters(spark, tmp_path):
+    raw = tmp_path / "raw"
+    names = ["my app/auth.log", "100%/auth.log", "a+b#1/auth.log", "größe/auth.log"]
+    for host in ("007", "1e5"):
+        for name in names:
+            file = raw / host / "collected/files/var/log" / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(b"Jan  5 01:02:03 n1 sshd[7]: Invalid user bob from 10.0.0.1\n")
+    lines = read_lines(spark, f"{raw}/*/collected/files/var/log/*/*", str(raw))
+    want = {(h, f"var/log/{n}") for h in ("007", "1e5") for n in names}
+    assert {(r.host_id, r.artifact_path) for r in lines.collect()} == want
+    binary_files = read_binary_files(spark, str(raw), str(raw))
+    assert {(r.host_id, r.artifact_path) for r in binary_files.collect()} == want
+    events = audit_events(spark, SMALL).withColumn("host_id", F.when(F.col("host_id") == "host-1", "007").otherwise("1e5"))
+    store = str(tmp_path / "store")
+    assert exports.append_events(events, store)["inserted"] == events.select("event_hash").distinct().count()
+    assert {r.host_id for r in exports.read_events(spark, store).select("host_id").distinct().collect()} == {"007", "1e5"}
+    assert exports.append_events(events, store)["inserted"] == 0
+
+
+def test_pivot_returns_all_events_of_long_findings(spark):
+    from fleetlens.rules.base import INLINE_EVIDENCE, empty_findings, finding_events, pivot_to_events
+
+    events = audit_events(spark, SMALL).select("event_id", "host_id", "actor_user")
+    big = INLINE_EVIDENCE + 500
+    spread = spark.range(big).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("h").alias("host_id"), F.lit("u").alias("actor_user"))
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in empty_findings(spark).schema.fields}
+    rows = spark.createDataFrame(
+        [(f"f{i}", None, float(big), f"host_id = 'h' AND actor_user = 'u' AND {i} = {i}") for i in range(3)] + [("g", ["e1", "e2"], 2.0, "false")],
+        "finding_id string, event_ids array<string>, n double, evidence_filter string")
+    findings = rows.select(*[F.col(c) if c in ("finding_id", "event_ids", "evidence_filter") else
+                             F.col("n").cast("long").alias(c) if c == "event_count" else v for c, v in blank.items()])
+    both = events.unionByName(spread)
+    got = {r.finding_id: r["count"] for r in finding_events(findings, both, at_once=2).groupBy("finding_id").count().collect()}
+    assert got == {"f0": big, "f1": big, "f2": big, "g": 2}
+    assert pivot_to_events(findings, both).filter("finding_id = 'g'").count() == 2
+
+
 def test_exports_are_the_same_every_time(spark, tmp_path):
     events = audit_events(spark, SMALL)
     digest = lambda df: tuple(exports.content_digest(df).first())
