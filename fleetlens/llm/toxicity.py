@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -210,15 +212,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000, fit_b
     language = F.col(lang) if lang and lang in docs.columns else F.lit(None).cast("string")
     rows = (docs.select(F.col(key).alias("k"), whole_text(text).alias("text"), language.alias("lang"))
             .filter(F.octet_length("text") <= fit_bytes).join(F.broadcast(drawn), "k")
-            .dropDuplicates(["k"]).orderBy(F.xxhash64("k", F.lit(9)), "k").toArrow())
+            .dropDuplicates(["k"]).withColumn("place", F.xxhash64("k", F.lit(9))).select("place", F.col("k").cast("string"), "y", "lang", "text"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        sample = pa.Table.from_batches(parts) if parts else None
+        model = fitted(sample, shares, epochs)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # The bounded sample is fitted in one task, so that neither its texts nor the fit weigh on the driver.
+    found = rows.repartition(1).sortWithinPartitions("place", "k").mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fitted(None, shares, epochs)
+
+
+def fitted(sample: pa.Table | None, shares: dict[int, int], epochs: int) -> TextCNN:
+    """A model of a sample (y, lang, text); ``shares`` are the rows of each label in the whole table."""
     model = TextCNN()
-    y = rows["y"].to_numpy().astype(np.float32) if rows.num_rows else np.zeros(0, np.float32)
+    y = sample["y"].to_numpy().astype(np.float32) if sample is not None else np.zeros(0, np.float32)
     if len(set(y.tolist())) < 2:
         share = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
         model.top[:] = 0
         model.scale = (1.0, float(np.log(share / (1 - share))))
         return model
-    texts, langs = rows["text"].combine_chunks(), rows["lang"].to_pylist()
+    texts, langs = sample["text"].combine_chunks(), sample["lang"].to_pylist()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
     held = np.arange(len(y)) % 5 == 4
     fit_on, check_on = np.flatnonzero(~held), np.flatnonzero(held)
