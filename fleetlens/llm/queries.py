@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import chunks, fingerprints, leaks, mixing, quality, rollups, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
-from fleetlens.session import shared_folder
+from fleetlens.session import cut_lineage, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,18 +61,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; then those of low quality are deleted and toxic ones revised to lose their digits; the
     second batch is delivered twice."""
-    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
-    labels = documents(spark, sf_dir, "labels")
-    versions = {f"{name}@1": f"{rollups.TOKENIZER_FOLDER}/{name}.tiktoken" for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
-    totals = rollups.TokenTotals(spark, shared_folder(spark, "token-totals"))
-    first = docs.select("source", "lang", F.lit("insert").alias("op"), F.lit(None).cast("string").alias("before"), F.col("text").alias("after"))
+    digits = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", "[0-9]", ""))
+    versions = {f"{name}@1": rollups.token_count(f"{rollups.TOKENIZER_FOLDER}/{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    # Every text is counted where it is read, as it is and as it would be revised; from here on only counts move.
+    counts = cut_lineage(documents(spark, sf_dir).select("doc_id", "source", "lang", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("tokenizer"), count(whole_text()).alias("tokens"), count(digits).alias("revised"))
+        for v, count in versions.items()])).alias("c")).select("doc_id", "source", "lang", "c.*"))
+    first = counts.select(*rollups.KEYS, F.lit("insert").alias("op"), F.lit(None).cast("bigint").alias("before"), F.col("tokens").alias("after"))
     op = F.when(F.col("quality") == 0, "delete").when(F.col("toxic") == 1, "revise")
-    second = docs.join(labels, "doc_id").select(
-        "source", "lang", op.alias("op"), F.col("text").alias("before"), F.regexp_replace("text", "[0-9]", "").alias("after")
-    ).filter("op is not null")
-    totals.commit("1-load", rollups.deltas_of(first, versions))
+    second = counts.join(documents(spark, sf_dir, "labels").select("doc_id", op.alias("op")).filter("op is not null"), "doc_id").select(
+        *rollups.KEYS, "op", F.col("tokens").alias("before"), F.coalesce("revised", "tokens").alias("after"))
+    totals = rollups.TokenTotals(spark, shared_folder(spark, "token-totals"))
+    totals.commit("1-load", rollups.deltas_of_counts(first))
     for _ in range(2):
-        totals.commit("2-clean", rollups.deltas_of(second, versions))
+        totals.commit("2-clean", rollups.deltas_of_counts(second))
     return totals.totals()
 
 

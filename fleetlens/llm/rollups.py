@@ -73,6 +73,28 @@ def deltas_of(changes: DataFrame, tokenizers: Mapping[str, str], before: str = "
             .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
 
 
+def token_count(path: str):
+    """A function of a text column: its tokens by the rank file at ``path``; null for null."""
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        encode = encoding(path).encode_ordinary
+        return pa.array([None if not t.is_valid else len(encode(t.as_py())) for t in texts], pa.int64())
+
+    return count
+
+
+def deltas_of_counts(changes: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens) that changes with counts add to the totals, as :func:`deltas_of` has it of texts.
+
+    ``changes`` has op, source, lang, tokenizer and the token counts before and after (null: none), so a delete or a revision
+    needs no text, only the numbers that were counted when it came.
+    """
+    plus, minus = F.col("op").isin("insert", "revise").cast("bigint"), F.col("op").isin("delete", "revise").cast("bigint")
+    return (changes.filter(F.col("op").isin("insert", "delete", "revise")).groupBy(*KEYS).agg(
+        F.sum(plus - minus).alias("docs"),
+        F.sum(plus * F.coalesce(F.col(after), F.lit(0)) - minus * F.coalesce(F.col(before), F.lit(0))).alias("tokens")))
+
+
 class TokenTotals:
     """A folder of committed batches, each the deltas of one batch id; their sum is the totals.
 

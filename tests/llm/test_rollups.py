@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import rollups
 
@@ -55,3 +57,30 @@ def test_moving_between_sources(spark, tmp_path):
     move = spark.createDataFrame([("revise", "new", "en", "old", "one", "two words")], "op string, source string, lang string, was string, before string, after string")
     store.commit("1", rollups.deltas_of(move, VERSIONS, old_source="was"))
     assert {(s, d) for (s, _, _), (d, _) in totals(store).items()} == {("new", 1), ("old", -1)}
+
+
+def test_counts_move_as_texts_do(spark, words, tmp_path):
+    rows = [("insert", "a", "en", None, words(30, 1)), ("revise", "a", "en", words(9, 2), words(7, 3)), ("delete", None, "de", "x y", None),
+            ("insert", "b", "en", None, None), (None, "b", "en", "x", "y")]
+    texts = spark.createDataFrame([(*r, 1) for r in rows], CHANGE)
+    by_texts = rollups.TokenTotals(spark, str(tmp_path / "texts"))
+    by_counts = rollups.TokenTotals(spark, str(tmp_path / "counts"))
+    by_texts.commit("1", rollups.deltas_of(texts, VERSIONS))
+    for version, path in VERSIONS.items():
+        count = rollups.token_count(path)
+        by_counts.commit(version, rollups.deltas_of_counts(texts.select(
+            "op", "source", "lang", F.lit(version).alias("tokenizer"), count("before").alias("before"), count("after").alias("after"))))
+    assert totals(by_texts) == totals(by_counts)
+
+
+def test_query_equals_counting_what_is_left(spark, docs_of, words, tmp_path):
+    from fleetlens.llm.queries import QUERIES
+
+    texts = [words(20 + i, i) + (" 12 x9" if i % 2 else "") for i in range(20)]
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 5 > 0), int(i % 3 == 0)) for i in range(16)], "doc_id bigint, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    left = [(f"s{i % 3}", "en", re.sub("[0-9]", "", t) if i < 16 and i % 3 == 0 else t) for i, t in enumerate(texts) if i >= 16 or i % 5]
+    want = {(s, g, v + "@1"): n for (s, g, v), n in counted(left).items()}
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"])
+            for r in QUERIES["op5_token_totals"](spark, str(tmp_path)).collect()} == want
