@@ -120,11 +120,11 @@ def next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repeats there is shared by different contents.
     """
     for table, left, right in neighbours(batches):
-        mark = table.column(4).to_numpy().copy()
+        mark = table.column("mark").to_numpy().copy()
         mark[left | right] |= WHOLE
         mark[left] |= ASIDE
-        name = table.column(3).to_numpy().view(U64)
-        yield folded(name, table.column(1).to_numpy(), table.column(2).to_numpy(), name, mark, BORDER)
+        name = table.column("next_name").to_numpy().view(U64)
+        yield folded(name, table.column("row").to_numpy(), table.column("at").to_numpy(), name, mark, BORDER)
 
 
 def marked(found: int):
@@ -132,10 +132,10 @@ def marked(found: int):
     same name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, left, right in neighbours(batches):
-            mark = table.column(4).to_numpy().copy()
+            mark = table.column("mark").to_numpy().copy()
             mark[left | right] |= found
             mark &= WHOLE | BORDER
-            yield pa.record_batch([table.column(1), table.column(2), pa.array(mark)], ["row", "at", "mark"]).filter(pa.array(mark > 0))
+            yield pa.record_batch([table.column("row"), table.column("at"), pa.array(mark)], ["row", "at", "mark"]).filter(pa.array(mark > 0))
     return run
 
 
@@ -222,10 +222,10 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", length: int = 200
     placed = docs.select(F.monotonically_increasing_id().alias("row"), whole_text(text).alias("text"))
     first = by_name(placed.mapInArrow(suffix_names(length), TUPLES)).mapInArrow(next_level, TUPLES)
     flags = cut_lineage(
-        by_name(first).mapInArrow(marked(BORDER), "row bigint, at bigint, mark byte")
+        by_name(first.drop("next_name")).mapInArrow(marked(BORDER), "row bigint, at bigint, mark byte")
         .groupBy("row").agg(F.collect_list(F.col("at") * 4 + F.col("mark")).alias("flags")))
     flagged = placed.join(flags, "row").select("row", "flags", "text")
-    starts = (by_name(flagged.mapInArrow(border_names(length), TUPLES))
+    starts = (by_name(flagged.mapInArrow(border_names(length), TUPLES).drop("next_name"))
               .mapInArrow(marked(WHOLE), "row bigint, at bigint, mark byte")
               .groupBy("row").agg(F.collect_list("at").alias("starts")))
     cut = (flagged.join(starts, "row", "left").select("row", "flags", "starts", "text")
