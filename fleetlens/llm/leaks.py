@@ -20,8 +20,10 @@ RANK = 128
 #: Words of a block; a search window is a run of blocks.
 STEP = 8
 PASSAGE = 32
-#: A term in more than this share of all passages has no weight.
+#: A term in more than this share of all passages, and ten more, has no weight.
 COMMON_TERM = 0.01
+#: A window must have this share of an item's weight, whatever its cosine.
+LEAST_SHARE = 0.25
 #: Items searched at once.
 ITEMS = 512
 
@@ -110,23 +112,28 @@ def range_step(column: np.ndarray, basis: np.ndarray):
     return run
 
 
-def summed(parts: DataFrame, dtype: type, columns: list[str], folds: int = 64) -> list[np.ndarray]:
-    """Element sums of packed arrays of all rows, first in up to ``folds`` tasks and then in the driver."""
+def summed(parts: DataFrame, dtype: type, column: str) -> np.ndarray | None:
+    """Element sum of the packed arrays of all rows, or none without rows.
+
+    Rows are added up in a sixteenth as many tasks as the cluster has cores, then in eight, then in the driver: what reaches
+    it depends on neither tasks nor data.
+    """
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: list = [None] * len(columns)
+        total = None
         for batch in batches:
-            for k, column in enumerate(batch.columns):
-                for value in column:
-                    x = np.frombuffer(value.as_py(), dtype).astype(np.float64 if dtype != np.int64 else np.int64)
-                    totals[k] = x if totals[k] is None else totals[k] + x
-        if totals[0] is not None:
-            yield pa.record_batch([pa.array([t.tobytes()], pa.binary()) for t in totals], columns)
+            for value in batch.column(0):
+                x = np.frombuffer(value.as_buffer(), dtype)
+                total = x.copy() if total is None else np.add(total, x, out=total)
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], [column])
 
-    schema = ", ".join(f"{c} binary" for c in columns)
-    # Two levels: the number of rows that reach the driver depends on neither tasks nor data.
-    rows = parts.select(*columns).coalesce(folds).mapInArrow(fold, schema).collect()
-    kind = np.float64 if dtype != np.int64 else np.int64
-    return [sum(np.frombuffer(r[c], kind) for r in rows) for c in columns] if rows else []
+    rows = parts.select(column)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    for folds in (cores // 16, 8):
+        if folds >= 8:
+            rows = rows.repartition(folds).mapInArrow(fold, f"{column} binary")
+    found = [np.frombuffer(r[0], dtype) for r in rows.collect()]
+    return np.sum(found, axis=0, dtype=np.int64 if dtype == np.int64 else np.float64) if found else None
 
 
 class Latent:
@@ -151,13 +158,13 @@ def fit_latent(words: DataFrame, item_words: DataFrame, rank: int = RANK, seed:
     """
     def counts(table):
         rows = cut_lineage(table.select("words").mapInArrow(passage_frequencies, "frequencies binary, passages bigint"))
-        found = summed(rows, np.int64, ["frequencies"])
-        return found[0] if found else np.zeros(TERMS, np.int64), rows.agg(F.sum("passages")).first()[0] or 0
+        found = summed(rows, np.int64, "frequencies")
+        return np.zeros(TERMS, np.int64) if found is None else found, rows.agg(F.sum("passages")).first()[0] or 0
 
     frequencies, passages = counts(words)
     of_items, n_items = counts(item_words)
     weights = np.log((1 + passages) / (1 + frequencies)).astype(np.float32)
-    weights[frequencies > COMMON_TERM * passages] = 0
+    weights[frequencies > COMMON_TERM * passages + 10] = 0
     kept = np.flatnonzero((of_items > 0) & (weights > 0))
     column = np.full(TERMS, -1, np.int32)
     column[kept] = np.arange(len(kept)) % COLUMNS
@@ -171,9 +178,9 @@ def fit_latent(words: DataFrame, item_words: DataFrame, rank: int = RANK, seed:
         image = np.zeros((size, rank))
         for table, times in ((words, 1.0), (item_words, passages / max(1, n_items))):
             part = summed(table.select("words").mapInArrow(range_step(column, own[:, None] * basis), "part binary"),
-                          np.float32, ["part"])
-            if part and size:
-                image += times * own[:, None] * part[0].reshape(size, rank)
+                          np.float32, "part")
+            if part is not None and size:
+                image += times * own[:, None] * part.reshape(size, rank)
         if last and size:
             values, turn = np.linalg.eigh(basis.T @ image)
             vectors = basis @ turn[:, ::-1]
@@ -225,6 +232,8 @@ class Items:
         inside = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
         # With these, a window's product over its own norm is 1 for the item itself, however much the space keeps of it.
         self.vectors = vectors * (norms / inside ** 2)[:, None]
+        self.norms = norms
+        self.sets = [set(w.tolist()) for w in self.words]
 
 
 def search(items: Items, latent: Latent, cosine: float, common: float, weaker: float):
@@ -235,7 +244,8 @@ def search(items: Items, latent: Latent, cosine: float, common: float, weaker: f
         window = words[low:high]
         size = items.lengths[k]
         # A common subsequence can't be longer than the words both have; most candidates end here.
-        if np.isin(window, items.words[k]).sum() < weaker * size:
+        own = items.sets[k]
+        if sum(w in own for w in window.tolist()) < weaker * size:
             return None
         shared = int(subsequence_length(items.words[k], [window])[0])
         answer = items.answers[k]
@@ -259,11 +269,11 @@ def search(items: Items, latent: Latent, cosine: float, common: float, weaker: f
         # windows need no vector.
         tries = {}
         needed = np.zeros(n + 1, np.int32)
-        for width in groups:
+        for width, members in groups.items():
             to = np.minimum(np.arange(n) + width, last_block)
             norm = np.sqrt(np.maximum(whole[border[to]] - whole[begin], 1e-9))
             inside = np.sqrt(np.maximum(kept[border[to]] - kept[begin], 0))
-            tried = np.flatnonzero(inside >= cosine * norm)
+            tried = np.flatnonzero((inside >= cosine * norm) & (inside >= LEAST_SHARE * items.norms[members].min()))
             tries[width] = tried, to[tried], norm[tried]
             np.add.at(needed, tried, 1)
             np.add.at(needed, to[tried], -1)
@@ -273,17 +283,17 @@ def search(items: Items, latent: Latent, cosine: float, common: float, weaker: f
             own = block[known]
             heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             parts[own[heads]] = np.add.reduceat(latent.projection[at[known]], heads, axis=0)
+        sums = np.zeros((n + 1, parts.shape[1]))
+        np.cumsum(parts, axis=0, dtype=np.float64, out=sums[1:])
         best: dict[tuple[int, int], tuple] = {}
         for width, members in groups.items():
             # Windows of so many blocks from every block; at the end of a row they are shorter.
             tried, to, norm = tries[width]
             for low in range(0, len(tried), 4096):
                 part, end = tried[low: low + 4096], to[low: low + 4096]
-                vectors = np.zeros((len(part), parts.shape[1]), np.float32)
-                for k in range(width):
-                    vectors += np.where((part + k < end)[:, None], parts[np.minimum(part + k, n - 1)], 0)
-                near = vectors @ items.vectors[members].T / norm[low: low + 4096, None]
-                for b, m in zip(*np.nonzero(near >= cosine)):
+                product = (sums[end] - sums[part]).astype(np.float32) @ items.vectors[members].T
+                near = product / norm[low: low + 4096, None]
+                for b, m in zip(*np.nonzero((near >= cosine) & (product >= LEAST_SHARE * items.norms[members]))):
                     item, here = int(members[m]), int(part[b])
                     r = int(row_of[here])
                     if (r, item) in best and best[r, item][1] >= items.lengths[item]:
