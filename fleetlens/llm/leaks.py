@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.arrays import IS_MARK, U64, Spans, text_buffers, word_spans
+from fleetlens.llm.arrays import BASE, BASE_INVERSE, IS_MARK, U64, Spans, mixed, powers, text_buffers, word_spans
 from fleetlens.llm.tables import fresh, whole_text
 from fleetlens.session import cut_lineage
 
@@ -20,8 +20,8 @@ RANK = 128
 #: Words of a block; a search window is a run of blocks.
 STEP = 8
 PASSAGE = 32
-#: A term in more than this share of all passages, and ten more, has no weight.
-COMMON_TERM = 0.01
+#: Passages whose terms are counted end where two neighbouring words say so, one place in 16, or after so many words.
+LONGEST = 64
 #: A window must have this share of an item's weight, whatever its cosine.
 LEAST_SHARE = 0.25
 #: Items searched at once.
@@ -70,17 +70,84 @@ def passage_of_word(first: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     return np.repeat(begin, counts) + place // width, int(passages.sum())
 
 
+def cut_passages(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, digest) of the passages of some rows: where they end depends on their words, not on their place."""
+    n = len(words)
+    place = np.arange(n)
+    pair = words * np.uint32(0x9E3779B1)
+    pair[1:] += words[:-1] * np.uint32(0x85EBCA6B)
+    cut = pair >> np.uint32(28) == 0
+    cut[first[:-1][first[:-1] < n]] = True
+    since = place - np.maximum.accumulate(np.where(cut, place, 0))
+    begin = np.flatnonzero(cut | (since % LONGEST == 0))
+    value = mixed(words.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1)) * powers(BASE, n)[:n]
+    length = np.diff(np.r_[begin, n]).astype(U64)
+    return begin, mixed(np.add.reduceat(value, begin) * powers(BASE_INVERSE, n)[begin] + length)
+
+
+class Seen:
+    """The digests that a task has met, sorted."""
+
+    def __init__(self):
+        self.digests = np.zeros(0, U64)
+
+    def new(self, digests: np.ndarray) -> np.ndarray:
+        """Places of the first of each digest not met before, which is met now."""
+        found, at = np.unique(digests, return_index=True)
+        to = np.searchsorted(self.digests, found)
+        known = np.zeros(len(found), bool)
+        inside = to < len(self.digests)
+        known[inside] = self.digests[to[inside]] == found[inside]
+        self.digests = np.insert(self.digests, to[~known], found[~known])
+        return at[~known]
+
+
+def distinct_passages(buckets: int):
+    """A mapper of packed words to (bucket, digests, lengths, terms): each passage once per task, packed by its digest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for _, words, first in packed_words(batch.column(0)):
+                if not len(words):
+                    continue
+                begin, digest = cut_passages(words, first)
+                length = np.diff(np.r_[begin, len(words)]).astype(np.int32)
+                new = seen.new(digest)
+                if not len(new):
+                    continue
+                bucket = (digest[new] % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                new, bucket = new[order], bucket[order]
+                ends = np.cumsum(length[new])
+                at = np.repeat(begin[new] - (ends - length[new]), length[new]) + np.arange(ends[-1])
+                terms = terms_of(words)[at]
+                heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                spans = list(zip(heads, np.r_[heads[1:], len(new)]))
+                from_word = np.r_[0, ends]
+                yield pa.record_batch([
+                    pa.array(bucket[heads], pa.int32()),
+                    pa.array([digest[new[a:b]].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([length[new[a:b]].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([terms[from_word[a]: from_word[b]].tobytes() for a, b in spans], pa.binary()),
+                ], ["bucket", "digests", "lengths", "terms"])
+    return run
+
+
 def passage_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per task: in how many passages each term occurs, and how many passages there are."""
-    total, count = np.zeros(TERMS, np.int64), 0
+    """One row per task: in how many distinct passages each term occurs, and how many of them there are."""
+    total, count, seen = np.zeros(TERMS, np.int64), 0, Seen()
     for batch in batches:
-        for _, words, first in packed_words(batch.column(0)):
-            passage, n = passage_of_word(first, PASSAGE)
-            cells = np.sort(passage * TERMS + terms_of(words))
-            if len(cells):
-                cells = cells[np.r_[True, cells[1:] != cells[:-1]]]
-                total += np.bincount(cells % TERMS, minlength=TERMS)
-            count += n
+        digests, lengths, terms = (np.frombuffer(b"".join(batch.column(k).to_pylist()), t)
+                                   for k, t in ((1, U64), (2, np.int32), (3, np.int32)))
+        first = np.zeros(len(digests), bool)
+        first[seen.new(digests)] = True
+        passage = np.repeat(np.arange(len(digests)), lengths)
+        own = first[passage]
+        cells = np.sort(passage[own] * TERMS + terms[own])
+        if len(cells):
+            cells = cells[np.r_[True, cells[1:] != cells[:-1]]]
+            total += np.bincount(cells % TERMS, minlength=TERMS)
+        count += int(first.sum())
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([count], pa.int64())], ["frequencies", "passages"])
 
 
@@ -150,22 +217,28 @@ class Latent:
 def fit_latent(words: DataFrame, item_words: DataFrame, rank: int = RANK, seed: int = 3) -> Latent:
     """The latent space of two packed word tables, documents and items.
 
-    Terms are weighted by their inverse frequency over all passages of 32 words of all documents.  The TF-IDF matrix
+    Terms are weighted by their inverse frequency over the distinct passages of all documents: what is copied, at any
+    place of a text, counts once, and no term is without weight.  Passages here end by their content; those of the matrix
+    have 32 words.  The TF-IDF matrix
     has a row per passage and a column per term of the items, whose own rows are weighted up until they count as much as
     all passages.  Its right singular vectors come from a randomised SVD: one pass over both tables samples the range of
     A'A with a Gaussian matrix, a second restricts A'A to it, both as sums over tasks of matrices of fixed size; the
     driver orthogonalises and decomposes them.
     """
+    # More buckets than tasks, so that these are of like size.
+    buckets = 8 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def counts(table):
-        rows = cut_lineage(table.select("words").mapInArrow(passage_frequencies, "frequencies binary, passages bigint"))
+        dealt = table.select("words").mapInArrow(
+            distinct_passages(buckets), "bucket int, digests binary, lengths binary, terms binary").repartition("bucket")
+        rows = cut_lineage(dealt.mapInArrow(passage_frequencies, "frequencies binary, passages bigint"))
         found = summed(rows, np.int64, "frequencies")
         return np.zeros(TERMS, np.int64) if found is None else found, rows.agg(F.sum("passages")).first()[0] or 0
 
     frequencies, passages = counts(words)
     of_items, n_items = counts(item_words)
-    weights = np.log((1 + passages) / (1 + frequencies)).astype(np.float32)
-    weights[frequencies > COMMON_TERM * passages + 10] = 0
-    kept = np.flatnonzero((of_items > 0) & (weights > 0))
+    weights = np.log(1 + (1 + passages) / (1 + frequencies)).astype(np.float32)
+    kept = np.flatnonzero(of_items > 0)
     column = np.full(TERMS, -1, np.int32)
     column[kept] = np.arange(len(kept)) % COLUMNS
     size = min(len(kept), COLUMNS)

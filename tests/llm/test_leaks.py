@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from fleetlens.llm import leaks
 
@@ -52,3 +53,32 @@ def test_empty_tables(spark, docs_of, words, stored):
     one = spark.createDataFrame([(1, words(50, 1))], "item_id bigint, text string")
     assert [r["leaked_items"] for r in leaks.with_leaks(docs, none).collect()] == [[]]
     assert leaks.with_leaks(stored(docs.limit(0), "e"), one).count() == 0
+
+
+def test_items_of_documents_that_are_a_third_of_all_rows(spark, docs_of, words, stored):
+    item, other = words(30, 900, 5000), words(24, 901, 5000)
+    copied = f"{words(40, 902, 5000)} {item} {words(45, 903, 5000)}"
+    texts = [words(120, i, 5000) for i in range(120)]
+    want = set()
+    for i in range(0, 60):
+        # Copies, each behind a beginning of its own length; another item in surroundings of its own.
+        texts[i] = f"{words(i % 7, 300 + i, 5000)} {copied}".strip() if i % 3 else f"{words(50, 400 + i, 5000)} {other} {words(45, 500 + i, 5000)}"
+        want.add((i, 0 if i % 3 else 1))
+    docs = stored(docs_of(texts))
+    benchmark = spark.createDataFrame([(0, item), (1, other)], "item_id bigint, text string")
+    assert {(r["doc_id"], i) for r in leaks.with_leaks(docs, benchmark).collect() for i in r["leaked_items"]} == want
+
+
+def test_passages_count_once_wherever_they_stand(spark, docs_of, words, stored):
+    text = words(400, 5, 5000)
+    def counted(texts):
+        batch, = leaks.as_words([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])])
+        parts = list(leaks.distinct_passages(1)([batch.select([1])]))
+        row, = leaks.passage_frequencies(parts)
+        return np.frombuffer(row.column(0)[0].as_py(), np.int64), row.column(1)[0].as_py()
+    once, n = counted([text])
+    many, m = counted([text] * 50 + [f"{words(k, 600 + k, 5000)} {text}" for k in range(1, 9)])
+    assert m <= n + 8 * 3 and once.max() <= many.max() <= once.max() + 8
+    assert (many[once > 0] - once[once > 0] > 0).mean() < 0.3
+    same, k = counted(["la " * 5000])
+    assert k <= 2 and same.sum() <= 2
