@@ -47,6 +47,9 @@ class Rule:
 
 REGISTRY: dict[str, Rule] = {}
 
+#: Rules whose findings list a sample: (findings, events) to the (finding_id, event_id) of all their events.
+EVIDENCE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
 
 def rule(name: str, version: str = "1.0", **params):
     """Register a function as a rule; keyword values are its thresholds."""
@@ -134,11 +137,15 @@ def evidence_of(events: DataFrame, evidence_filter: str) -> DataFrame:
 def finding_events(findings: DataFrame, events: DataFrame, at_once: int = 100) -> DataFrame:
     """(finding_id, event_id) of all findings, listed or not.
 
-    Listed ids are rows already.  Of the other findings, each of which stands on more than ``INLINE_EVIDENCE`` events, only
+    Listed ids are rows already, and rules that list a sample find the rest by a join.  Of the other findings, each of which stands on more than ``INLINE_EVIDENCE`` events, only
     id and predicate come to the driver; ``at_once`` predicates at a time are put to one pass over the events.
     """
-    links = findings.filter(F.col("event_ids").isNotNull()).select("finding_id", F.explode("event_ids").alias("event_id"))
-    long = (findings.filter(F.col("event_ids").isNull() & (F.col("event_count") > 0))
+    by_join = F.coalesce(F.col("rule_name").isin(*EVIDENCE), F.lit(False))
+    links = (findings.filter(F.col("event_ids").isNotNull() & ~by_join)
+             .select("finding_id", F.explode("event_ids").alias("event_id")))
+    for name, all_events in EVIDENCE.items():
+        links = links.unionByName(all_events(findings.filter(F.col("rule_name") == name), events))
+    long = (findings.filter(F.col("event_ids").isNull() & (F.col("event_count") > 0) & ~by_join)
             .select("finding_id", "evidence_filter").orderBy("finding_id").collect())
     for start in range(0, len(long), at_once):
         tests = [F.when(F.expr(r["evidence_filter"]), F.lit(r["finding_id"])) for r in long[start:start + at_once]]

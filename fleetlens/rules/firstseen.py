@@ -10,7 +10,7 @@ from fleetlens.functions.times import from_micros, iso_text, micros, minute_text
 from fleetlens.operators.joins import salted_join, with_scalar
 from fleetlens.operators.search import not_tool_noise
 from fleetlens.operators.windows import first_n_per_group
-from fleetlens.rules.base import finish, rule, text
+from fleetlens.rules.base import EVIDENCE, finish, rule, text
 
 # Looked-at columns with their label, sample size and smallest case.
 FIELDS = (("source_ip", "address"), ("actor_user", "username"))
@@ -18,6 +18,10 @@ SAMPLE = 25
 MIN_EVENTS = 50
 
 
+def title_start(label: str) -> str:
+    return f"First appearance of {label} "
+
+
 def late_values(events: DataFrame, column: str, late_fraction: float, min_events: int) -> DataFrame:
     """Values whose first event lies in the late part of the covered period."""
     at = micros(F.col("timestamp_utc"))
@@ -52,7 +56,7 @@ def first_seen(events: DataFrame, late_fraction: float = 0.5, min_events: int =
         value, first = F.col("value"), from_micros(F.col("first_us"))
         parts.append(finish(
             heads, "first_seen", "1.0", "low",
-            title=text(f"First appearance of {label} ", value),
+            title=text(title_start(label), value),
             what=text(f"The {label} ", value, " shows up for the first time on ", minute_text(first),
                       " and ", F.col("n"), " time(s) in all."),
             why=text("The records start at ", minute_text(from_micros(F.col("lo"))),
@@ -64,3 +68,24 @@ def first_seen(events: DataFrame, late_fraction: float = 0.5, min_events: int =
                         iso_text(from_micros(F.col("threshold")))),
             host=F.col("host"), first=first, last=from_micros(F.col("last_us"))))
     return parts[0].unionByName(parts[1])
+
+
+def first_seen_events(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """(finding_id, event_id) of all dated events of each finding's value, of which the finding lists the earliest."""
+    parts = []
+    for column, label in FIELDS:
+        start = title_start(label)
+        heads = findings.filter(F.col("title").startswith(start)).select(
+            "finding_id", F.expr(f"substr(title, {len(start) + 1})").alias("value")).distinct()
+        if not {column, "timestamp_utc"} <= set(events.columns):
+            # Fails only if there is such a finding.
+            parts.append(heads.select("finding_id", F.raise_error(F.lit(
+                f"events without {column} or timestamp_utc")).cast("string").alias("event_id")))
+            continue
+        rows = events.filter(F.col(column).isNotNull() & F.col("timestamp_utc").isNotNull()).select(
+            F.col(column).alias("value"), "event_id")
+        parts.append(salted_join(rows, heads, ["value"]).select("finding_id", "event_id"))
+    return parts[0].unionByName(parts[1])
+
+
+EVIDENCE["first_seen"] = first_seen_events

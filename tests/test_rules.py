@@ -161,6 +161,20 @@ def test_first_seen(table):
     assert found(table(*old[:20], *new[:20]), "first_seen") == []
 
 
+def test_pivot_of_first_seen_gives_all_events(table):
+    new = START + timedelta(hours=50)
+    events = table(
+        *[dict(timestamp_utc=START + timedelta(hours=i), source_ip="192.0.2.1", actor_user="ann") for i in range(60)],
+        *[dict(timestamp_utc=new + timedelta(minutes=i), source_ip="192.0.2.9", actor_user="it's new") for i in range(40)],
+        *[dict(timestamp_utc=None, source_ip="192.0.2.9", actor_user="it's new") for i in range(3)])
+    findings = REGISTRY["first_seen"].findings(events).cache()
+    pivot = base.finding_events(findings, events).cache()
+    for r in findings.collect():
+        want = sorted(e.event_id for e in evidence_of(events, r.evidence_filter).collect())
+        assert sorted(e.event_id for e in pivot.filter(F.col("finding_id") == r.finding_id).collect()) == want and len(want) == 40
+    assert findings.count() == 2 and pivot.count() == 80
+
+
 def test_state_rules(table):
     s = lambda sub, **kw: dict(subcategory=sub, event_kind="state_finding", **kw)
     events = table(
