@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chunks, fingerprints, leaks, mixing, quality, rollups, similarity, suffixes, templates, toxicity
+from fleetlens.llm import alignment, chunks, fingerprints, leaks, mixing, quality, rollups, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
 from fleetlens.session import cut_lineage, shared_folder
 
@@ -144,3 +144,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text("own").alias("fingerprint"), fingerprints.as_text("changed").alias("edited_fingerprint"),
         fingerprints.jaccard("own", "changed").alias("near_edited"),
         fingerprints.jaccard("own", "following").alias("near_next"))
+
+
+@query("op11_token_links")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.Alignment(documents(spark, sf_dir), f"{rollups.TOKENIZER_FOLDER}/byte_bpe_50k.json",
+                               f"{rollups.TOKENIZER_FOLDER}/piece_bpe_32k.model").documents
