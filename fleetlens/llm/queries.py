@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import alignment, chunks, fingerprints, leaks, mixing, quality, rollups, similarity, suffixes, templates, toxicity
+from fleetlens.llm import alignment, chunks, fingerprints, leaks, mixing, negatives, quality, rollups, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
 from fleetlens.session import cut_lineage, shared_folder
 
@@ -150,3 +150,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.Alignment(documents(spark, sf_dir), f"{rollups.TOKENIZER_FOLDER}/byte_bpe_50k.json",
                                f"{rollups.TOKENIZER_FOLDER}/piece_bpe_32k.model").documents
+
+
+@query("op12_hard_negatives", """
+with valid as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as anchor_label, c.vec_id as other, c.label,
+         list_inner_product(a.v::double[], c.v::double[])::bigint as score
+  from valid a, valid c where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, anchor_label, other as positive_id, score as positive_score from scored
+  where label = anchor_label and other <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, row_number() over w::int as rank, s.other as negative_id, positive_score, s.score as negative_score
+from positives p join scored s using (anchor_id)
+where s.label <> p.anchor_label and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by s.score desc, s.other)
+qualify row_number() over w <= 3
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = documents(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
