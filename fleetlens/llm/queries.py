@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import alignment, chunks, fingerprints, leaks, mixing, negatives, quality, rollups, similarity, suffixes, templates, toxicity
+from fleetlens.llm import alignment, chunks, fingerprints, leaks, licences, mixing, negatives, quality, rollups, similarity, suffixes, templates, toxicity
 from fleetlens.llm.tables import documents, whole_text
 from fleetlens.session import cut_lineage, shared_folder
 
@@ -177,3 +177,13 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = documents(spark, sf_dir, "embeddings").withColumn("label", label)
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_licence_places")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(documents(spark, sf_dir))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"), joined(F.col("base.label")).alias("base_labels"),
+        joined(F.concat("base.label", "finds.label")).alias("labels"), F.coalesce(F.array_max("finds.share"), F.lit(0.0)).alias("score"))
