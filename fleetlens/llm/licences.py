@@ -130,6 +130,9 @@ class Index:
         #: How far places may differ: half a template's words, 4 at least and 32 at most.
         self.widths = np.array([min(32, max(4, len(w) // 2)) for w in self.words])
         different = np.array([len(np.unique(w)) for w in self.words])
+        #: Whether a (word, template) pair's word is in a key phrase, and how many different such words a template has.
+        self.pair_key = np.array([p // len(templates) in set(np.concatenate(self.keys[p % len(templates)]).tolist()) for p in self.pairs])
+        self.key_words = np.bincount(self.pairs[self.pair_key] % len(templates), minlength=len(templates))
         self.needed = np.maximum(np.minimum(2, different), np.ceil(AGREE * np.minimum(RAREST, different)).astype(np.int64))
 
     def known(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -181,27 +184,34 @@ def candidates(index: Index, rank: np.ndarray, word: np.ndarray, row: np.ndarray
     first = np.flatnonzero(np.append(True, together[1:] != together[:-1]))
     sizes = np.diff(np.append(first, len(together)))
     nth = np.arange(len(together)) - np.repeat(first, sizes)
-    enough = np.repeat(sizes >= index.needed[together[first] % count], sizes)
+    # A row without some word of a template's key phrases can't have it.
+    keyed = np.add.reduceat(index.pair_key[pair].astype(np.int64), first) == index.key_words[together[first] % count]
+    enough = np.repeat((sizes >= index.needed[together[first] % count]) & keyed, sizes)
     seeds = np.flatnonzero((nth < RAREST) & enough)
-    owner, pair, together = owner[seeds], pair[seeds], together[seeds]
+    if not len(seeds):
+        return
+    owner, pair, together, nth = owner[seeds], pair[seeds], together[seeds], nth[seeds]
     # A seed's places in the row against its places in the template: each pair votes for a beginning.
     votes = key_count[owner] * index.pair_count[pair]
     k = ranges(np.zeros(len(votes), np.int64), votes)
-    owner, pair, together = (np.repeat(x, votes) for x in (owner, pair, together))
+    owner, pair, together, nth = (np.repeat(x, votes) for x in (owner, pair, together, nth))
     place = at[hit[by_key[key_first[owner] + k // index.pair_count[pair]]]]
     begin = place - index.pair_places[index.pair_first[pair] + k % index.pair_count[pair]]
-    template = together % count
-    width = index.widths[template]
+    groups, group = np.unique(together, return_inverse=True)
+    width = index.widths[together % count]
     found = set()
     for shift in (0, 1):
         # Windows overlap by half, so what lies within half a width shares one.
         window = (begin + shift * (width // 2)) // width
-        rows = np.unique(np.stack([together, window, owner], 1), axis=0)
-        if len(rows):
-            border = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
-            agree = np.diff(np.append(border, len(rows)))
-            for t, w in rows[border[agree >= index.needed[rows[border, 0] % count]], :2].tolist():
-                found.add((t // count, t % count, w * int(index.widths[t % count]) - shift * (int(index.widths[t % count]) // 2)))
+        least, most = int(window.min()), int(window.max()) + 1
+        # Group, window and seed in one number: different seeds of a window are counted.
+        votes_of = np.unique((group * (most - least) + window - least) * RAREST + nth) // RAREST
+        place_of, agree = np.unique(votes_of, return_counts=True)
+        t = groups[place_of // (most - least)]
+        w = place_of % (most - least) + least
+        for t, w in zip(t[(some := agree >= index.needed[t % count])].tolist(), w[some].tolist()):
+            own = int(index.widths[t % count])
+            found.add((t // count, t % count, w * own - shift * (own // 2)))
     yield from sorted(found)
 
 
