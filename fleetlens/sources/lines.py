@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Rows of line counts that are small enough to be sent to every task; more are joined by a shuffle.
+BROADCAST_RANGES = 500_000
+
 
 def scan_lines(reader, paths: str | Sequence[str]) -> DataFrame:
     """Text lines with the file facts needed to place them; ``reader`` is spark.read or spark.readStream."""
@@ -49,19 +52,53 @@ def place_lines(text: DataFrame, root: str) -> DataFrame:
         F.rtrim("value", F.lit("\r")).alias("line"), (~F.is_valid_utf8("value")).alias("had_decode_error"))
 
 
+def placed_below(root: str, file: Column) -> tuple[Column, Column]:
+    """(host, path inside the host's folder) of a file below ``root/<host>/``."""
+    below = re.escape("/" + root.strip("/").split("://")[-1].strip("/") + "/") + r"([^/]+)/(.*)$"
+    return F.regexp_extract(file, below, 1), F.regexp_extract(file, below, 2)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], root: str,
-               manifest: DataFrame | None = None) -> DataFrame:
-    """Raw lines of log files below ``root/<host>/``; files are split as usual, gzip is read transparently.
+               manifest: DataFrame | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Raw lines of log files below ``root/<host>/``, with the byte each begins at.
+
+    Files are read in ranges of ``split_bytes`` (64 MB), compressed ones (gz, bz2, xz) as a stream; a line belongs to the range
+    it begins in.  Names that begin with a dot are read too.  Offsets come from the ranges themselves.  Line numbers do as
+    well in files of one range; longer files are read a second time for their number of lines per range, a row for each.
 
     ``manifest`` (host_id, artifact_path, sha256, mtime) gives the hash and time taken at collection;
     without it the time of the stored file counts and the hash is a zero digest.
     """
-    lines = place_lines(scan_lines(spark.read, paths), root)
+    from fleetlens.sources import ranges
+
+    split = split_bytes or ranges.SPLIT_BYTES
+    rows = ranges.scan(spark, ranges.LineRanges, paths, split)
+    number = F.col("line_in_split")
+    files = ranges.list_files([paths] if isinstance(paths, str) else paths)
+    cuts = sum(-(-f.size // split) for f in files if f.size > split and not f.unpack)
+    if cuts:
+        counts = ranges.scan(spark, ranges.LineCounts, paths, split)
+        earlier = W.partitionBy("file").orderBy("split_start").rowsBetween(W.unboundedPreceding, -1)
+        starts = counts.select("file", "split_start", F.coalesce(F.sum("split_lines").over(earlier), F.lit(0)).alias("lines_before"))
+        # The listing says how many rows these are: about 100 bytes for each 64 MB of text.
+        rows = rows.join(F.broadcast(starts) if cuts <= BROADCAST_RANGES else starts, ["file", "split_start"], "left")
+        number = number + F.coalesce("lines_before", F.lit(0))
+    host, path = placed_below(root, F.col("file"))
+    text = F.col("raw").cast("string")
+    lines = rows.select(
+        host.alias("host_id"), artifact_path(path).alias("artifact_path"), F.lit("0" * 64).alias("artifact_sha256"),
+        F.col("mtime").alias("artifact_mtime"), number.alias("line_no"), "byte_offset",
+        F.rtrim(text, F.lit("\r\n")).alias("line"), (~F.is_valid_utf8(text)).alias("had_decode_error"))
+    return with_collected_facts(lines, manifest)
+
+
+def with_collected_facts(rows: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """Hash and time of an artifact as its manifest has them, where there is one."""
     if manifest is None:
-        return lines
+        return rows
     facts = manifest.groupBy("host_id", "artifact_path").agg(
         F.max("sha256").alias("__sha256"), F.max(F.col("mtime").try_cast("double")).alias("__collected"))
-    joined = lines.join(facts, ["host_id", "artifact_path"], "left")
+    joined = rows.join(facts, ["host_id", "artifact_path"], "left")
     return joined.withColumns({
         "artifact_sha256": F.coalesce("__sha256", "artifact_sha256"),
         "artifact_mtime": F.coalesce("__collected", "artifact_mtime")}).drop("__sha256", "__collected")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.sources.lines import artifact_path
+from fleetlens.sources.lines import artifact_path, placed_below, with_collected_facts
 
 
 def read_binary_files(spark: SparkSession, paths: str | Sequence[str], root: str) -> DataFrame:
@@ -21,11 +21,26 @@ def read_binary_files(spark: SparkSession, paths: str | Sequence[str], root: str
         F.sha2("content", 256).alias("artifact_sha256"), F.col("length").alias("size"), "content")
 
 
+def read_records(spark: SparkSession, paths: str | Sequence[str], root: str, width: int, manifest: DataFrame | None = None,
+                 split_bytes: int | None = None) -> DataFrame:
+    """One row per whole record of files below ``root/<host>/``: ``record_index`` from 0 and the ``record`` bytes.
+
+    A file is read in ranges of whole records, so it may be of any size; compressed files are read as a stream.  Hash and
+    time come from ``manifest``, as in :func:`fleetlens.sources.lines.read_lines`.
+    """
+    from fleetlens.sources import ranges
+
+    rows = ranges.scan(spark, ranges.RecordRanges, paths, split_bytes or ranges.SPLIT_BYTES, width=str(width))
+    host, path = placed_below(root, F.col("file"))
+    return with_collected_facts(rows.select(
+        host.alias("host_id"), artifact_path(path).alias("artifact_path"), F.lit("0" * 64).alias("artifact_sha256"),
+        F.col("mtime").alias("artifact_mtime"), "size", "record_index", "record"), manifest)
+
+
 def split_records(files: DataFrame, width: int) -> DataFrame:
     """One row per whole record: ``record_index`` from 0 and the ``record`` bytes.
 
-    Login record files are small (a record is a few hundred bytes), so a file is one row; the records are
-    spread right away.
+    For files that are rows already; :func:`read_records` reads files of any size.
     """
     count = F.floor(F.col("size") / width).cast("int")
     rows = files.filter(F.col("size") >= width).select(

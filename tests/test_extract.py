@@ -498,3 +498,19 @@ def test_extraction_does_not_depend_on_row_order(as_lines, hosts):
     for name in ("authlog_parser", "shellhist_parser"):
         ids = lambda df: sorted(r.event_id for r in REGISTRY[name].extract(df, hosts).collect())
         assert ids(lines) == ids(shuffled)
+
+
+def test_all_jobs_read_the_text_once(spark, as_lines, hosts, tmp_path):
+    """The union of all jobs over staged lines is what the jobs give one by one, and its plan does not read the text again."""
+    from fleetlens.extract import extract_all
+
+    lines = as_lines({"var/log/auth.log": AUTH, "var/log/syslog": "Jan  5 01:05:01 n1 CRON[80]: (root) CMD (/bin/x)\n",
+                      "var/log/secure.1": "2021-03-04T05:06:07 n1 boot\n" + AUTH, "etc/sudoers": "carol ALL=(ALL) ALL\n", "other/file": "x\n"})
+    lines.write.parquet(str(tmp_path / "text"))
+    stored = spark.read.parquet(str(tmp_path / "text"))
+    together = extract_all(stored, hosts)
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert str(tmp_path) not in together._jdf.queryExecution().toString() and "Relation" in plan
+    names = ["authlog_parser", "cronlog_parser", "sudoers_parser", "usb_parser"]
+    apart = [row for n in names for row in REGISTRY[n].extract(stored, hosts).collect()]
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart)) and len(apart) > 20
