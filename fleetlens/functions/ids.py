@@ -43,8 +43,17 @@ def finding_id(rule_name: Column, rule_version: Column, title: Column, host_id:
     return F.substring(F.sha2(_joined(rule_name, rule_version, title, host_id, ids_text), 256), 1, 32)
 
 
-def large_finding_id(rule_name: Column, rule_version: Column, title: Column, host_id: Column,
-                     evidence_filter: Column, event_count: Column) -> Column:
-    """Id of a finding whose evidence is too long to list: it names the evidence by predicate and size."""
-    return F.substring(
-        F.sha2(_joined(rule_name, rule_version, title, host_id, evidence_filter, event_count), 256), 1, 32)
+#: Hex digits of one lane of an evidence digest: 60 bits, so that a sum of 10^20 of them still fits a decimal(38).
+LANE_DIGITS = 15
+LANES = ("digest_0", "digest_1")
+
+
+def evidence_lanes(event_id: Column) -> dict[str, Column]:
+    """Two numbers from the sha256 of an event id; their sums over a set of events do not depend on order or grouping."""
+    digest = F.sha2(event_id, 256)
+    return {name: F.conv(F.substring(digest, 1 + k * LANE_DIGITS, LANE_DIGITS), 16, 10).cast("decimal(20,0)") for k, name in enumerate(LANES)}
+
+
+def evidence_finding_id(rule_name: Column, rule_version: Column, title: Column, host_id: Column, event_count: Column, *lanes: Column) -> Column:
+    """First 32 hex digits of the sha256 over rule, title, host, and the number and digest sums of the evidence."""
+    return F.substring(F.sha2(_joined(rule_name, rule_version, title, host_id, event_count, *lanes), 256), 1, 32)

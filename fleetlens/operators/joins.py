@@ -83,7 +83,7 @@ def look_along_time(
     in one task, and the cost does not depend on how many items an interval holds.
     """
     keys, names = list(keys), list(sums)
-    values = [F.sum(v).cast("long").alias(n) for n, v in sums.items()]
+    values = [F.sum(v).alias(n) for n, v in sums.items()]
     if item is not None:
         entry = F.struct(item_time.cast("long").alias("at"), item.alias("item"))
         tie = F.when(item.isNotNull(), F.col(item_tie))
@@ -91,6 +91,9 @@ def look_along_time(
     # One row per key and instant, combined before the shuffle: many items at one instant cost one row.
     points = (items.filter(item_time.isNotNull()).groupBy(*keys, item_time.cast("long").alias("__t"))
               .agg(*values))
+    # Whole numbers stay within 64 bits; decimal sums keep their own width.
+    kinds = {n: "decimal(38,0)" if points.schema[n].dataType.typeName() == "decimal" else "long" for n in names}
+    points = points.withColumns({n: F.col(n).cast(k) for n, k in kinds.items()})
     carried_names = [c for c in points.columns if c in ("__lowest", "__highest")]
     anchor = F.struct(*anchors.columns)
     probes = anchors.select(
@@ -100,7 +103,7 @@ def look_along_time(
     probes = probes.filter(F.col("__p.t").isNotNull()).select(
         *keys, F.col("__p.t").alias("__t"), F.lit(1).alias("__probe"), "__anchor",
         F.col("__p.name").alias("__name"),
-        *[F.lit(0).cast("long").alias(n) for n in names],
+        *[F.lit(0).cast(kinds[n]).alias(n) for n in names],
         *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in carried_names])
     data = points.select(
         *keys, "__t", F.lit(0).alias("__probe"),

@@ -133,7 +133,7 @@ def _digest(spark, sf_dir):
     ELSE 'check_next: missing' END AS problems FROM mixed WHERE subcategory = 'ld_preload_set'""")
 def _finding_validation(spark, sf_dir):
     events = mixed_events(spark, sf_dir)
-    findings = REGISTRY["ld_preload_rootkit"].findings(events).withColumn("event_id", F.col("event_ids")[0])
+    findings = REGISTRY["ld_preload_rootkit"].findings(events).withColumn("event_id", F.col("evidence")[0]["key"])
     even = events.select("event_id", (F.col("actor_uid") % 2 == 0).alias("even"))
     broken = findings.join(even, "event_id").withColumns({
         "confidence": F.when(F.col("even"), "Sure").otherwise(F.col("confidence")),
@@ -145,8 +145,8 @@ def _finding_validation(spark, sf_dir):
     '["' || string_agg(event_id, '","' ORDER BY event_id) || '"]' AS event_ids FROM mixed
 WHERE subcategory = 'passwordless_account' GROUP BY actor_user""")
 def _json_ids(spark, sf_dir):
-    return findings_for_export(REGISTRY["passwordless_account"].findings(mixed_events(spark, sf_dir))).select(
-        "title", "event_ids")
+    events = mixed_events(spark, sf_dir)
+    return findings_for_export(REGISTRY["passwordless_account"].findings(events), events).select("title", "event_ids")
 
 
 @query("joi_10_evidence_filter", f"""WITH {MIXED_SQL} SELECT 'u' || CAST(user_id AS VARCHAR) AS actor_user, event_id FROM mixed
@@ -264,17 +264,19 @@ def _run_statistics(spark, sf_dir):
 @query("udx_2_own_rule", f"""WITH {MIXED_SQL} SELECT 'Firewall hit on ' || host_id AS title, count(*) AS event_count FROM mixed
 WHERE subcategory = 'firewall_block' GROUP BY host_id HAVING count(*) >= 5""")
 def _own_rule(spark, sf_dir):
-    from fleetlens.rules.base import finish, list_evidence, text
+    from fleetlens.rules.base import EVIDENCE, EvidenceKind, counted, finish, keyed, text
 
     if "firewall_hits" not in REGISTRY:
+        blocked = lambda: F.col("subcategory") == "firewall_block"
+        EVIDENCE["firewall_hits"] = EvidenceKind(blocked, lambda: F.col("host_id"))
+
         @rule("firewall_hits", firewall_min=3)
         def firewall_hits(events, firewall_min=3):
-            rows = events.filter(F.col("subcategory") == "firewall_block")
-            heads = rows.groupBy("host_id").agg(F.count(F.lit(1)).alias("event_count")).filter(
-                F.col("event_count") >= firewall_min).withColumn("evidence_filter", text(
-                    "subcategory = 'firewall_block' AND host_id = '", F.col("host_id"), "'"))
+            heads = events.filter(blocked()).groupBy("host_id").agg(*counted()).filter(F.col("event_count") >= firewall_min).withColumns({
+                "evidence": F.array(keyed("firewall_hits", F.col("host_id"))),
+                "evidence_filter": text("subcategory = 'firewall_block' AND host_id = '", F.col("host_id"), "'")})
             return finish(
-                list_evidence(heads, rows, ["host_id"]), "firewall_hits", "1.0", "low",
+                heads, "firewall_hits", "1.0", "low",
                 title=text("Firewall hit on ", F.col("host_id")), what=text("blocked traffic"),
                 why="someone knocks", confidence="Low", next_step="look at the source", detail=text("firewall"),
                 host=F.col("host_id"))
@@ -282,7 +284,7 @@ def _own_rule(spark, sf_dir):
     try:
         return own.findings(mixed_events(spark, sf_dir), firewall_min=5).select("title", "event_count")
     finally:
-        del REGISTRY["firewall_hits"]
+        del REGISTRY["firewall_hits"], EVIDENCE["firewall_hits"]
 
 
 @query("udx_1_own_extractor", """SELECT event_id * 1000 AS raw_line_offset, 'app_error' AS subcategory, 'code ' ||

@@ -28,9 +28,11 @@ def shown(findings: DataFrame) -> DataFrame:
 def finding_sql(name: str, severity: str, title: str, source: str, *, host: str = "host_id",
                 confidence: str = "'High'", first: str = "NULL", last: str = "NULL", ids: str = "ids",
                 version: str = "1.0") -> str:
-    """SELECT of finding rows from ``source``, which has the list ``ids``."""
+    """SELECT of finding rows from ``source``, which has the list ``ids``; their order does not matter to the id."""
+    lane = lambda k: (f"CAST(coalesce(list_sum(list_transform(ids, lambda i: CAST(CAST('0x' || substr(sha256(i), {1 + 15 * k}, 15) AS BIGINT)"
+                      f" AS HUGEINT))), 0) AS VARCHAR)")
     return f"""SELECT substr(sha256(concat_ws(chr(31), '{name}', '{version}', title, coalesce(host_id, ''),
-        array_to_string(list_sort(ids), chr(30)))), 1, 32) AS finding_id, '{name}' AS rule_name, severity,
+        CAST(len(ids) AS VARCHAR), {lane(0)}, {lane(1)})), 1, 32) AS finding_id, '{name}' AS rule_name, severity,
         title, host_id, confidence, first_ts_utc, last_ts_utc, CAST(len(ids) AS BIGINT) AS event_count
     FROM (SELECT {severity} AS severity, {title} AS title, CAST({host} AS VARCHAR) AS host_id,
         {confidence} AS confidence, CAST({first} AS TIMESTAMP) AS first_ts_utc,
@@ -200,7 +202,7 @@ def _first_seen_sql(column: str, label: str) -> str:
     FROM (SELECT {column} AS value, min(timestamp_utc) AS f, max(timestamp_utc) AS l FROM audit
           WHERE {column} IS NOT NULL AND {NOISE} GROUP BY 1) v
     JOIN (SELECT {column} AS value, event_id, host_id, row_number() OVER (PARTITION BY {column}
-          ORDER BY timestamp_utc, event_hash) AS rn FROM audit) r ON r.value = v.value AND r.rn <= 25
+          ORDER BY timestamp_utc, event_hash) AS rn FROM audit WHERE timestamp_utc IS NOT NULL) r ON r.value = v.value
     WHERE epoch_us(v.f) >= (SELECT round(epoch_us(min(timestamp_utc)) + (epoch_us(max(timestamp_utc))
           - epoch_us(min(timestamp_utc))) * 0.02) FROM audit) GROUP BY 2, 3, 4"""
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ids import evidence_lanes
 from fleetlens.functions.text import first_filled, sql_quote, strip_quotes
 from fleetlens.functions.times import (
     WRITTEN_TIME_SQL, iso_text, micros, minute_text, outside_hours, written_instant,
 )
-from fleetlens.operators.joins import MINUTE_MICROS, look_along_time, salted_join, within_minutes
+from fleetlens.operators.joins import MINUTE_MICROS, look_along_time, salted_join
 from fleetlens.operators.search import not_tool_noise
 from fleetlens.rules.base import (
-    FAILURES, INLINE_EVIDENCE, PASSWORD_FAILURES, finish, list_evidence, quoted_list, row_order,
-    rule, text,
+    EVIDENCE, FAILURES, ONE_EVENT, PASSWORD_FAILURES, EvidenceKind, counted, finish, keyed, quoted_list, row_order, rule, text,
 )
 from fleetlens.session import cut_lineage
 
@@ -33,9 +33,43 @@ NARROW = ("event_id", "event_hash", "host_id", "subcategory", "timestamp_utc", "
 SUCCESS_GRACE_MINUTES = 10
 
 
+def is_failure() -> Column:
+    return (F.col("subcategory").isin(*FAILURES) & F.col("source_ip").isNotNull()
+            & F.col("timestamp_utc").isNotNull() & not_tool_noise())
+
+
 def failures_of(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("subcategory").isin(*FAILURES) & F.col("source_ip").isNotNull()
-                         & F.col("timestamp_utc").isNotNull() & not_tool_noise())
+    return events.filter(is_failure())
+
+
+def sums_between(start: str, end: str, anchor: str) -> dict[str, Column]:
+    """Digest sums of the items between two instants of :func:`look_along_time`, and of the anchor's own event."""
+    return {lane: F.col(f"{end}.{lane}") - F.col(f"{start}.{lane}") + own for lane, own in evidence_lanes(F.col(anchor)).items()}
+
+
+def instant() -> Column:
+    return micros(F.col("timestamp_utc"))
+
+
+def written() -> Column:
+    return micros(F.when(F.col("timestamp_utc").isNull(), written_instant()))
+
+
+def grants_rights() -> Column:
+    return F.col("subcategory").isin(*GRANTS)
+
+
+def lasts() -> Column:
+    return F.col("subcategory").isin(*PERSISTENCE)
+
+
+EVIDENCE["failures_of_address"] = EvidenceKind(is_failure, lambda: F.col("source_ip"))
+EVIDENCE["failures_before_login"] = EvidenceKind(is_failure, lambda: F.col("source_ip"), instant, 15 * MINUTE_MICROS)
+EVIDENCE["grants_to_account"] = EvidenceKind(grants_rights, lambda: F.col("actor_user"), instant, 60 * MINUTE_MICROS)
+EVIDENCE["lasting_changes_case"] = EvidenceKind(lasts, lambda: F.lit(""), instant, 120 * MINUTE_MICROS)
+EVIDENCE["undated_changes_case"] = EvidenceKind(lasts, lambda: F.lit(""), written, 120 * MINUTE_MICROS)
+EVIDENCE["lasting_changes_host"] = EvidenceKind(lasts, lambda: F.col("host_id"), instant, 120 * MINUTE_MICROS)
+EVIDENCE["undated_changes_host"] = EvidenceKind(lasts, lambda: F.col("host_id"), written, 120 * MINUTE_MICROS)
 
 
 def guessing_addresses(events: DataFrame, at_least: int = HEAVY_FAILURE_COUNT) -> DataFrame:
@@ -65,7 +99,7 @@ def brute_force(events: DataFrame, brute_force_min: int = 5, brute_force_window:
     bursts = (peak_in_window(failures, "source_ip", brute_force_window)
               .filter(F.col("peak") >= brute_force_min))
     campaigns = failures.groupBy("source_ip").agg(
-        F.count(F.lit(1)).alias("event_count"),
+        *counted(),
         F.min("timestamp_utc").alias("first"), F.max("timestamp_utc").alias("last"),
         F.min_by("host_id", row_order()).alias("host"),
         F.count_distinct(F.when(F.col("actor_user") != "", F.col("actor_user"))).alias("users"),
@@ -73,7 +107,7 @@ def brute_force(events: DataFrame, brute_force_min: int = 5, brute_force_window:
     heads = campaigns.join(bursts, "source_ip").withColumn("evidence_filter", text(
         "source_ip = ", sql_quote(F.col("source_ip")), f" AND subcategory IN ({quoted_list(FAILURES)})"
         f" AND timestamp_utc IS NOT NULL AND {NOT_NOISE_SQL}"))
-    heads = list_evidence(heads, failures, ["source_ip"])
+    heads = heads.withColumn("evidence", F.array(keyed("failures_of_address", F.col("source_ip"))))
     ip, n = F.col("source_ip"), F.col("event_count")
     target = F.when(F.col("users") == 1, text("account ", F.col("a_user"))).otherwise(
         text(F.col("users"), " accounts"))
@@ -107,21 +141,16 @@ def brute_force_success(events: DataFrame, brute_force_min: int = 5,
     looked = look_along_time(
         logins, failures, anchor_id="login_id", keys=["source_ip"],
         instants={"before": at - width - 1, "end": at - 1}, item_time=micros(F.col("timestamp_utc")),
-        sums={"n": F.lit(1)}, item=F.col("timestamp_utc"))
+        sums={"n": F.lit(1), **evidence_lanes(F.col("event_id"))}, item=F.col("timestamp_utc"))
     heads = cut_lineage(
-        looked.withColumn("prior", F.col("end.n") - F.col("before.n"))
+        looked.withColumns(sums_between("before", "end", anchor="login_id")).withColumn("prior", F.col("end.n") - F.col("before.n"))
         .withColumn("first", F.col("before.next.item"))
         .filter(F.col("prior") >= brute_force_min).drop("before", "end"))
-    listed = heads.filter(F.col("prior") < INLINE_EVIDENCE).select("login_id", "source_ip", "anchor_ts")
-    pairs = within_minutes(listed, failures.select("source_ip", "timestamp_utc", "event_id"),
-                           look_back_minutes, keys=["source_ip"], after=False)
-    lists = (pairs.filter(F.col("timestamp_utc") < F.col("anchor_ts"))
-             .groupBy("login_id").agg(F.collect_list("event_id").alias("prior_ids")))
     ip = F.col("source_ip")
     user = first_filled(F.col("actor_user"), "an account")
-    heads = (heads.join(lists, "login_id", "left")
-             .withColumn("event_count", F.col("prior") + 1)
-             .withColumn("event_ids", F.array_sort(F.array_append("prior_ids", F.col("login_id"))))
+    heads = (heads.withColumn("event_count", F.col("prior") + 1)
+             .withColumn("evidence", F.array(keyed("failures_before_login", ip, F.col("at") - width, F.col("at") - 1),
+                                             keyed(ONE_EVENT, F.col("login_id"))))
              .withColumn("evidence_filter", text(
                  "event_id = '", F.col("login_id"), "' OR (source_ip = ", sql_quote(ip),
                  f" AND subcategory IN ({quoted_list(FAILURES)}) AND timestamp_utc >= timestamp_micros(",
@@ -158,19 +187,15 @@ def new_account_privilege_grant(events: DataFrame, account_grant_window: float =
     looked = look_along_time(
         created, grants, anchor_id="created_id", keys=["actor_user"],
         instants={"before": at - 1, "end": at + width}, item_time=micros(F.col("timestamp_utc")),
-        sums={"n": F.lit(1)}, item=F.struct("event_id", "timestamp_utc", "subcategory"))
+        sums={"n": F.lit(1), **evidence_lanes(F.col("event_id"))}, item=F.struct("event_id", "timestamp_utc", "subcategory"))
     heads = cut_lineage(
-        looked.withColumn("grants", F.col("end.n") - F.col("before.n"))
+        looked.withColumns(sums_between("before", "end", anchor="created_id")).withColumn("grants", F.col("end.n") - F.col("before.n"))
         .withColumn("first_grant", F.col("before.next.item")).withColumn("last_grant", F.col("end.last.item"))
         .filter(F.col("grants") > 0).drop("before", "end"))
-    listed = heads.filter(F.col("grants") < INLINE_EVIDENCE).select("created_id", "actor_user", "anchor_ts")
-    lists = (within_minutes(listed, grants.select("actor_user", "timestamp_utc", "event_id"),
-                            account_grant_window, keys=["actor_user"], before=False)
-             .groupBy("created_id").agg(F.collect_list("event_id").alias("grant_ids")))
     user = F.col("actor_user")
-    heads = (heads.join(lists, "created_id", "left")
-             .withColumn("event_count", F.col("grants") + 1)
-             .withColumn("event_ids", F.array_sort(F.array_append("grant_ids", F.col("created_id"))))
+    heads = (heads.withColumn("event_count", F.col("grants") + 1)
+             .withColumn("evidence", F.array(keyed("grants_to_account", user, F.col("at"), F.col("at") + width),
+                                             keyed(ONE_EVENT, F.col("created_id"))))
              .withColumn("evidence_filter", text(
                  "event_id = '", F.col("created_id"), "' OR (actor_user = ", sql_quote(user),
                  f" AND subcategory IN ({quoted_list(GRANTS)}) AND timestamp_utc >= timestamp_micros(",
@@ -212,6 +237,9 @@ def persistence_after_login(events: DataFrame, persistence_window: float = 120,
     kinds = sorted(PERSISTENCE)
     measures = {f"{side}_{k}": ((F.col("subcategory") == k) & (dated if side == "dated" else ~dated)).cast("long")
                 for side in ("dated", "undated") for k in kinds}
+    nothing = F.lit(0).cast("decimal(20,0)")
+    measures |= {f"{side}_{lane}": F.when(dated if side == "dated" else ~dated, value).otherwise(nothing)
+                 for side in ("dated", "undated") for lane, value in evidence_lanes(F.col("event_id")).items()}
     looked = look_along_time(
         logins, items, anchor_id="login_id", keys=keys,
         instants={"before": at - width - 1, "start": at - 1, "end": at + width},
@@ -222,22 +250,21 @@ def persistence_after_login(events: DataFrame, persistence_window: float = 120,
     add = lambda counts: reduce(lambda a, b: a + b, counts.values())
     n_items = F.col("n_dated") + F.col("n_undated")
     heads = cut_lineage(looked.select(
-        "login_id", "source_ip", "host_id", "anchor_ts", "at", add(n_dated).alias("n_dated"),
+        "login_id", "source_ip", "host_id", "anchor_ts", "at", *[(
+            F.col(f"end.dated_{lane}") - F.col(f"start.dated_{lane}") + F.col(f"end.undated_{lane}")
+            - F.col(f"before.undated_{lane}") + own).cast("decimal(38,0)").alias(lane)
+            for lane, own in evidence_lanes(F.col("login_id")).items()], add(n_dated).alias("n_dated"),
         add(n_undated).alias("n_undated"), F.col("end.last.item").alias("last_dated"),
         F.array_compact(F.array(*[F.when(n_dated[k] + n_undated[k] > 0, F.lit(k.replace("_", " ")))
                                   for k in kinds])).alias("kinds"))
         .filter(n_items > 0))
-    listed = heads.filter(n_items < INLINE_EVIDENCE).select(*keys, "login_id", "anchor_ts")
-    near = within_minutes(listed, items.select(*keys, "event_id", "timestamp_utc"), persistence_window,
-                          keys=keys, before=False)
-    near_written = within_minutes(listed, items.select(*keys, "event_id", "written_ts"), persistence_window,
-                                  keys=keys, time_column="written_ts")
-    lists = (near.select("login_id", "event_id").unionByName(near_written.select("login_id", "event_id"))
-             .groupBy("login_id").agg(F.collect_list("event_id").alias("item_ids")))
     scope_sql = text("host_id = ", sql_quote(F.col("host_id")), " AND ") if keys else F.lit("")
-    heads = (heads.join(lists, "login_id", "left")
-             .withColumn("event_count", n_items + 1)
-             .withColumn("event_ids", F.array_sort(F.array_append("item_ids", F.col("login_id"))))
+    owner = F.col("host_id") if keys else F.lit("")
+    heads = (heads.withColumn("event_count", n_items + 1)
+             .withColumn("evidence", F.array(
+                 keyed(f"lasting_changes_{scope}", owner, F.col("at"), F.col("at") + width),
+                 keyed(f"undated_changes_{scope}", owner, F.col("at") - width, F.col("at") + width),
+                 keyed(ONE_EVENT, F.col("login_id"))))
              .withColumn("evidence_filter", text(
                  "event_id = '", F.col("login_id"), "' OR (", scope_sql,
                  f"subcategory IN ({quoted_list(PERSISTENCE)}) AND (timestamp_utc BETWEEN timestamp_micros(",
@@ -260,27 +287,37 @@ def persistence_after_login(events: DataFrame, persistence_window: float = 120,
         last=F.when(F.col("n_undated") == 0, F.col("last_dated")))
 
 
+def admin_activity() -> Column:
+    return ((F.col("category") == "privilege_escalation") & (F.col("event_kind") == "event")
+            & F.col("timestamp_local").isNotNull() & not_tool_noise())
+
+
+def account() -> Column:
+    return strip_quotes(first_filled(F.col("actor_user"), "unknown"))
+
+
+# Administrator activity of an account by hour of the day.
+EVIDENCE["admin_hours"] = EvidenceKind(admin_activity, account, lambda: F.hour("timestamp_local").cast("long"), 24)
+
+
 @rule("off_hours_privileged", business_hours=(8, 18))
 def off_hours_privileged(events: DataFrame, business_hours: tuple[int, int] = (8, 18)) -> DataFrame:
     """Administrator activity outside working hours, one finding per account."""
     start, end = business_hours
     user_sql = "btrim(coalesce(nullif(actor_user, ''), 'unknown'), '\\'\"')"
-    hits = events.filter(
-        (F.col("category") == "privilege_escalation") & (F.col("event_kind") == "event")
-        & F.col("timestamp_local").isNotNull() & not_tool_noise()
-        & outside_hours(F.col("timestamp_local"), start, end)).withColumn(
-        "user", strip_quotes(first_filled(F.col("actor_user"), "unknown")))
+    hits = events.filter(admin_activity() & outside_hours(F.col("timestamp_local"), start, end)).withColumn("user", account())
     order = F.struct("timestamp_utc", "event_hash")
     row = F.struct("timestamp_utc", "timestamp_local", "host_id", "subcategory")
     heads = hits.groupBy("user").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min_by(row, order).alias("first"),
+        *counted(), F.min_by(row, order).alias("first"),
         F.max_by(row, order).alias("last"))
     user, n = F.col("user"), F.col("event_count")
     heads = heads.withColumn("evidence_filter", text(
         "category = 'privilege_escalation' AND event_kind = 'event' AND timestamp_local IS NOT NULL AND "
         f"{NOT_NOISE_SQL} AND (hour(timestamp_local) < {start} OR hour(timestamp_local) >= {end}) AND "
         f"{user_sql} = ", sql_quote(user)))
-    heads = list_evidence(heads, hits, ["user"])
+    spans = [(a, b) for a, b in ((0, start - 1), (end, 23)) if a <= b]
+    heads = heads.withColumn("evidence", F.array(*[keyed("admin_hours", user, F.lit(a), F.lit(b)) for a, b in spans]))
     return finish(
         heads, "off_hours_privileged", "1.0", F.when(n > 1, "medium").otherwise("low"),
         title=text("Administrator activity outside working hours by ", user),

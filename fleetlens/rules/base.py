@@ -1,10 +1,10 @@
 """How detection rules turn events into findings.
 
-A rule yields one row per finding with its texts, its time span, the exact number of events it stands on and
-``evidence_filter``, a Spark SQL predicate over the event table that selects exactly these events.  The ids
-themselves are listed (``event_ids``) for findings of at most ``INLINE_EVIDENCE`` events.  A campaign of a
-billion failed logins is thereby still one small row, and its evidence is one filter away
-(:func:`evidence_of`); nothing is cut.
+A rule yields one row per finding with its texts, its time span, the exact number of events it stands on and where they
+are: ``evidence`` names keys to join events on (:func:`finding_events`), ``evidence_filter`` is a Spark SQL predicate over the
+event table that selects exactly these events (:func:`evidence_of`).  A campaign of a billion failed logins is thereby one
+small row like any other.  ``finding_id`` covers rule, title, host and the events through sums of their digests, which
+tasks add up before they shuffle; it is the same formula for one event and for all.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.functions.ids import finding_id, large_finding_id
+from fleetlens.functions.ids import LANES, evidence_finding_id, evidence_lanes
 from fleetlens.functions.text import severity_rank
 from fleetlens.operators.joins import salted_join
-from fleetlens.schema import CONFIDENCE_WORDS, FINDING_COLUMNS, FINDING_SCHEMA, SEVERITIES
+from fleetlens.schema import CONFIDENCE_WORDS, EVIDENCE_TYPE, FINDING_COLUMNS, FINDING_SCHEMA, SEVERITIES
 
 log = logging.getLogger(__name__)
 
-INLINE_EVIDENCE = 1_000
-
 # Subcategory groups the rules speak about.
 FAILURES = ("failed_login", "invalid_user", "auth_failure")
 PASSWORD_FAILURES = ("failed_login", "invalid_user")
@@ -47,8 +46,37 @@ class Rule:
 
 REGISTRY: dict[str, Rule] = {}
 
-#: Rules whose findings list a sample: (findings, events) to the (finding_id, event_id) of all their events.
-EVIDENCE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+@dataclass(frozen=True)
+class EvidenceKind:
+    """Which events are of a kind, by which key findings name them, and ``at`` where findings take a span of it.
+
+    The three are functions that give columns over the event table; ``step`` cuts spans into pieces to join on.
+    """
+
+    events: Callable[[], Column]
+    key: Callable[[], Column]
+    at: Callable[[], Column] | None = None
+    step: int = 1
+
+
+EVIDENCE: dict[str, EvidenceKind] = {}
+#: Events that a finding names one by one.
+ONE_EVENT = "event"
+
+
+def keyed(kind: str, key: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """An entry of a finding's ``evidence``."""
+    number = lambda c: F.lit(None).cast("long") if c is None else c.cast("long")
+    return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), number(start).alias("from"), number(end).alias("to"))
+
+
+def pair_key(*parts: Column) -> Column:
+    return F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def counted(event_id: str = "event_id") -> list[Column]:
+    """Aggregates of evidence: its number of events and the sums of their digests."""
+    return [F.count(F.lit(1)).alias("event_count"), *[F.sum(v).alias(n) for n, v in evidence_lanes(F.col(event_id)).items()]]
 
 
 def rule(name: str, version: str = "1.0", **params):
@@ -74,18 +102,18 @@ def row_order() -> Column:
     return F.struct(F.col("timestamp_utc").isNull(), "timestamp_utc", "event_hash")
 
 
-def list_evidence(heads: DataFrame, members: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Add ``event_ids`` to heads that count at most ``INLINE_EVIDENCE`` events.
+def listed(heads: DataFrame, ids: Column) -> DataFrame:
+    """Heads whose few events are known one by one."""
+    zero = F.lit(0).cast("decimal(38,0)")
 
-    ``members`` holds (key, event_id).  Long groups are left out before the ids are gathered, so no task
-    ever holds more than the limit for one finding; the semi join is salted because exactly the hot keys
-    are the ones to be dropped.
-    """
-    key = list(key)
-    short = heads.filter(F.col("event_count") <= INLINE_EVIDENCE).select(*key)
-    lists = (salted_join(members.select(*key, "event_id"), short, key, "left_semi")
-             .groupBy(*key).agg(F.array_sort(F.collect_list("event_id")).alias("event_ids")))
-    return heads.join(lists, key, "left")
+    def total(lane: str) -> Column:
+        return F.aggregate("__ids", zero, lambda acc, i: (acc + evidence_lanes(i)[lane]).cast("decimal(38,0)"))
+
+    return heads.withColumn("__ids", ids).withColumns({
+        "event_count": F.size("__ids").cast("long"),
+        "evidence": F.transform("__ids", lambda i: keyed(ONE_EVENT, i)),
+        **{lane: total(lane) for lane in LANES},
+    }).drop("__ids")
 
 
 def finish(heads: DataFrame, name: str, version: str, severity: Column | str, *, title: Column,
@@ -103,20 +131,16 @@ def finish(heads: DataFrame, name: str, version: str, severity: Column | str, *,
         (first if first is not None else null_time).alias("first_ts_utc"),
         (last if last is not None else null_time).alias("last_ts_utc"),
         (host if host is not None else null_text).alias("host_id"),
-        F.col("event_count").cast("long").alias("event_count"), F.col("event_ids"),
-        F.col("evidence_filter"))
-    identity = [F.col(c) for c in ("rule_name", "rule_version", "title", "host_id")]
-    rows = rows.withColumn("finding_id", F.when(
-        F.col("event_ids").isNotNull() | (F.col("event_count") == 0),
-        finding_id(*identity, F.coalesce(F.col("event_ids"), F.array().cast("array<string>"))),
-    ).otherwise(large_finding_id(*identity, F.col("evidence_filter"), F.col("event_count"))))
-    return rows.select(*FINDING_COLUMNS)
+        F.col("event_count").cast("long").alias("event_count"),
+        F.col("evidence").cast(T.ArrayType(EVIDENCE_TYPE)).alias("evidence"), F.col("evidence_filter"),
+        *[F.col(lane).cast("decimal(38,0)").alias(lane) for lane in LANES])
+    identity = [F.col(c) for c in ("rule_name", "rule_version", "title", "host_id", "event_count", *LANES)]
+    return rows.withColumn("finding_id", evidence_finding_id(*identity)).select(*FINDING_COLUMNS)
 
 
 def per_event(rows: DataFrame) -> DataFrame:
     """Heads for rules that report single events."""
-    return (rows.withColumn("event_count", F.lit(1).cast("long"))
-            .withColumn("event_ids", F.array("event_id"))
+    return (listed(rows, F.array("event_id"))
             .withColumn("evidence_filter", text("event_id = '", F.col("event_id"), "'")))
 
 
@@ -134,24 +158,36 @@ def evidence_of(events: DataFrame, evidence_filter: str) -> DataFrame:
     return events.filter(F.expr(evidence_filter))
 
 
-def finding_events(findings: DataFrame, events: DataFrame, at_once: int = 100) -> DataFrame:
-    """(finding_id, event_id) of all findings, listed or not.
+def finding_events(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """(finding_id, event_id) of all events that findings stand on, of one or a billion.
 
-    Listed ids are rows already, and rules that list a sample find the rest by a join.  Of the other findings, each of which stands on more than ``INLINE_EVIDENCE`` events, only
-    id and predicate come to the driver; ``at_once`` predicates at a time are put to one pass over the events.
+    One pass over the events gives each the keys it has in the kinds of evidence, and one join finds the findings that name
+    them.  The join is salted, because a key with very many events is what a finding is about; spans are joined on the steps
+    they cover.  ``events`` must have the columns that the kinds look at.
     """
-    by_join = F.coalesce(F.col("rule_name").isin(*EVIDENCE), F.lit(False))
-    links = (findings.filter(F.col("event_ids").isNotNull() & ~by_join)
-             .select("finding_id", F.explode("event_ids").alias("event_id")))
-    for name, all_events in EVIDENCE.items():
-        links = links.unionByName(all_events(findings.filter(F.col("rule_name") == name), events))
-    long = (findings.filter(F.col("event_ids").isNull() & (F.col("event_count") > 0) & ~by_join)
-            .select("finding_id", "evidence_filter").orderBy("finding_id").collect())
-    for start in range(0, len(long), at_once):
-        tests = [F.when(F.expr(r["evidence_filter"]), F.lit(r["finding_id"])) for r in long[start:start + at_once]]
-        links = links.unionByName(events.select(
-            F.explode(F.array_compact(F.array(*tests))).alias("finding_id"), "event_id"))
-    return links
+    entries = findings.select("finding_id", F.explode("evidence").alias("e")).select("finding_id", "e.*")
+    named = entries.filter(F.col("kind") == ONE_EVENT).select("finding_id", F.col("key").alias("event_id"))
+    step_of = lambda at, kind: F.floor(at / F.lit(kind.step)).cast("long")
+    whole = F.array(F.lit(-1).cast("long"))
+    steps = F.coalesce(*[F.when(F.col("kind") == name, F.sequence(step_of(F.col("from"), kind), step_of(F.col("to"), kind)))
+                         for name, kind in sorted(EVIDENCE.items()) if kind.at], whole)
+    wanted = entries.filter(F.col("kind") != ONE_EVENT).withColumn("step", F.explode(steps))
+    none = F.lit(None).cast("long")
+    places = F.array_compact(F.array(*[
+        F.when(kind.events(), F.struct(
+            F.lit(name).alias("kind"), kind.key().cast("string").alias("key"), (kind.at() if kind.at else none).alias("at"),
+            (step_of(kind.at(), kind) if kind.at else F.lit(-1).cast("long")).alias("step"))) for name, kind in sorted(EVIDENCE.items())]))
+    rows = events.select("event_id", F.explode(places).alias("p")).select("event_id", "p.*").filter("key is not null and step is not null")
+    found = salted_join(rows, wanted, ["kind", "key", "step"]).filter(
+        F.col("from").isNull() | F.col("at").between(F.col("from"), F.col("to")))
+    return named.unionByName(found.select("finding_id", "event_id"))
+
+
+def with_event_ids(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """Findings with all their event ids as one sorted list each, for exports that want them in the row."""
+    lists = finding_events(findings, events).groupBy("finding_id").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
+    return findings.join(lists, "finding_id", "left").withColumn(
+        "event_ids", F.coalesce("event_ids", F.array().cast("array<string>")))
 
 
 def pivot_to_events(findings: DataFrame, events: DataFrame, narrow: DataFrame | None = None) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ids import evidence_lanes
 from fleetlens.functions.patterns import MALICIOUS_COMMAND
 from fleetlens.functions.text import COMMAND_SQL, command_of, first_filled, sql_quote
 from fleetlens.functions.times import micros, minute_text
 from fleetlens.operators.joins import MINUTE_MICROS, look_along_time, salted_join
 from fleetlens.rules.auth import HEAVY_FAILURE_COUNT, guessing_addresses
-from fleetlens.rules.base import finish, list_evidence, quoted_list, row_order, rule, text
+from fleetlens.rules.base import (
+    EVIDENCE, ONE_EVENT, EvidenceKind, counted, finish, keyed, pair_key, quoted_list, row_order, rule, text,
+)
 from fleetlens.session import cut_lineage
 
 # Which artifact an execution event comes from.
@@ -32,6 +35,22 @@ MALICIOUS_SQL = ("rlike(concat(coalesce(description, ''), ' ', coalesce(raw_line
                  f"r'{MALICIOUS_COMMAND}')")
 
 
+def is_malicious() -> Column:
+    return F.col("subcategory").isin(*SOURCE_KIND) & F.expr(MALICIOUS_SQL)
+
+
+def planted() -> Column:
+    return F.col("subcategory").isin(*CRON_FINDINGS)
+
+
+def cron_command() -> Column:
+    return F.trim(F.coalesce("raw_line", F.lit("")))
+
+
+EVIDENCE["malicious_commands"] = EvidenceKind(is_malicious, lambda: pair_key(F.col("host_id"), command_of()))
+EVIDENCE["planted_cron_commands"] = EvidenceKind(planted, lambda: pair_key(F.col("host_id"), cron_command()))
+
+
 @rule("suspicious_process", "1.1", suspicious_process_window=60)
 def suspicious_process(events: DataFrame, suspicious_process_window: float = 60,
                        heavy_failures: int = HEAVY_FAILURE_COUNT) -> DataFrame:
@@ -42,14 +61,14 @@ def suspicious_process(events: DataFrame, suspicious_process_window: float = 60,
     width = int(suspicious_process_window * MINUTE_MICROS)
     kind = F.coalesce(*[F.when(F.col("subcategory").isin(*[s for s, k in SOURCE_KIND.items() if k == name]),
                                name) for name in SOURCE_LABEL])
-    members = (events.filter(F.col("subcategory").isin(*SOURCE_KIND) & F.expr(MALICIOUS_SQL))
+    members = (events.filter(is_malicious())
                .select("event_id", "event_hash", "host_id", "timestamp_utc", "subcategory",
                        "source_artifact_path", "raw_line", command_of().alias("command"),
                        kind.alias("kind")))
     members = cut_lineage(members)  # one pass over the event table
     key = ["host_id", "command"]
     heads = members.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("members"), F.min("timestamp_utc").alias("first"),
+        *counted(), F.min("timestamp_utc").alias("first"),
         F.max("timestamp_utc").alias("last"),
         F.min_by(F.struct("raw_line", "source_artifact_path"), row_order()).alias("row"),
         *[F.min(F.when(F.col("kind") == k, row_order())).alias(f"first_{k}") for k in SOURCE_LABEL],
@@ -68,13 +87,14 @@ def suspicious_process(events: DataFrame, suspicious_process_window: float = 60,
     first_login = F.col("before.next")
     matched = (near.filter(first_login.getField("at") <= at).groupBy(*key)
                .agg(F.min_by(first_login.getField("item"), row_order()).alias("login")))
-    heads = list_evidence(heads.withColumnRenamed("members", "event_count"), members, key)
+    login, key_of = F.col("login.event_id"), pair_key(F.col("host_id"), F.col("command"))
     heads = (heads.join(matched, key, "left")
              .withColumn("members", F.col("event_count"))
-             .withColumn("event_ids", F.when(
-                 F.col("login").isNull(), F.col("event_ids")).otherwise(
-                 F.array_sort(F.array_append("event_ids", F.col("login.event_id")))))
-             .withColumn("event_count", F.col("event_count") + F.when(F.col("login").isNull(), 0).otherwise(1))
+             .withColumns({lane: F.col(lane) + F.when(login.isNull(), 0).otherwise(own)
+                           for lane, own in evidence_lanes(login).items()})
+             .withColumn("event_count", F.col("event_count") + F.when(login.isNull(), 0).otherwise(1))
+             .withColumn("evidence", F.filter(
+                 F.array(keyed("malicious_commands", key_of), keyed(ONE_EVENT, login)), lambda e: e["key"].isNotNull()))
              .withColumn("evidence_filter", text(
                  "(host_id = ", sql_quote(F.col("host_id")),
                  f" AND subcategory IN ({quoted_list(SOURCE_KIND)}) AND {MALICIOUS_SQL} AND {COMMAND_SQL} = ",
@@ -119,22 +139,22 @@ def suspicious_process(events: DataFrame, suspicious_process_window: float = 60,
 @rule("suspicious_cron")
 def suspicious_cron(events: DataFrame) -> DataFrame:
     """A scheduled command of suspicious shape, with or without a login near it."""
-    rows = (events.filter(F.col("subcategory").isin(*CRON_FINDINGS))
-            .withColumn("command", F.trim(F.coalesce("raw_line", F.lit("")))))
+    rows = events.filter(planted()).withColumn("command", cron_command())
     key = ["host_id", "command"]
     ran = F.col("subcategory") == "suspicious_cron_command"
     named = F.col("actor_user") != ""
     heads = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_if(ran).alias("executions"),
+        *counted(), F.count_if(ran).alias("executions"),
         F.count_if(~ran).alias("schedules"),
         F.min(F.when(ran, F.col("timestamp_utc"))).alias("first"),
         F.max(F.when(ran, F.col("timestamp_utc"))).alias("last"),
         F.min_by("actor_user", F.when(named, row_order())).alias("user"),
         F.min("source_artifact_path").alias("path"))
     matched = F.regexp_extract("command", MALICIOUS_COMMAND, 0)
-    heads = list_evidence(heads.withColumn("evidence_filter", text(
+    heads = heads.withColumn("evidence_filter", text(
         "host_id = ", sql_quote(F.col("host_id")), f" AND subcategory IN ({quoted_list(CRON_FINDINGS)})"
-        " AND trim(coalesce(raw_line, '')) = ", sql_quote(F.col("command")))), rows, key)
+        " AND trim(coalesce(raw_line, '')) = ", sql_quote(F.col("command")))).withColumn(
+        "evidence", F.array(keyed("planted_cron_commands", pair_key(F.col("host_id"), F.col("command")))))
     shown = first_filled(F.trim(matched), F.col("command"), "(unparsed cron command)")
     return finish(
         heads, "suspicious_cron", "1.0", "high",

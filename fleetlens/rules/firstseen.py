@@ -7,31 +7,37 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import sql_quote
 from fleetlens.functions.times import from_micros, iso_text, micros, minute_text
-from fleetlens.operators.joins import salted_join, with_scalar
+from fleetlens.operators.joins import with_scalar
 from fleetlens.operators.search import not_tool_noise
-from fleetlens.operators.windows import first_n_per_group
-from fleetlens.rules.base import EVIDENCE, finish, rule, text
+from fleetlens.rules.base import EVIDENCE, EvidenceKind, counted, finish, keyed, rule, text
 
-# Looked-at columns with their label, sample size and smallest case.
+# Looked-at columns with their label, and the smallest case.
 FIELDS = (("source_ip", "address"), ("actor_user", "username"))
-SAMPLE = 25
 MIN_EVENTS = 50
 
 
-def title_start(label: str) -> str:
-    return f"First appearance of {label} "
+def dated_value(column: str):
+    return lambda: F.col(column).isNotNull() & F.col("timestamp_utc").isNotNull()
+
+
+def _value(column: str):
+    return lambda: F.col(column)
+
+
+EVIDENCE.update({f"events_of_{label}": EvidenceKind(dated_value(column), _value(column)) for column, label in FIELDS})
 
 
 def late_values(events: DataFrame, column: str, late_fraction: float, min_events: int) -> DataFrame:
-    """Values whose first event lies in the late part of the covered period."""
+    """Values whose first event (tool noise aside) lies in the late part of the covered period, with all their events counted."""
     at = micros(F.col("timestamp_utc"))
-    dated = events.filter(F.col("timestamp_utc").isNotNull())
-    span = (dated.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n_all"))
+    span = (events.filter(F.col("timestamp_utc").isNotNull())
+            .agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n_all"))
             .withColumn("threshold", F.round(
                 F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(late_fraction)).cast("long")))
-    first = (dated.filter(F.col(column).isNotNull() & not_tool_noise())
-             .groupBy(F.col(column).alias("value"))
-             .agg(F.min(at).alias("first_us"), F.max(at).alias("last_us"), F.count(F.lit(1)).alias("n")))
+    own = F.when(not_tool_noise(), at)
+    first = (events.filter(dated_value(column)()).groupBy(F.col(column).alias("value"))
+             .agg(F.min(own).alias("first_us"), F.max(own).alias("last_us"), F.count(own).alias("n"), *counted(),
+                  F.min_by("host_id", F.struct("timestamp_utc", "event_hash")).alias("host")))
     return with_scalar(first, span).filter(
         (F.col("n_all") >= min_events) & (F.col("hi") > F.col("lo")) & (F.col("first_us") >= F.col("threshold")))
 
@@ -40,23 +46,13 @@ def late_values(events: DataFrame, column: str, late_fraction: float, min_events
 def first_seen(events: DataFrame, late_fraction: float = 0.5, min_events: int = MIN_EVENTS) -> DataFrame:
     parts = []
     for column, label in FIELDS:
-        late = late_values(events, column, late_fraction, min_events)
-        rows = (events.filter(F.col(column).isNotNull() & F.col("timestamp_utc").isNotNull())
-                .select(F.col(column).alias("value"), "event_id", "event_hash", "host_id", "timestamp_utc"))
-        sample = first_n_per_group(
-            salted_join(rows, late.select("value"), ["value"], "left_semi"), ["value"],
-            [F.col("timestamp_utc"), F.col("event_hash")], SAMPLE)
-        cited = sample.groupBy("value").agg(
-            F.array_sort(F.collect_list("event_id")).alias("event_ids"),
-            F.min_by("host_id", "rank_in_group").alias("host"))
-        heads = (late.join(cited, "value")
-                 .withColumn("event_count", F.size("event_ids").cast("long"))
-                 .withColumn("evidence_filter", text(
-                     f"{column} = ", sql_quote(F.col("value")), " AND timestamp_utc IS NOT NULL")))
+        heads = late_values(events, column, late_fraction, min_events).withColumns({
+            "evidence": F.array(keyed(f"events_of_{label}", F.col("value"))),
+            "evidence_filter": text(f"{column} = ", sql_quote(F.col("value")), " AND timestamp_utc IS NOT NULL")})
         value, first = F.col("value"), from_micros(F.col("first_us"))
         parts.append(finish(
             heads, "first_seen", "1.0", "low",
-            title=text(title_start(label), value),
+            title=text(f"First appearance of {label} ", value),
             what=text(f"The {label} ", value, " shows up for the first time on ", minute_text(first),
                       " and ", F.col("n"), " time(s) in all."),
             why=text("The records start at ", minute_text(from_micros(F.col("lo"))),
@@ -68,24 +64,3 @@ def first_seen(events: DataFrame, late_fraction: float = 0.5, min_events: int =
                         iso_text(from_micros(F.col("threshold")))),
             host=F.col("host"), first=first, last=from_micros(F.col("last_us"))))
     return parts[0].unionByName(parts[1])
-
-
-def first_seen_events(findings: DataFrame, events: DataFrame) -> DataFrame:
-    """(finding_id, event_id) of all dated events of each finding's value, of which the finding lists the earliest."""
-    parts = []
-    for column, label in FIELDS:
-        start = title_start(label)
-        heads = findings.filter(F.col("title").startswith(start)).select(
-            "finding_id", F.expr(f"substr(title, {len(start) + 1})").alias("value")).distinct()
-        if not {column, "timestamp_utc"} <= set(events.columns):
-            # Fails only if there is such a finding.
-            parts.append(heads.select("finding_id", F.raise_error(F.lit(
-                f"events without {column} or timestamp_utc")).cast("string").alias("event_id")))
-            continue
-        rows = events.filter(F.col(column).isNotNull() & F.col("timestamp_utc").isNotNull()).select(
-            F.col(column).alias("value"), "event_id")
-        parts.append(salted_join(rows, heads, ["value"]).select("finding_id", "event_id"))
-    return parts[0].unionByName(parts[1])
-
-
-EVIDENCE["first_seen"] = first_seen_events

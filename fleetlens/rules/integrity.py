@@ -9,7 +9,7 @@ from fleetlens.functions.text import sql_quote, strip_quotes
 from fleetlens.functions.times import iso_text, micros, minute_text
 from fleetlens.operators.joins import with_scalar
 from fleetlens.operators.windows import HOUR_MICROS, chunked_scan
-from fleetlens.rules.base import LOGINS, finish, per_event, row_order, rule, text
+from fleetlens.rules.base import LOGINS, finish, listed, per_event, row_order, rule, text
 from fleetlens.session import cut_lineage
 
 # Accounts that never use an interactive shell.
@@ -133,13 +133,11 @@ def rotation_gap(events: DataFrame) -> DataFrame:
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("gap_from", shown.alias("s")))),
                               lambda g: g["s"]).alias("gaps"))
              .join(members.groupBy("family").agg(F.max("number").alias("highest")), "family")
-             .withColumn("event_count", F.lit(0).cast("long"))
-             .withColumn("event_ids", F.array().cast("array<string>"))
              .withColumn("evidence_filter", text("startswith(source_artifact_path, ",
                                                  sql_quote(F.concat("family", F.lit("."))), ")")))
     family = F.col("family")
     return finish(
-        heads, "rotation_gap", "1.0", "medium",
+        listed(heads, F.array().cast("array<string>")), "rotation_gap", "1.0", "medium",
         title=text("Gap in the rotation sequence of ", family),
         what=text("Copies ", F.array_join("gaps", ", "), " of ", family, " are missing, while number ",
                   F.col("highest"), " is there."),
@@ -178,7 +176,7 @@ def timeline_gap(events: DataFrame, timeline_gap_hours: float = 6, min_events: i
     keys = ["source_artifact_path"] + (["host_id"] if scope == "host" else [])
     heads = first_long_gaps(events, keys, timeline_gap_hours, min_events, min_rate)
     pair = F.array_sort(F.array("from_id", "to_id"))
-    heads = (heads.withColumn("event_count", F.lit(2).cast("long")).withColumn("event_ids", pair)
+    heads = (listed(heads, pair)
              .withColumn("evidence_filter", text("event_id IN ('", F.array_join(pair, "', '"), "')"))
              .withColumn("first", F.timestamp_micros("from_us")).withColumn("last", F.timestamp_micros("to_us"))
              .withColumn("hours", (F.col("to_us") - F.col("from_us")) / HOUR_MICROS))
@@ -216,8 +214,7 @@ def backwards_timestamps(events: DataFrame, scope: str = "case") -> DataFrame:
     """Time runs backwards inside one log."""
     keys = ["source_artifact_path"] + (["host_id"] if scope == "host" else [])
     pair = F.array_sort(F.array("bad.above.event_id", "bad.event_id"))
-    heads = (inversions(events, keys).withColumn("event_count", F.lit(2).cast("long"))
-             .withColumn("event_ids", pair)
+    heads = (listed(inversions(events, keys), pair)
              .withColumn("evidence_filter", text("event_id IN ('", F.array_join(pair, "', '"), "')")))
     path, n = F.col("source_artifact_path"), F.col("inversions")
     return finish(

@@ -7,29 +7,45 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.text import first_filled, privileged_group, sorted_text, sql_quote, strip_quotes
 from fleetlens.operators.search import ascii_ilike
-from fleetlens.rules.base import finish, list_evidence, per_event, row_order, rule, text
+from fleetlens.rules.base import EVIDENCE, EvidenceKind, counted, finish, keyed, per_event, row_order, rule, text
 
 USER_SQL = "btrim(coalesce(nullif(actor_user, ''), 'unknown'), '\\'\"')"
 
 
-def _by_user(events: DataFrame, predicate: str, *extra: Column) -> DataFrame:
-    """One head per account over the rows that satisfy a SQL predicate."""
-    rows = events.filter(F.expr(predicate)).withColumn(
-        "user", strip_quotes(first_filled(F.col("actor_user"), "unknown")))
-    heads = rows.groupBy("user").agg(
-        F.count(F.lit(1)).alias("event_count"),
+# Which rows speak about an account.
+ABOUT = {
+    "uid0_account": "subcategory = 'uid0_account' OR (actor_uid = 0 AND actor_user IS NOT NULL AND actor_user != 'root')",
+    "passwordless_account": "subcategory = 'passwordless_account'",
+    "privileged_group_member": "subcategory = 'privileged_group_member'",
+}
+
+
+def account() -> Column:
+    return strip_quotes(first_filled(F.col("actor_user"), "unknown"))
+
+
+def _about(kind: str):
+    return lambda: F.expr(ABOUT[kind])
+
+
+EVIDENCE.update({kind: EvidenceKind(_about(kind), account) for kind in ABOUT})
+
+
+def _by_user(events: DataFrame, kind: str, *extra: Column) -> DataFrame:
+    """One head per account over the rows of a kind."""
+    heads = events.filter(F.expr(ABOUT[kind])).withColumn("user", account()).groupBy("user").agg(
+        *counted(),
         F.min_by(F.struct("host_id", first_filled(F.col("description"), F.col("raw_line")).alias("shown")),
                  row_order()).alias("row"), *extra)
-    heads = heads.withColumn("evidence_filter", text(
-        f"({predicate}) AND {USER_SQL} = ", sql_quote(F.col("user"))))
-    return list_evidence(heads, rows, ["user"])
+    return heads.withColumn("evidence_filter", text(
+        f"({ABOUT[kind]}) AND {USER_SQL} = ", sql_quote(F.col("user")))).withColumn(
+        "evidence", F.array(keyed(kind, F.col("user"))))
 
 
 @rule("uid0_account")
 def uid0_account(events: DataFrame) -> DataFrame:
     """Accounts other than root that have user id 0."""
-    heads = _by_user(events, "subcategory = 'uid0_account' OR (actor_uid = 0 AND actor_user IS NOT NULL "
-                             "AND actor_user != 'root')")
+    heads = _by_user(events, "uid0_account")
     user = F.col("user")
     return finish(
         heads, "uid0_account", "1.0", "high",
@@ -44,7 +60,7 @@ def uid0_account(events: DataFrame) -> DataFrame:
 
 @rule("passwordless_account")
 def passwordless_account(events: DataFrame) -> DataFrame:
-    heads = _by_user(events, "subcategory = 'passwordless_account'")
+    heads = _by_user(events, "passwordless_account")
     user = F.col("user")
     return finish(
         heads, "passwordless_account", "1.0", "high",
@@ -61,7 +77,7 @@ def passwordless_account(events: DataFrame) -> DataFrame:
 def privileged_group_member(events: DataFrame) -> DataFrame:
     """Members of administrative groups, one finding per account naming all its groups."""
     # The groups are those of a short fixed list, so the set per account stays small.
-    heads = _by_user(events, "subcategory = 'privileged_group_member'",
+    heads = _by_user(events, "privileged_group_member",
                      F.collect_set(privileged_group(F.col("description"))).alias("groups"))
     user = F.col("user")
     groups = first_filled(sorted_text(F.col("groups")), "a privileged group")

@@ -64,6 +64,14 @@ HOST_SCHEMA = T.StructType([
     T.StructField("contamination", CONTAMINATION_TYPE),
 ])
 
+# Where a finding's events are: a key in a kind of evidence, with the span of its order where only a part counts.
+EVIDENCE_TYPE = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("key", T.StringType()),
+    T.StructField("from", T.LongType()),
+    T.StructField("to", T.LongType()),
+])
+
 FINDING_SCHEMA = T.StructType([
     T.StructField("finding_id", T.StringType()),
     T.StructField("rule_name", T.StringType()),
@@ -79,7 +87,7 @@ FINDING_SCHEMA = T.StructType([
     T.StructField("last_ts_utc", T.TimestampType()),
     T.StructField("host_id", T.StringType()),
     T.StructField("event_count", T.LongType()),
-    T.StructField("event_ids", T.ArrayType(T.StringType())),
+    T.StructField("evidence", T.ArrayType(EVIDENCE_TYPE)),
     T.StructField("evidence_filter", T.StringType()),
 ])
 FINDING_COLUMNS = FINDING_SCHEMA.fieldNames()

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from fleetlens.functions.structured import ids_to_json
 from fleetlens.functions.times import iso_text
 from fleetlens.operators.dedupe import dedupe_events, only_new
-from fleetlens.rules.base import finding_errors
+from fleetlens.rules.base import finding_errors, with_event_ids
 from fleetlens.schema import (
     CATEGORIES, EVENT_COLUMNS, EVENT_KINDS, EVENT_SCHEMA, RAW_LINE_MAX_BYTES, REQUIRED_TEXT, SEVERITIES,
     TIMESTAMP_CONFIDENCES, TZ_SOURCES,
@@ -165,6 +165,6 @@ def write_findings(findings: DataFrame, path: str, case_id: str) -> None:
         raise ValueError(f"rule {broken[0]['rule_name']} gave an invalid finding: {broken[0]['errors']}")
 
 
-def findings_for_export(findings: DataFrame) -> DataFrame:
-    """Findings with their ids as JSON text."""
-    return findings.withColumn("event_ids", ids_to_json(F.col("event_ids")))
+def findings_for_export(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """Findings with the ids of all their events as JSON text."""
+    return with_event_ids(findings, events).withColumn("event_ids", ids_to_json(F.col("event_ids")))

@@ -64,8 +64,9 @@ def found(events, name, **kw):
     return REGISTRY[name].findings(events, **kw).collect()
 
 
-def expected_id(r):
-    text = "\x1f".join([r.rule_name, r.rule_version, r.title, r.host_id or "", "\x1e".join(sorted(r.event_ids))])
+def expected_id(r, ids):
+    lanes = [sum(int(hashlib.sha256(i.encode()).hexdigest()[15 * k: 15 * k + 15], 16) for i in ids) for k in (0, 1)]
+    text = "\x1f".join([r.rule_name, r.rule_version, r.title, r.host_id or "", str(len(ids)), *map(str, lanes)])
     return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
@@ -78,12 +79,15 @@ def test_incident(table):
     assert {"brute_force", "brute_force_success", "new_account_privilege_grant", "persistence_after_login",
             "suspicious_process", "suspicious_cron", "off_hours_privileged"} <= names
     assert [r.severity for r in rows] == sorted((r.severity for r in rows), key=["high", "medium", "low", "info"].index)
+    links: dict = {}
+    for link in base.finding_events(report.findings, events).collect():
+        links.setdefault(link.finding_id, []).append(link.event_id)
     for r in rows:
-        assert r.finding_id == expected_id(r) and len(r.event_ids) == r.event_count
-        if r.event_ids:
-            # The predicate selects exactly the listed events.
-            assert sorted(e.event_id for e in evidence_of(events, r.evidence_filter).collect()) == sorted(r.event_ids) \
-                or r.rule_name == "first_seen"
+        # Predicate, keys, count and id speak of the same events.
+        ids = sorted(links.get(r.finding_id, []))
+        assert r.finding_id == expected_id(r, ids) and len(ids) == r.event_count, r.rule_name
+        if ids:
+            assert sorted(e.event_id for e in evidence_of(events, r.evidence_filter).collect()) == ids, r.rule_name
     assert report.findings.withColumn("e", finding_errors(report.findings)).filter(F.size("e") > 0).count() == 0
     one = {r.rule_name: r for r in rows}
     assert one["brute_force"].event_count == 47 and one["brute_force"].title == "Repeated failed logins from 203.0.113.5"
@@ -113,15 +117,18 @@ def test_silence(table):
     assert found(late, "new_account_privilege_grant") == []
 
 
-def test_long_evidence_is_counted_not_listed(table, monkeypatch):
-    from fleetlens.rules import auth
-    monkeypatch.setattr(base, "INLINE_EVIDENCE", 10)
-    monkeypatch.setattr(auth, "INLINE_EVIDENCE", 10)
-    events = table(*incident())
-    for name, count in (("brute_force", 47), ("brute_force_success", 48)):
-        [r] = found(events, name)
-        assert r.event_ids is None and r.event_count == count
-        assert evidence_of(events, r.evidence_filter).count() == count
+def test_evidence_of_any_size_has_one_formula(table):
+    """Thousands of failures: one small row, the id of the same formula, and all events by their keys."""
+    events = table(*[fail(i) for i in range(3000)], dict(subcategory="successful_login", timestamp_utc=START + timedelta(minutes=14),
+                                                         source_ip="203.0.113.5", actor_user="root")).cache()
+    for name, count in (("brute_force", 3000), ("brute_force_success", 841)):
+        findings = REGISTRY[name].findings(events)
+        [r] = findings.collect()
+        ids = [x.event_id for x in base.finding_events(findings, events).collect()]
+        assert r.event_count == len(ids) == len(set(ids)) == count and r.finding_id == expected_id(r, ids)
+        assert evidence_of(events, r.evidence_filter).count() == count and len(r.evidence) <= 2
+        [whole] = base.with_event_ids(findings, events).collect()
+        assert whole.event_ids == sorted(ids)
 
 
 def test_history_rules(table):
@@ -146,7 +153,7 @@ def test_log_rules(table):
     names = lambda *ns: table(*[dict(source_artifact_path=f"var/log/auth.log.{n}") for n in ns])
     [rot] = found(names("1", "4.gz", "5"), "rotation_gap")
     assert rot.title == "Gap in the rotation sequence of var/log/auth.log" and "2-3" in rot.what_happened
-    assert rot.event_ids == [] and found(names("1", "2", "3.gz"), "rotation_gap") == []
+    assert rot.evidence == [] and rot.event_count == 0 and found(names("1", "2", "3.gz"), "rotation_gap") == []
     empty = dict(subcategory="utmp_empty", event_kind="state_finding", source_artifact_path="var/log/wtmp")
     assert [r.confidence for r in found(table(empty), "zero_length_login_log")] == ["Medium"]
     other = dict(subcategory="session_opened", timestamp_utc=START)
@@ -157,7 +164,7 @@ def test_first_seen(table):
     old = [dict(timestamp_utc=START + timedelta(hours=i), source_ip="192.0.2.1", actor_user="ann") for i in range(60)]
     new = [dict(timestamp_utc=START + timedelta(hours=50, minutes=i), source_ip="192.0.2.9", actor_user="ann") for i in range(30)]
     [r] = found(table(*old, *new), "first_seen")
-    assert r.title == "First appearance of address 192.0.2.9" and r.event_count == 25
+    assert r.title == "First appearance of address 192.0.2.9" and r.event_count == 30
     assert found(table(*old[:20], *new[:20]), "first_seen") == []
 
 

@@ -103,21 +103,25 @@ def test_names_keep_their_types_and_characters(spark, tmp_path):
 
 
 def test_pivot_returns_all_events_of_long_findings(spark):
-    from fleetlens.rules.base import INLINE_EVIDENCE, empty_findings, finding_events, pivot_to_events
-
-    events = audit_events(spark, SMALL).select("event_id", "host_id", "actor_user")
-    big = INLINE_EVIDENCE + 500
-    spread = spark.range(big).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("h").alias("host_id"), F.lit("u").alias("actor_user"))
-    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in empty_findings(spark).schema.fields}
+    """Keys shared by findings, spans that reach over steps, and an account with 3 000 events, without a list in a row."""
+    from fleetlens.rules.base import empty_findings, finding_events, pivot_to_events
+
+    big = 3000
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in audit_events(spark, SMALL).schema.fields}
+    given = {"event_id": F.concat(F.lit("e"), F.col("id")), "actor_user": F.lit("u"), "subcategory": F.lit("sudo_privilege"),
+             "category": F.lit("privilege_escalation"), "event_kind": F.lit("event"), "timestamp_utc": F.timestamp_micros(F.col("id") * 60_000_000)}
+    events = spark.range(big).select(*[given.get(c, v).alias(c) for c, v in columns.items()])
+    minute = 60_000_000
     rows = spark.createDataFrame(
-        [(f"f{i}", None, float(big), f"host_id = 'h' AND actor_user = 'u' AND {i} = {i}") for i in range(3)] + [("g", ["e1", "e2"], 2.0, "false")],
-        "finding_id string, event_ids array<string>, n double, evidence_filter string")
-    findings = rows.select(*[F.col(c) if c in ("finding_id", "event_ids", "evidence_filter") else
-                             F.col("n").cast("long").alias(c) if c == "event_count" else v for c, v in blank.items()])
-    both = events.unionByName(spread)
-    got = {r.finding_id: r["count"] for r in finding_events(findings, both, at_once=2).groupBy("finding_id").count().collect()}
-    assert got == {"f0": big, "f1": big, "f2": big, "g": 2}
-    assert pivot_to_events(findings, both).filter("finding_id = 'g'").count() == 2
+        [(f"f{i}", [("grants_to_account", "u", 0, big * minute)]) for i in range(3)]
+        + [("part", [("grants_to_account", "u", 59 * minute, 181 * minute), ("event", "e1", None, None)]), ("g", [("event", "e1", None, None), ("event", "e2", None, None)]),
+           ("none", []), ("other", [("grants_to_account", "nobody", 0, big * minute)])],
+        "finding_id string, evidence array<struct<kind:string,key:string,`from`:bigint,`to`:bigint>>")
+    findings = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                             for f in empty_findings(spark).schema.fields])
+    got = {r.finding_id: r["count"] for r in finding_events(findings, events).groupBy("finding_id").count().collect()}
+    assert got == {"f0": big, "f1": big, "f2": big, "part": 124, "g": 2}
+    assert pivot_to_events(findings, events).filter("finding_id = 'g'").count() == 2
 
 
 def test_exports_are_the_same_every_time(spark, tmp_path):
