@@ -140,47 +140,38 @@ def path_id(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
-def structure(page: str) -> Iterator[tuple[str, str, int, int]]:
-    """(event, path, text length, linked length): open and close of elements with their label paths, and visible text."""
-    walk = Walk()
-    for kind, name, text in tokens(page):
-        if kind == "open":
-            walk.open(name, text)
-            yield "open", walk.paths[-1], 0, 0
-            if name in VOID:
-                walk.close(name)
-        elif kind == "close":
-            for path in walk.close(name):
-                yield "close", path, 0, 0
-        elif kind == "text":
-            size = len(text.strip())
-            if size and walk.paths:
-                yield "text", walk.paths[-1], size, size if "a" in walk.names else 0
+def block_id(path: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(path + "\n" + text) - (1 << 63)
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, host, html) to (host, token, path, vector, pages): the occurrence vectors of element tokens.
+    """(page, host, html) to (host, token, path, vector, pages, contents): the occurrence vectors of tokens.
 
-    A token is an element by its path of labels.  Its vector, the count per page, is summed up as a digest over pages, which
-    adds over tasks: equal digests are equal vectors.
+    A token is an element by its path of labels, or a block of text by its words and the path it stands in (null ``path``).
+    Its vector, the count per page, is summed up as a digest over pages, which adds over tasks: equal digests are equal
+    vectors.  ``contents`` has a bit of 64 for each page content, so that copies of one page count as one.
     """
     for batch in batches:
-        totals: dict[tuple[str, str], list[int]] = {}
+        totals: dict[tuple[str, int], list] = {}
         for page, host, text in zip(*(c.to_pylist() for c in batch.columns)):
-            counts: dict[str, int] = {}
-            for event, path, _, _ in structure(text):
-                if event == "open":
-                    counts[path] = counts.get(path, 0) + 1
-            for path, n in counts.items():
-                t = totals.setdefault((host, path), [0, 0])
+            counts: dict[int, list] = {}
+            for event in events(text, {}):
+                if event[0] == "open":
+                    counts.setdefault(path_id(event[1]), [0, event[1]])[0] += 1
+                elif event[0] == "block":
+                    counts.setdefault(event[1], [0, None])[0] += 1
+            bit = 1 << (xxhash.xxh3_64_intdigest(text) & 63)
+            for token, (n, path) in counts.items():
+                t = totals.setdefault((host, token), [0, 0, path, 0])
                 t[0] = (t[0] + xxhash.xxh3_64_intdigest(f"{page}:{n}")) & ((1 << 64) - 1)
                 t[1] += 1
-        hosts, paths = zip(*totals) if totals else ((), ())
-        vectors = np.array([t[0] for t in totals.values()], np.uint64).view(np.int64)
+                t[3] |= bit
+        hosts, found = zip(*totals) if totals else ((), ())
+        whole = lambda k: pa.array(np.array([t[k] for t in totals.values()], np.uint64).view(np.int64))
         yield pa.record_batch(
-            [pa.array(hosts, pa.string()), pa.array([path_id(p) for p in paths], pa.int64()), pa.array(paths, pa.string()),
-             pa.array(vectors), pa.array([t[1] for t in totals.values()], pa.int64())],
-            ["host", "token", "path", "vector", "pages"])
+            [pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array([t[2] for t in totals.values()], pa.string()),
+             whole(0), pa.array([t[1] for t in totals.values()], pa.int64()), whole(3)],
+            ["host", "token", "path", "vector", "pages", "contents"])
 
 
 def class_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,33 +188,43 @@ def class_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rounds: dict[int, list[list[int]]] = {}
             parents: dict[int, set] = {}
+            places: dict[int, set] = {}
             sizes: dict[int, list[int]] = {}
             stack: list[tuple[int, int]] = []
-            for event, path, size, linked in structure(text):
-                token = path_id(path)
-                if event == "open":
-                    own = member.get(token)
-                    if own is not None:
-                        outer = next((s for s in reversed(stack) if s[0] != own), None)
-                        parents.setdefault(own, set()).add(outer)
-                        lists = rounds.setdefault(own, [[]])
-                        if token in lists[-1]:
-                            lists.append([])
-                        lists[-1].append(token)
-                        stack.append((own, token))
-                        sizes.setdefault(token, [0, 0])
-                elif event == "close":
-                    if stack and stack[-1][1] == token:
+
+            def begin(token: int, is_block: bool = False) -> bool:
+                own = member.get(token)
+                if own is None:
+                    return False
+                outer = next((s for s in reversed(stack) if s[0] != own), None)
+                # A block stands in a slot of its own, whatever else its class has.
+                (places.setdefault(token, set()) if is_block else parents.setdefault(own, set())).add(outer)
+                lists = rounds.setdefault(own, [[]])
+                if token in lists[-1]:
+                    lists.append([])
+                lists[-1].append(token)
+                sizes.setdefault(token, [0, 0])
+                return True
+
+            for kind, what, size, linked in events(text, {}):
+                if kind == "open":
+                    token = path_id(what)
+                    if begin(token):
+                        stack.append((member[token], token))
+                elif kind == "close":
+                    if stack and stack[-1][1] == path_id(what):
                         stack.pop()
-                else:
+                elif kind == "text":
                     for around in {t for _, t in stack}:
                         s = sizes[around]
                         s[0] += size
                         s[1] += linked
+                elif kind == "block":
+                    begin(what, True)
             for own, lists in rounds.items():
                 order = {path_id(repr(x)) for x in lists}
-                nest = {path_id(repr(x)) for x in parents[own]}
                 for token in {t for x in lists for t in x}:
+                    nest = {path_id(repr(x)) for x in (places.get(token) or parents[own])}
                     t = totals.setdefault((host, own, token), [min(order), max(order), min(nest), max(nest), 0, 0])
                     t[0], t[1], t[2], t[3] = min(t[0], *order), max(t[1], *order), min(t[2], *nest), max(t[3], *nest)
                     t[4] += sizes[token][0]
@@ -234,28 +235,38 @@ def class_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               ["host", "class", "token", "low", "high", "parent_low", "parent_high", "text", "linked"])
 
 
-def main_text(page: str, template: dict[int, float]) -> str:
-    """The main text of a page, given the link share of each token of its host's template (path id to share)."""
+#: Share of its text in links above which an element of the template is a list of links.
+MOSTLY_LINKS = 0.6
+#: What stands for a block of text that the template itself has, where elements have their link share.
+TEMPLATE_TEXT = 2.0
+
+
+def events(page: str, template: dict[int, float]) -> Iterator[tuple]:
+    """What a page consists of, given the link share of each token of its host's template (token id to share):
+
+    ("open", path, 0, 0) and ("close", path, 0, 0) of elements, ("text", path, length, linked length), and
+    ("block", token, text, keep) when a block of text ends; ``keep`` is (in the main part, in none of its surroundings).
+    """
     walk = Walk()
     inside: list[bool] = []
     aside: list[bool] = []
-    blocks: list[tuple[list[str], bool, bool]] = []
     now: list[str] = []
-    state = (False, False)
-    any_main = False
+    state, where = (False, False), ""
 
-    def end_block():
+    def ended():
         nonlocal now
         if now:
-            blocks.append((now, *state))
+            text = SPACE.sub(" ", html.unescape("".join(now)).replace("\xa0", " ")).strip()
             now = []
+            if text:
+                yield "block", block_id(where, text), text, state
 
     for kind, name, text in tokens(page):
         if kind == "open":
             if name in BLOCKS or name == "br":
-                end_block()
-            depth = len(walk.names)
+                yield from ended()
             walk.open(name, text)
+            yield "open", walk.paths[-1], 0, 0
             del inside[len(walk.names) - 1:], aside[len(walk.names) - 1:]
             words, hidden = walk.info[-1]
             top = not inside
@@ -269,51 +280,74 @@ def main_text(page: str, template: dict[int, float]) -> str:
             own_header = name in ("header", "hgroup") and not top and inside[-1] and not named
             landmark = (name in ASIDE and not own_header) or (bool(named) and name not in ("body", "html", "main")
                                                               and not (name == "article" and not words & {"comment", "comments"}))
-            linked = template.get(path_id(walk.paths[-1]), 0.0) > 0.6 and name not in ("a", "body", "html") and not in_main
+            linked = template.get(path_id(walk.paths[-1]), 0.0) > MOSTLY_LINKS and name not in ("a", "body", "html") and not in_main
             inside.append(in_main)
             aside.append((not top and aside[-1]) or landmark or hidden or linked)
-            any_main = any_main or (in_main and not aside[-1])
+            if in_main and not aside[-1]:
+                yield "main", "", 0, 0
             if name in VOID:
-                walk.close(name)
+                for path in walk.close(name):
+                    yield "close", path, 0, 0
                 del inside[len(walk.names):], aside[len(walk.names):]
         elif kind == "close":
             if name in BLOCKS:
-                end_block()
-            walk.close(name)
+                yield from ended()
+            for path in walk.close(name):
+                yield "close", path, 0, 0
             del inside[len(walk.names):], aside[len(walk.names):]
             if name == "p" or name in BLOCKS:
-                end_block()
+                yield from ended()
         elif kind == "text":
             new = (inside[-1] if inside else False, aside[-1] if aside else False)
             if new != state:
-                end_block()
+                yield from ended()
                 state = new
+            if not now:
+                where = walk.paths[-1] if walk.paths else ""
             now.append(text)
-    end_block()
-    out = []
-    for parts, in_main, boring in blocks:
-        if boring or (any_main and not in_main):
-            continue
-        text = SPACE.sub(" ", html.unescape("".join(parts)).replace("\xa0", " ")).strip()
-        if text:
-            out.append(text)
-    return " ".join(out)
+            size = len(text.strip())
+            if size and walk.paths:
+                yield "text", walk.paths[-1], size, size if "a" in walk.names else 0
+    yield from ended()
+
+
+def main_text(page: str, template: dict[int, float]) -> str:
+    """The main text of a page: its blocks that fill slots of the template (token id to link share) and lie in no surroundings."""
+    any_main, blocks = False, []
+    for event in events(page, template):
+        if event[0] == "main":
+            any_main = True
+        elif event[0] == "block" and not event[3][1] and template.get(event[1], 0.0) < TEMPLATE_TEXT:
+            blocks.append((event[3][0], event[2]))
+    return " ".join(text for in_main, text in blocks if in_main or not any_main)
+
+
+#: A block of text is the template's if it is in this share of a host's pages and page contents, and in so many contents.
+SHARED = 0.6
+LEAST_CONTENTS = 9
 
 
 def templates(pages: DataFrame, host: str, text: str, page: str) -> DataFrame:
     """(host, token, path, class, support, link_share): the template of each host.
 
-    Element tokens of the same occurrence vector over the host's pages form an equivalence class.  A class is valid if
+    Tokens are elements, and blocks of text that most of the host's page contents have (null ``path``).  Tokens of the same occurrence vector over the host's pages form an equivalence class.  A class is valid if
     its tokens follow each other in one order wherever it occurs, and if all its occurrences lie in the same place of one
     class around it; valid classes, nested in each other, are the template, and the text between their tokens fills its slots.
     """
     narrow = pages.select(F.col(page).alias("page"), F.col(host).alias("host"), F.col(text).alias("html"))
     vectors = cut_lineage(
-        narrow.mapInArrow(occurrences, "host string, token bigint, path string, vector bigint, pages bigint")
+        narrow.mapInArrow(occurrences, "host string, token bigint, path string, vector bigint, pages bigint, contents bigint")
         .groupBy("host", "token").agg(
-            F.first("path").alias("path"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("sum"), F.sum("pages").alias("pages"))
-        .select("host", "token", "path", "pages", F.xxhash64(
+            F.first("path").alias("path"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("sum"), F.sum("pages").alias("pages"),
+            F.bit_or("contents").alias("contents"))
+        # A block that few contents have is what a page says; without these the table is as long as the templates.
+        .filter(F.col("path").isNotNull() | (F.bit_count("contents") >= LEAST_CONTENTS))
+        .select("host", "token", "path", "pages", F.bit_count("contents").alias("contents"), F.xxhash64(
             "host", F.expr("pmod(sum, 18446744073709551616BD)"), "pages").alias("class")))
+    # The most that any token of a host has is what its pages have in common: their root.
+    most = vectors.groupBy("host").agg(F.max("pages").alias("most_pages"), F.max("contents").alias("most_contents"))
+    common = (F.col("pages") >= SHARED * F.col("most_pages")) & (F.col("contents") >= SHARED * F.col("most_contents"))
+    vectors = cut_lineage(vectors.join(most, "host").filter(F.col("path").isNotNull() | common).drop("most_pages", "most_contents", "contents"))
     classes = vectors.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("classes"))
     found = (
         with_template(narrow, classes, "classes").select("host", "html", "classes")
@@ -325,7 +359,7 @@ def templates(pages: DataFrame, host: str, text: str, page: str) -> DataFrame:
         .filter("low = high and parent_low = parent_high"))
     return vectors.join(found, ["host", "class", "token"]).select(
         "host", "token", "path", "class", F.col("pages").alias("support"),
-        F.when(F.col("text") > 0, F.col("linked") / F.col("text")).otherwise(0.0).alias("link_share"))
+        F.when(F.col("path").isNull(), TEMPLATE_TEXT).when(F.col("text") > 0, F.col("linked") / F.col("text")).otherwise(0.0).alias("link_share"))
 
 
 #: A host table of up to this many elements is broadcast; a larger one is joined by host and salt.
@@ -351,18 +385,19 @@ def with_template(pages: DataFrame, per_host: DataFrame, items: str) -> DataFram
 def extract_text(pages: DataFrame, page: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """(page, url, text): the main text of every page of ``pages``.
 
-    Each host's template is deduced (:func:`templates`).  Slots in menus, headers, footers, sidebars, notices, adverts,
+    Each host's template is deduced (:func:`templates`).  Blocks of text that belong to it are left out wherever they stand,
+    also inside an article; what remains fills its slots.  Slots in menus, headers, footers, sidebars, notices, adverts,
     forms, comments and hidden elements hold no article, by the tags and names of the template around them; nor do
     slots whose text over all pages of the host is mostly links.  Where a page has an article or main element, its
     slots alone are read.  What is left keeps its order: references are decoded, white space inside a block becomes one
     space, blocks are joined by one space.
 
-    Null and empty pages give the empty text; null urls share one template; a host's only page has its own; repeated rows
-    are extracted alike; an unclosed element ends with the page.
+    Null and empty pages give the empty text; null urls share one template; hosts of fewer than nine different pages have no text of
+    their template, so that there tags and names alone decide; copies of a page count as one; repeated rows are extracted alike; an unclosed element ends with the page.
     """
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     narrow = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(text), F.lit("")).alias("html"))
-    learnt = templates(narrow, "host", "html", "page").filter("link_share > 0.6")
+    learnt = templates(narrow, "host", "html", "page").filter(F.col("link_share") > MOSTLY_LINKS)
     # Only the tokens that decide a slot's role go back to the pages.
     roles = learnt.groupBy("host").agg(F.collect_list(F.struct("token", "link_share")).alias("roles"))
 

@@ -66,3 +66,45 @@ def test_large_templates_are_joined_by_host_and_salt(spark, monkeypatch):
     monkeypatch.setattr(templates, "BROADCAST_ITEMS", 0)
     rows = [(i, "http://h.example", PAGE.format(i=i), "t", 1) for i in range(8)]
     assert texts(spark, rows) == {i: WANT.format(i=i) for i in range(8)}
+
+
+def test_template_text_without_names_or_links_is_dropped(spark):
+    """The block that all pages of a host share goes by the template alone, outside an article and inside of one."""
+    def page(i, mark):
+        return (f"<body><div class=x1><p>Welcome to the daily lantern, est. long ago.</p></div><{mark}><div class=x2>Story number {i} begins here.</div>"
+                f"<div class=x3>Every story of ours is printed on paper.</div><p>It ends with {i * i}.</p></{mark}></body>")
+    rows = [(i, f"http://a.example/{i}", page(i, "div"), "t", 1) for i in range(24)] + [(50 + i, f"http://b.example/{i}", page(i, "article"), "t", 1) for i in range(24)]
+    got = texts(spark, rows)
+    assert got == {k + i: f"Story number {i} begins here. It ends with {i * i}." for k in (0, 50) for i in range(24)}
+    # Without the template the shared blocks stay: nothing else tells them apart.
+    assert "Welcome to the daily lantern" in templates.main_text(page(3, "div"), {}) and "printed on paper" in templates.main_text(page(3, "article"), {})
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<body><div class=y><p>The same story, copied again and again.</p></div></body>"
+    rows = [(i, f"http://c.example/{i}", copy, "t", 1) for i in range(30)]
+    rows += [(40 + i, f"http://c.example/x{i}", f"<body><div class=y><p>Another story {i}.</p></div></body>", "t", 1) for i in range(6)]
+    got = texts(spark, rows)
+    assert {got[i] for i in range(30)} == {"The same story, copied again and again."} and got[43] == "Another story 3."
+
+
+def brute_template_blocks(pages):
+    """Blocks of a host that at least 0.6 of its different pages have, by sets of whole blocks."""
+    different = list(dict.fromkeys(pages))
+    sets = [{e[1] for e in templates.events(p, {}) if e[0] == "block"} for p in different]
+    return {b for b in set().union(*sets) if sum(b in x for x in sets) >= max(0.6 * len(sets), 9)}
+
+
+def test_template_blocks_are_those_that_most_pages_have(spark):
+    import random
+    rng = random.Random(5)
+    lines = [f"Line {k} of the house" for k in range(12)]
+    pages = ["<body>" + "".join(f"<div class=l{k}>{line}</div>" for k, line in enumerate(lines) if rng.random() < (k + 1) / 12) + f"<p>own {i}</p></body>"
+             for i in range(25)]
+    df = spark.createDataFrame([(i, "h", p) for i, p in enumerate(pages)], "page bigint, host string, html string")
+    got = {r["token"] for r in templates.templates(df, "host", "html", "page").collect() if r["path"] is None}
+    # 64 bits tell 25 contents apart but for a few: only clear cases are compared.
+    clear = brute_template_blocks(pages)
+    assert got and got <= clear | {e[1] for p in pages for e in templates.events(p, {}) if e[0] == "block" and e[2].startswith("Line")}
+    assert {e[1] for e in templates.events(pages[0], {}) if e[0] == "block" and e[2] == "Line 11 of the house"} <= got
+    assert not any(e[1] in got for p in pages for e in templates.events(p, {}) if e[0] == "block" and (e[2].startswith("own") or e[2] == "Line 0 of the house"))
