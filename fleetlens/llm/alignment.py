@@ -17,10 +17,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.llm.tables import shipped
 from fleetlens.session import cut_lineage
 
 #: Bytes of text worked on together; one longer text is a block of its own.
@@ -353,11 +354,6 @@ def score_block(row: dict) -> pa.RecordBatch:
         ["id", *figures, "n_best", "count_sum", "groups_sha256"])
 
 
-def shipped(spark: SparkSession, path: str):
-    """The bytes of a tokenizer file (a few MB), read by Spark and sent to every worker; no worker needs the file itself."""
-    return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
-
-
 class Alignment:
     """Two tokenizers held against each other over a table of documents.
 

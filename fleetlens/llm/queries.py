@@ -60,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_totals")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; then those of low quality are deleted and toxic ones revised to lose their digits; the
-    second batch is delivered twice."""
+    second batch is delivered twice.  A document whose label rows ask for several changes gets one: a delete before a revision."""
     digits = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", "[0-9]", ""))
     versions = {f"{name}@1": rollups.token_count(f"{rollups.TOKENIZER_FOLDER}/{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     # Every text is counted where it is read, as it is and as it would be revised; from here on only counts move.
@@ -69,7 +69,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         for v, count in versions.items()])).alias("c")).select("doc_id", "source", "lang", "c.*"))
     first = counts.select(*rollups.KEYS, F.lit("insert").alias("op"), F.lit(None).cast("bigint").alias("before"), F.col("tokens").alias("after"))
     op = F.when(F.col("quality") == 0, "delete").when(F.col("toxic") == 1, "revise")
-    second = counts.join(documents(spark, sf_dir, "labels").select("doc_id", op.alias("op")).filter("op is not null"), "doc_id").select(
+    asked = rollups.one_op_per_document(documents(spark, sf_dir, "labels").select("doc_id", op.alias("op")), "doc_id")
+    second = counts.join(asked, "doc_id").select(
         *rollups.KEYS, "op", F.col("tokens").alias("before"), F.coalesce("revised", "tokens").alias("after"))
     totals = rollups.TokenTotals(spark, shared_folder(spark, "token-totals"))
     totals.commit("1-load", rollups.deltas_of_counts(first))

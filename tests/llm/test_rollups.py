@@ -84,3 +84,46 @@ def test_query_equals_counting_what_is_left(spark, docs_of, words, tmp_path):
     want = {(s, g, v + "@1"): n for (s, g, v), n in counted(left).items()}
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"])
             for r in QUERIES["op5_token_totals"](spark, str(tmp_path)).collect()} == want
+
+
+def test_repeated_labels_change_a_document_once(spark, docs_of, words, tmp_path):
+    from fleetlens.llm.queries import QUERIES
+
+    texts = [words(25, i) + " 7" for i in range(6)]
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    # Low quality twice; low quality and toxic in two rows; toxic twice; no document; nulls.
+    labels = [(0, 0, 0), (0, 0, 0), (1, 1, 1), (1, 0, None), (2, 1, 1), (2, 1, 1), (99, 0, 0), (None, 0, 0), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = counted([(f"s{i % 3}", "en", re.sub("[0-9]", "", t) if i == 2 else t) for i, t in enumerate(texts) if i > 1])
+    assert {(r["source"], r["lang"], r["tokenizer"].removesuffix("@1")): (r["docs"], r["tokens"])
+            for r in QUERIES["op5_token_totals"](spark, str(tmp_path)).collect()} == want
+
+
+def test_second_writer_of_a_batch_loses(spark, tmp_path):
+    """Both have written their attempt; the marker decides, and the loser's folder goes."""
+    some = spark.createDataFrame([("insert", "a", "en", None, "one two", 1)], CHANGE)
+    store, other = (rollups.TokenTotals(spark, str(tmp_path / "totals")) for _ in range(2))
+    real = other._files
+
+    class Late:
+        """A file system that sees the marker only when it is too late."""
+        def __init__(self, files):
+            self.files, self.asked = files, 0
+
+        def exists(self, path):
+            self.asked += 1
+            return self.asked > 1 and self.files.exists(path)
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    late: dict = {}
+
+    def slow(text):
+        path, files = real(text)
+        return path, late.setdefault("files", Late(files)) if text.endswith("batch=1") else files
+
+    other._files = slow
+    assert store.commit("1", rollups.deltas_of(some, VERSIONS))
+    assert not other.commit("1", rollups.deltas_of(some.union(some), VERSIONS))
+    assert {d for d, _ in totals(store).values()} == {1} and len(list((tmp_path / "totals/attempts").iterdir())) == 1
