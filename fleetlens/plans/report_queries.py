@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.plans.registry import query
-from fleetlens.plans.rule_queries import NOISE, STATE_RULES
+from fleetlens.plans.rule_queries import ALL_FINDINGS_SQL, NOISE, all_findings
 from fleetlens.plans.views import AUDIT_SQL, MIXED_SQL, audit_events, mixed_events, read_table
 from fleetlens.reports import summary, tables
-from fleetlens.rules import REGISTRY, ranked, run_rules
-from fleetlens.rules.base import FAILURES, quoted_list
+from fleetlens.operators.windows import numbered
+from fleetlens.rules import REGISTRY, ranked
+from fleetlens.rules.base import FAILURES, quoted_list, rank_order
 from fleetlens.rules.integrity import rotation_members
 
 NEWEST = "ORDER BY timestamp_utc DESC NULLS LAST, event_hash LIMIT 500"
@@ -24,17 +25,16 @@ def _table(number: int, name: str, select: str):
         lambda spark, sf_dir: fn(mixed_events(spark, sf_dir)))
 
 
-@query("rpt_1_case_summary", f"""WITH {MIXED_SQL},
-f AS (SELECT 'high' AS severity FROM mixed WHERE subcategory IN ('journal_sequence_gap', 'ld_preload_set',
-      'sshd_setting') UNION ALL SELECT 'high' FROM (SELECT DISTINCT actor_user FROM mixed
-      WHERE subcategory = 'passwordless_account'))
-SELECT count(*) AS event_count, min(timestamp_utc) AS first_event_utc, max(timestamp_utc) AS last_event_utc,
-    (SELECT count(*) FROM f) AS finding_count, (SELECT count(*) FROM f) AS high_findings,
-    CAST(0 AS BIGINT) AS medium_findings, CAST(0 AS BIGINT) AS low_findings, CAST(0 AS BIGINT) AS info_findings
-FROM mixed""")
+_BY_SEVERITY = ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}_findings" for x in ("high", "medium", "low", "info"))
+
+
+@query("rpt_1_case_summary", f"""WITH {ALL_FINDINGS_SQL},
+f AS (SELECT count(*) AS finding_count, {_BY_SEVERITY} FROM findings),
+e AS (SELECT count(*) AS event_count, min(timestamp_utc) AS first_event_utc, max(timestamp_utc) AS last_event_utc FROM mixed)
+SELECT * FROM e, f""")
 def _case_summary(spark, sf_dir):
-    events = mixed_events(spark, sf_dir)
-    return summary.case_summary(events, run_rules(events, STATE_RULES).findings)
+    events, report = all_findings(spark, sf_dir)
+    return summary.case_summary(events, report.findings)
 
 
 _table(2, "users", """SELECT actor_user, arg_min(description, (timestamp_utc IS NULL,
@@ -129,15 +129,18 @@ _table(22, "network_persistence", f"""SELECT category, subcategory, timestamp_ut
 WHERE category IN ('network_config', 'persistence', 'software_changes') {NEWEST}""")
 
 
-@query("rpt_23_findings_list", f"""WITH {MIXED_SQL},
-f AS (SELECT 'Passwordless user account: ' || actor_user AS title, 'high' AS severity,
-      CAST(NULL AS TIMESTAMP) AS first_ts_utc FROM mixed WHERE subcategory = 'passwordless_account' GROUP BY 1
-  UNION ALL SELECT 'Journald log sequence gap detected in ' || source_artifact_path, 'high', timestamp_utc
-      FROM mixed WHERE subcategory = 'journal_sequence_gap')
-SELECT title, severity, first_ts_utc FROM f""")
+@query("rpt_23_findings_list", f"WITH {ALL_FINDINGS_SQL} SELECT title, severity, first_ts_utc FROM findings")
 def _findings_list(spark, sf_dir):
-    findings = run_rules(mixed_events(spark, sf_dir), ("journald_sequence_gap", "passwordless_account")).findings
-    return ranked(findings).select("title", "severity", "first_ts_utc")
+    _, report = all_findings(spark, sf_dir)
+    return ranked(report.findings).select("title", "severity", "first_ts_utc")
+
+
+@query("lim_5_severity_ranked", f"""WITH {ALL_FINDINGS_SQL}
+SELECT finding_id, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END,
+    first_ts_utc NULLS LAST, finding_id) AS place FROM findings""")
+def _ranked_places(spark, sf_dir):
+    _, report = all_findings(spark, sf_dir)
+    return numbered(report.findings.select("finding_id", "severity", "first_ts_utc"), rank_order(), "place").select("finding_id", "place")
 
 
 @query("rpt_23_event_sample", f"""WITH {MIXED_SQL}
@@ -167,13 +170,12 @@ def _busiest(spark, sf_dir):
     return summary.busiest_users(audit_events(spark, sf_dir))
 
 
-@query("rpt_24_findings_per_severity", f"""WITH {AUDIT_SQL},
-f AS (SELECT actor_user, count(*) AS n FROM audit WHERE category = 'privilege_escalation' AND {NOISE}
-    AND (hour(timestamp_local) < 8 OR hour(timestamp_local) >= 18) GROUP BY 1)
-SELECT s.severity, count(f.actor_user) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('info')) s(severity)
-LEFT JOIN f ON s.severity = CASE WHEN f.n > 1 THEN 'medium' ELSE 'low' END GROUP BY 1""")
+@query("rpt_24_findings_per_severity", f"""WITH {ALL_FINDINGS_SQL}
+SELECT s.severity, count(f.finding_id) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('info')) s(severity)
+LEFT JOIN findings f ON f.severity = s.severity GROUP BY 1""")
 def _per_severity(spark, sf_dir):
-    return summary.findings_per_severity(REGISTRY["off_hours_privileged"].findings(audit_events(spark, sf_dir)))
+    _, report = all_findings(spark, sf_dir)
+    return summary.findings_per_severity(report.findings)
 
 
 @query("rpt_25_recommended_actions", f"""WITH {AUDIT_SQL}, f AS (SELECT actor_user, count(*) AS n,
@@ -184,23 +186,32 @@ def _actions(spark, sf_dir):
     return summary.recommended_actions(REGISTRY["off_hours_privileged"].findings(audit_events(spark, sf_dir)))
 
 
-@query("rpt_25_key_observations", f"""WITH {AUDIT_SQL}, f AS (SELECT actor_user, min(timestamp_utc) AS t FROM audit
+@query("rpt_25_key_observations", f"""WITH {ALL_FINDINGS_SQL}, graded AS (SELECT * FROM findings WHERE severity IN ('high', 'medium'))
+SELECT title, severity FROM graded WHERE severity = (SELECT min(severity) FROM graded)
+ORDER BY first_ts_utc NULLS LAST, finding_id LIMIT 5""")
+def _observations(spark, sf_dir):
+    _, report = all_findings(spark, sf_dir)
+    return summary.key_observations(report.findings).select("title", "severity")
+
+
+@query("lim_6_observations_of_an_account", f"""WITH {AUDIT_SQL}, f AS (SELECT actor_user, min(timestamp_utc) AS t FROM audit
     WHERE category = 'privilege_escalation' AND {NOISE}
     AND (hour(timestamp_local) < 8 OR hour(timestamp_local) >= 18) GROUP BY 1 HAVING count(*) > 1)
 SELECT 'Administrator activity outside working hours by ' || actor_user AS title, 'medium' AS severity
 FROM f ORDER BY t LIMIT 5""")
-def _observations(spark, sf_dir):
+def _medium_observations(spark, sf_dir):
     return summary.key_observations(
         REGISTRY["off_hours_privileged"].findings(audit_events(spark, sf_dir))).select("title", "severity")
 
 
-@query("rpt_25_headline", f"""WITH {MIXED_SQL}, f AS (SELECT count(*) AS n FROM mixed WHERE subcategory = 'ld_preload_set')
-SELECT count(*) AS event_count, any_value(f.n) AS high_findings, CAST(0 AS BIGINT) AS medium_findings,
-    'Case C1: ' || CAST(any_value(f.n) AS VARCHAR) || ' high-severity finding(s) and 0 medium-severity one(s) in '
-    || format('{{:,}}', count(*)) || ' events; review at once.' AS headline FROM mixed, f""")
+@query("rpt_25_headline", f"""WITH {ALL_FINDINGS_SQL},
+f AS (SELECT {_BY_SEVERITY} FROM findings), e AS (SELECT count(*) AS event_count FROM mixed)
+SELECT event_count, high_findings, medium_findings,
+    'Case C1: ' || CAST(high_findings AS VARCHAR) || ' high-severity finding(s) and ' || CAST(medium_findings AS VARCHAR)
+    || ' medium-severity one(s) in ' || format('{{:,}}', event_count) || ' events; review at once.' AS headline FROM e, f""")
 def _headline(spark, sf_dir):
-    events = mixed_events(spark, sf_dir)
-    return summary.headline(events, REGISTRY["ld_preload_rootkit"].findings(events), "C1")
+    events, report = all_findings(spark, sf_dir)
+    return summary.headline(events, report.findings, "C1")
 
 
 def _artifacts(spark, sf_dir):
@@ -246,22 +257,20 @@ def _threats(spark, sf_dir):
     return read_table(spark, sf_dir, "region").select(
         F.col("r_name").alias("threat_id"),
         F.when(key == 0, "ld_preload_rootkit").when(key == 1, "passwordless_account")
-        .when(key == 2, "brute_force").alias("expected_rule"))
+        .when(key == 2, "no_such_rule").alias("expected_rule"))
 
 
-_SCORES = f"""WITH {MIXED_SQL},
-fired AS (SELECT DISTINCT CASE subcategory WHEN 'ld_preload_set' THEN 'ld_preload_rootkit' ELSE subcategory END AS r
-    FROM mixed WHERE subcategory IN ('ld_preload_set', 'passwordless_account')),
+_SCORES = f"""WITH {ALL_FINDINGS_SQL},
 t AS (SELECT r_name AS threat_id, CASE r_regionkey % 4 WHEN 0 THEN 'ld_preload_rootkit'
-    WHEN 1 THEN 'passwordless_account' WHEN 2 THEN 'brute_force' END AS expected_rule FROM region),
+    WHEN 1 THEN 'passwordless_account' WHEN 2 THEN 'no_such_rule' END AS expected_rule FROM region),
 s AS (SELECT threat_id, expected_rule, CASE WHEN expected_rule IS NULL THEN 'EVIDENCE'
-    WHEN expected_rule IN (SELECT r FROM fired) THEN 'PASS' ELSE 'MISS' END AS status FROM t)
+    WHEN expected_rule IN (SELECT rule_name FROM findings) THEN 'PASS' ELSE 'MISS' END AS status FROM t)
 """
 
 
 def _scores(spark, sf_dir):
-    findings = run_rules(mixed_events(spark, sf_dir), STATE_RULES).findings
-    return summary.scorecard(_threats(spark, sf_dir), findings)
+    _, report = all_findings(spark, sf_dir)
+    return summary.scorecard(_threats(spark, sf_dir), report.findings)
 
 
 @query("rpt_26_scorecard", _SCORES + "SELECT * FROM s")
@@ -276,17 +285,17 @@ def _rate(spark, sf_dir):
     return summary.detection_rate(_scores(spark, sf_dir))
 
 
-@query("rpt_27_case_rollup", f"""WITH {MIXED_SQL},
-e AS (SELECT 'case-' || host_id AS case_id, * EXCLUDE (case_id) FROM mixed),
-f AS (SELECT case_id, count(*) AS findings FROM e WHERE subcategory = 'ld_preload_set' GROUP BY 1)
-SELECT e.case_id, count(*) AS events_count, count(DISTINCT host_id) AS hosts,
-    coalesce(any_value(f.findings), 0) AS findings_count, coalesce(any_value(f.findings), 0) AS high_findings
-FROM e LEFT JOIN f ON f.case_id = e.case_id GROUP BY 1""")
+@query("rpt_27_case_rollup", f"""WITH {ALL_FINDINGS_SQL},
+e AS (SELECT 'case-' || host_id AS case_id, count(*) AS events_count, count(DISTINCT host_id) AS hosts FROM mixed GROUP BY 1),
+f AS (SELECT 'case-' || host_id AS case_id, count(*) AS findings_count, count(*) FILTER (severity = 'high') AS high_findings
+    FROM findings GROUP BY 1)
+SELECT coalesce(e.case_id, f.case_id) AS case_id, coalesce(events_count, 0) AS events_count, coalesce(hosts, 0) AS hosts,
+    coalesce(findings_count, 0) AS findings_count, coalesce(high_findings, 0) AS high_findings
+FROM e FULL JOIN f ON f.case_id = e.case_id""")
 def _rollup(spark, sf_dir):
     case = F.concat(F.lit("case-"), F.col("host_id"))
-    events = mixed_events(spark, sf_dir).withColumn("case_id", case)
-    findings = REGISTRY["ld_preload_rootkit"].findings(events).withColumn("case_id", case)
-    return summary.case_rollup(events, findings)
+    events, report = all_findings(spark, sf_dir)
+    return summary.case_rollup(events.withColumn("case_id", case), report.findings.withColumn("case_id", case))
 
 
 @query("win_10_earliest_per_user", f"""WITH {AUDIT_SQL}

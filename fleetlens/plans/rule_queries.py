@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.patterns import MALICIOUS_COMMAND
 from fleetlens.functions.text import COMMAND_PREFIX, COMMAND_SUFFIX
-from fleetlens.plans.registry import query
+from fleetlens.plans.registry import ORACLES, query
 from fleetlens.plans.views import AUDIT_SQL, MIXED_SQL, audit_events, mixed_events
 from fleetlens.rules import REGISTRY, pivot_to_events, run_rules
 from fleetlens.rules.auth import GRANTS, PERSISTENCE
-from fleetlens.rules.base import FAILURES, PASSWORD_FAILURES, quoted_list
+from fleetlens.rules.base import FAILURES, PASSWORD_FAILURES, RunReport, quoted_list
 from fleetlens.rules.execution import SOURCE_KIND
 from fleetlens.rules.integrity import SERVICE_ACCOUNTS
+from fleetlens.session import cut_lineage
 
 SHOWN = ("finding_id", "rule_name", "severity", "title", "host_id", "confidence", "first_ts_utc",
          "last_ts_utc", "event_count")
@@ -298,23 +299,61 @@ def _ld_preload(spark, sf_dir):
     return shown(REGISTRY["ld_preload_rootkit"].findings(mixed_events(spark, sf_dir)))
 
 
-STATE_RULES = ("journald_sequence_gap", "ld_preload_rootkit", "passwordless_account", "sshd_config_risk")
-
-
-def _per_event_counts_sql() -> str:
-    return f"""WITH {MIXED_SQL}
-SELECT 'journald_sequence_gap' AS rule_name, 1 AS success, 0 AS fail, count(*) AS findings FROM mixed
-    WHERE subcategory = 'journal_sequence_gap'
-UNION ALL SELECT 'ld_preload_rootkit', 1, 0, count(*) FROM mixed WHERE subcategory = 'ld_preload_set'
-UNION ALL SELECT 'passwordless_account', 1, 0, count(DISTINCT actor_user) FROM mixed
-    WHERE subcategory = 'passwordless_account'
-UNION ALL SELECT 'sshd_config_risk', 1, 0, count(*) FROM mixed WHERE subcategory = 'sshd_setting'"""
+#: Entries of the rules, and what their SQL says instead of the parameters that rules have by default.
+RULE_ENTRIES = {
+    "rul_1_brute_force": {"INTERVAL 24 HOUR": "INTERVAL 5 MINUTE", "HAVING max(n) >= 3": "HAVING max(n) >= 5"},
+    "rul_2_brute_force_success": {"INTERVAL 24 HOUR": "INTERVAL 15 MINUTE"},
+    "rul_3_new_account_privilege_grant": {}, "rul_4_persistence_after_login": {}, "rul_5_off_hours_privileged": {},
+    "rul_6_wiped_history": {}, "rul_7_zero_length_login_log": {}, "rul_8_rotation_gap": {},
+    "rul_9_timeline_gap": {"INTERVAL 3 HOUR": "INTERVAL 6 HOUR"}, "rul_10_backwards_timestamps": {},
+    "rul_11_journald_sequence_gap": {}, "rul_12_first_seen": {"* 0.02)": "* 0.5)"}, "rul_13_suspicious_process": {},
+    "rul_14_suspicious_cron": {}, "rul_15_uid0_account": {}, "rul_16_passwordless_account": {},
+    "rul_17_privileged_group_member": {}, "rul_18_sshd_config_risk": {}, "rul_19_ld_preload_rootkit": {},
+}
+
+
+def _over_mixed(name: str, changes: dict[str, str]) -> str:
+    """The SQL of a rule's entry over the mixed events, with default parameters."""
+    sql = ORACLES[name]
+    for view in (AUDIT_SQL, MIXED_SQL):
+        sql = sql.removeprefix(f"WITH {view},")
+    for old, new in changes.items():
+        if old not in sql:
+            raise ValueError(f"{name} no longer says {old!r}")
+        sql = sql.replace(old, new)
+    return f"SELECT * FROM (WITH {sql})"
+
+
+#: All rules with their default parameters: tables ``mixed`` and ``findings``.
+ALL_FINDINGS_SQL = f"{MIXED_SQL}, audit AS (SELECT * FROM mixed),\nfindings AS (" + "\nUNION ALL ".join(
+    _over_mixed(name, changes) for name, changes in RULE_ENTRIES.items()) + ")"
+
+_all: dict[tuple[str, str], tuple[DataFrame, RunReport]] = {}
+
+
+def all_findings(spark, sf_dir) -> tuple[DataFrame, RunReport]:
+    """(mixed events, report of all rules over them with default parameters), written once per session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _all:
+        events = cut_lineage(mixed_events(spark, sf_dir))
+        report = run_rules(events)
+        _all[key] = events, RunReport(cut_lineage(report.findings), report.failed)
+    return _all[key]
+
+
+@query("rul_20_rule_runner", f"""WITH {ALL_FINDINGS_SQL}
+SELECT n.rule_name, 1 AS success, 0 AS fail, count(f.finding_id) AS findings
+FROM (VALUES {', '.join(f"('{name.split('_', 2)[2]}')" for name in RULE_ENTRIES)}) n(rule_name)
+LEFT JOIN findings f ON f.rule_name = n.rule_name GROUP BY 1""")
+def _runner(spark, sf_dir):
+    _, report = all_findings(spark, sf_dir)
+    return report.stats()
 
 
-@query("rul_20_rule_runner", _per_event_counts_sql())
-def _runner(spark, sf_dir):
-    stats = run_rules(mixed_events(spark, sf_dir), STATE_RULES).stats()
-    return stats.filter(F.col("rule_name").isin(*STATE_RULES))
+@query("rul_20_all_findings", f"WITH {ALL_FINDINGS_SQL} SELECT * FROM findings")
+def _all_rules(spark, sf_dir):
+    _, report = all_findings(spark, sf_dir)
+    return shown(report.findings)
 
 
 @query("joi_10_finding_events", f"""WITH {MIXED_SQL}

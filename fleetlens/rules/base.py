@@ -198,10 +198,13 @@ def pivot_to_events(findings: DataFrame, events: DataFrame, narrow: DataFrame |
     return finding_events(findings, events).join(events if narrow is None else narrow, "event_id", "inner")
 
 
-def ranked(findings: DataFrame) -> DataFrame:
+def rank_order() -> list[Column]:
     """Most severe first, then by time with undated last, then by id."""
-    return findings.orderBy(severity_rank(F.col("severity")), F.col("first_ts_utc").asc_nulls_last(),
-                            "finding_id")
+    return [severity_rank(F.col("severity")), F.col("first_ts_utc").asc_nulls_last(), F.col("finding_id")]
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    return findings.orderBy(*rank_order())
 
 
 def empty_findings(spark: SparkSession) -> DataFrame:
