@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXT_LIST_LIMIT = 1_000
-
 
 def counts_and_span(df: DataFrame, keys: Sequence[str], time_column: str = "timestamp_utc") -> DataFrame:
     """Rows, first and last time per key; partial sums are made before the shuffle."""
@@ -36,34 +34,41 @@ def representative(df: DataFrame, keys: Sequence[str], columns: Sequence[str], o
 
 
 def ordered_members(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                    limit: int = TEXT_LIST_LIMIT) -> DataFrame:
-    """Members of every group in order, as an array, for groups of at most ``limit`` rows.
+                    limit: int | None = None) -> DataFrame:
+    """Members of every group in order, as an array, with their number ``members``.
 
-    Larger groups keep their exact ``members`` count and a null array; their members are the rows of ``df``
-    themselves.  They are left out before rows are gathered.
+    The array is one value of the result, so a group must fit into a row.  Where it may not, ``limit`` leaves the arrays of
+    larger groups null, before their rows are gathered; the count stays exact and the members are the rows of ``df``.
     """
     from fleetlens.operators.joins import salted_join
 
+    entry = F.struct(*order, F.col(value).alias("__value"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
+    if limit is None:
+        return df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("members"),
+            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["__value"]).alias("ordered"))
     short = sizes.filter(F.col("members") <= limit).select(*keys)
-    entry = F.struct(*order, F.col(value).alias("__value"))
     lists = (salted_join(df.select(*keys, *{*order, value}), short, list(keys), "left_semi").groupBy(*keys)
              .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["__value"]).alias("ordered")))
     return sizes.join(lists, list(keys), "left")
 
 
 def distinct_text(df: DataFrame, keys: Sequence[str], column: str, name: str,
-                  limit: int = TEXT_LIST_LIMIT, separator: str = ",") -> DataFrame:
+                  limit: int | None = None, separator: str = ",") -> DataFrame:
     """Sorted distinct values per key as one text, with their exact number ``n_<name>``.
 
-    Values are made distinct per (key, value) first, so repetitions of a hot key vanish before the shuffle.
-    A key with more than ``limit`` values keeps its count and a null text; ``distinct_pairs`` has them all.
+    Values are made distinct per (key, value) first, so repetitions of a hot key vanish before the shuffle.  The text is one
+    value of the result; ``limit`` leaves it null for keys with more values, of which ``distinct_pairs`` has all.
     """
     pairs = distinct_pairs(df, keys, column)
+    whole = F.array_join(F.array_sort(F.collect_list(column)), separator).alias(name)
+    if limit is None:
+        return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), whole)
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"))
     short = sizes.filter(F.col(f"n_{name}") <= limit).select(*keys)
     lists = (pairs.join(short, list(keys), "left_semi").groupBy(*keys)
-             .agg(F.array_join(F.array_sort(F.collect_list(column)), separator).alias(name)))
+             .agg(whole))
     return sizes.join(lists, list(keys), "left")
 
 
