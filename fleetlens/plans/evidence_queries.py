@@ -13,7 +13,8 @@ from fleetlens.rules.base import evidence_of, finding_errors, rule
 from fleetlens.schema import EVENT_COLUMNS
 from fleetlens.session import shared_folder
 from fleetlens.sinks.exports import (
-    append_events, content_digest, event_errors, findings_for_export, json_rows, read_events, split_valid,
+    append_events, content_digest, event_errors, export_csv_per_category, findings_for_export, json_rows, read_events, split_valid,
+    write_findings,
 )
 from fleetlens.sources.manifests import hash_manifest_lines, host_contexts
 
@@ -324,3 +325,27 @@ def _own_grammar(spark, sf_dir):
 def _parameters(spark, sf_dir):
     return REGISTRY["off_hours_privileged"].findings(audit_events(spark, sf_dir), business_hours=(6, 22)).select(
         "title", "event_count")
+
+
+# ----------------------------------------------------- written and read back
+
+@query("out_3_csv_per_category", f"""WITH {AUDIT_SQL} SELECT category, event_id, subcategory, description, severity,
+    CAST(raw_line_offset AS VARCHAR) AS raw_line_offset FROM audit""")
+def _csv_files(spark, sf_dir):
+    """Events written as one folder of CSV files per category, and what the files say."""
+    path = shared_folder(spark, "csv")
+    export_csv_per_category(audit_events(spark, sf_dir), path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(F.col("category_folder").alias("category"), "event_id", "subcategory", "description", "severity", "raw_line_offset")
+
+
+@query("out_6_findings_replaced", f"""WITH {MIXED_SQL}
+SELECT 'C1' AS case_id, 'ld_preload_rootkit' AS rule_name, count(*) AS findings FROM mixed WHERE subcategory = 'ld_preload_set'
+UNION ALL SELECT 'C2', 'passwordless_account', count(DISTINCT actor_user) FROM mixed WHERE subcategory = 'passwordless_account'""")
+def _findings_replaced(spark, sf_dir):
+    """Findings of two cases are written; then those of the first are replaced."""
+    events, path = mixed_events(spark, sf_dir), shared_folder(spark, "findings-store")
+    accounts = REGISTRY["passwordless_account"].findings(events)
+    for case, findings in (("C1", accounts), ("C2", accounts), ("C1", REGISTRY["ld_preload_rootkit"].findings(events))):
+        write_findings(findings, path, case)
+    return spark.read.parquet(path).groupBy("case_id", "rule_name").agg(F.count(F.lit(1)).alias("findings"))

@@ -118,6 +118,14 @@ def _grammar(spark, sf_dir):
     return found.select("event_id", F.col("m.rule").alias("rule"))
 
 
+@query("fn_22_sentences", f"SELECT CAST(raw_line_offset / 1000 AS BIGINT) AS event_id, description FROM ({AUTH_SQL})")
+def _sentences(spark, sf_dir):
+    from fleetlens.extract.grammar import line_matches, sentence
+    found = auth_lines(spark, sf_dir).select((F.col("byte_offset") / 1000).cast("long").alias("event_id"),
+                                             F.explode(line_matches("line", "'debian'")).alias("m"))
+    return found.select("event_id", sentence(F.col("m")).alias("description"))
+
+
 @query("prd_9_contamination", f"""SELECT event_id, user_id % 25 = 3 AND {S} BETWEEN TIMESTAMP '2024-01-09 23:55:00'
     AND TIMESTAMP '2024-01-12 00:05:00' AS tagged FROM events""")
 def _contamination(spark, sf_dir):

@@ -79,6 +79,14 @@ def _sessions_by_terminal(spark, sf_dir):
     return tables.sessions_by_terminal(audit_events(spark, sf_dir))
 
 
+@query("joi_8_first_match", SESSIONS_SQL.replace("'unknown' AS terminal", "'pts/' || substr(actor_user, 2) AS terminal"))
+def _first_match(spark, sf_dir):
+    """Every account has a terminal of its own, so that its logouts fit by either key."""
+    events = audit_events(spark, sf_dir).withColumn(
+        "raw_line", F.concat(F.lit("line=pts/"), F.substring("actor_user", 2, 20), F.lit(" "), "raw_line"))
+    return tables.sessions_by_terminal(events)
+
+
 _table(5, "logins", """SELECT actor_user, source_ip, subcategory, count(*) AS attempt_count,
     min(timestamp_utc) AS first_attempt, max(timestamp_utc) AS last_attempt
 FROM mixed WHERE category = 'login_activity' GROUP BY 1, 2, 3""")

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from fleetlens.functions.text import first_filled, terminal
 from fleetlens.functions.times import duration_text, micros
 from fleetlens.operators.aggregates import counts_and_span, distinct_text
+from fleetlens.operators.groups import linked_groups
 from fleetlens.operators.search import ascii_ilike, external_address
 from fleetlens.operators.windows import fifo_pairs
 from fleetlens.rules.base import FAILURES
+from fleetlens.session import cut_lineage
 
 NEWEST = 500
 
@@ -88,15 +90,15 @@ def sessions(events: DataFrame) -> DataFrame:
 def sessions_by_terminal(events: DataFrame) -> DataFrame:
     """Like :func:`sessions`, but a logout also ends a login of another account on the same known terminal.
 
-    With either of two keys matching, the pairing of a host is one chain of decisions.  Rows of a host are
-    brought to one partition in time order and streamed through in Arrow batches; only the logins still
-    open are held.  Giving each logout to the earliest waiting login it fits is the same as letting each
-    login take its earliest unused logout.
+    With either of two keys matching, accounts and terminals that ever met depend on each other, and only those: each such
+    group of a host is one chain of decisions, and streamed through in time order in Arrow batches with only the logins still
+    open held.  Giving each logout to the earliest waiting login it fits is the same as letting each login take its earliest
+    unused logout.  A logout without account and terminal fits none.
     """
     import pandas as pd
 
     def pair(batches):
-        host, waiting = None, []
+        place, waiting = None, []
 
         def unclosed():
             return [{**w, "logout_time": None} for w in waiting]
@@ -104,9 +106,9 @@ def sessions_by_terminal(events: DataFrame) -> DataFrame:
         for batch in batches:
             done = []
             for row in batch.to_dict("records"):
-                if row["host_id"] != host:
+                if (row["host_id"], row["group"]) != place:
                     done += unclosed()
-                    host, waiting = row["host_id"], []
+                    place, waiting = (row["host_id"], row["group"]), []
                 if row["opens"]:
                     waiting.append({k: row[k] for k in ("host_id", "user", "source_ip", "terminal")}
                                    | {"login_time": row["timestamp_utc"]})
@@ -123,9 +125,16 @@ def sessions_by_terminal(events: DataFrame) -> DataFrame:
             yield pd.DataFrame(unclosed(), columns=names)
 
     names = ["host_id", "user", "source_ip", "terminal", "login_time", "logout_time"]
-    rows = (_session_rows(events).repartition("host_id")
-            .sortWithinPartitions("host_id", "timestamp_utc", F.col("opens").desc(), "event_hash")
-            .select("host_id", "user", "source_ip", "terminal", "timestamp_utc", "opens"))
+    known = F.when(F.col("terminal") != "unknown", F.col("terminal"))
+    rows = cut_lineage(_session_rows(events).withColumn("known", known).filter("user is not null or known is not null"))
+    by_user, by_terminal = linked_groups(rows, ["host_id"], "user", "known")
+    grouped = (rows.join(by_user.withColumnRenamed("group", "by_user"), ["host_id", "user"], "left")
+               .join(by_terminal.withColumnRenamed("group", "by_terminal"), ["host_id", "known"], "left"))
+    rows = (grouped.withColumn("group", F.coalesce(
+                F.concat(F.lit("g:"), F.coalesce("by_user", "by_terminal")), F.concat(F.lit("u:"), "user"), F.concat(F.lit("t:"), "known")))
+            .repartition("host_id", "group")
+            .sortWithinPartitions("host_id", "group", "timestamp_utc", F.col("opens").desc(), "event_hash")
+            .select("host_id", "group", "user", "source_ip", "terminal", "timestamp_utc", "opens"))
     paired = rows.mapInPandas(pair, "host_id string, user string, source_ip string, terminal string, "
                                     "login_time timestamp, logout_time timestamp")
     return _session_table(paired)

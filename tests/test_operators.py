@@ -165,3 +165,28 @@ def test_deep_pages_are_the_same_pages(spark):
                 ids = lambda **kw: [r.event_id for r in search.page(
                     df, sort=sort, order=order, limit=25, offset=offset, **kw).collect()]
                 assert ids(deep_offset=0) == ids()
+
+
+def test_linked_groups_are_components(spark):
+    import random
+
+    from fleetlens.operators.groups import linked_groups
+
+    rng = random.Random(3)
+    rows = [(f"h{rng.randrange(2)}", rng.choice(["a", "b", "c", "d", "e", "f", None]), rng.choice(["t1", "t2", "t3", "t4", "t5", None])) for _ in range(14)]
+    by_user, by_terminal = linked_groups(spark.createDataFrame(rows + rows, "h string, u string, t string"), ["h"], "u", "t")
+    got = {(r.h, "u", r.u): r.group for r in by_user.collect()} | {(r.h, "t", r.t): r.group for r in by_terminal.collect()}
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for h, u, t in rows:
+        if u and t:
+            parent[root((h, "u", u))] = root((h, "t", t))
+    assert set(got) == set(parent)
+    for x in parent:
+        for y in parent:
+            assert (root(x) == root(y)) == (x[0] == y[0] and got[x] == got[y])
