@@ -86,3 +86,17 @@ def _late(spark, sf_dir):
         [(int(s["rows"]), int(s["newest_us"])) for s in seen], "rows long, newest_us long")
     return totals.agg(F.sum("rows").alias("rows"), F.timestamp_micros(F.max("newest_us")).alias("newest"),
                       F.lit(jobs.late_rows(running)).cast("long").alias("dropped"))
+
+
+@query("str_5_late_rows_kept", """WITH r AS (SELECT event_id, ts, event_id % 4 AS batch FROM events),
+w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r GROUP BY 1)
+SELECT event_id, batch FROM r JOIN w USING (batch) WHERE ts < seen - INTERVAL 6 HOUR""")
+def _late_kept(spark, sf_dir):
+    """Events come in four deliveries that cover the same days; the stream is started anew for each."""
+    folder = shared_folder(spark, "late")
+    rows = read_table(spark, sf_dir, "events")
+    for k in range(4):
+        rows.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/in").withColumn("timestamp_utc", F.col("ts").cast("timestamp"))
+        jobs.keep_late_rows(arriving.select("event_id", "timestamp_utc"), folder, f"{folder}/checkpoint", 6 * 3600).awaitTermination()
+    return jobs.late_table(spark, folder, "event_id bigint, timestamp_utc timestamp, batch bigint").select("event_id", "batch")

@@ -116,3 +116,51 @@ def count_late(events: DataFrame, delay: str, name: str = "late") -> DataFrame:
     return events.observe(name, F.count(F.lit(1)).alias("rows"), newest.alias("newest_us"),
                           F.unix_micros(F.min("timestamp_utc")).alias("oldest_us"),
                           F.unix_micros(F.expr(f"max(timestamp_utc) - INTERVAL {delay}")).alias("late_before_us"))
+
+
+MARK = "batch bigint, rows bigint, late bigint, newest_us bigint, late_before_us bigint"
+
+
+def keep_late_rows(events: DataFrame, folder: str, checkpoint: str, delay_seconds: int) -> StreamingQuery:
+    """Put rows that come behind their watermark aside, in ``folder/late``, and keep account of every batch in ``folder/marks``.
+
+    The watermark of a batch is the newest time of all batches before it less the delay.  It is kept with the batches, one row
+    each that carries the newest time so far, so it outlives restarts and does not depend on progress records.  A batch that is
+    run again overwrites its own rows and mark.  Undated rows are counted but never late.
+    """
+    spark = events.sparkSession
+    delay = delay_seconds * 1_000_000
+
+    def newest_before(batch_id: int) -> int | None:
+        done = [b for b in stored_batches(spark, f"{folder}/marks") if b < batch_id]
+        if not done:
+            return None
+        return spark.read.schema(MARK).parquet(f"{folder}/marks/batch={max(done)}").first()["newest_us"]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        before = newest_before(batch_id)
+        limit = None if before is None else before - delay
+        at = micros(F.col("timestamp_utc"))
+        late = F.coalesce(at < F.lit(limit).cast("long"), F.lit(False))
+        batch.filter(late).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"), F.max(at).alias("newest")).select(
+            F.lit(batch_id).cast("long").alias("batch"), "rows", "late",
+            F.greatest(F.col("newest"), F.lit(before).cast("long")).alias("newest_us"),
+            F.lit(limit).cast("long").alias("late_before_us")).write.mode("overwrite").parquet(f"{folder}/marks/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``batch=`` folders below a path."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(found):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(found)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def late_table(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The rows that :func:`keep_late_rows` has put aside, with their batch."""
+    return spark.read.schema(schema).option("basePath", f"{folder}/late").parquet(f"{folder}/late")
