@@ -5,16 +5,19 @@ Each job has a batch twin: the stream over a set of files ends with the rows the
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.extract import extract_all
 from fleetlens.functions.times import micros
-from fleetlens.operators.joins import MINUTE_MICROS, look_along_time
+from fleetlens.operators.joins import MINUTE_MICROS, look_along_time, salted_join
 from fleetlens.operators.search import not_tool_noise
 from fleetlens.rules.base import FAILURES
 from fleetlens.sinks.exports import append_events
+from fleetlens.session import remove_path
 from fleetlens.sources.lines import place_lines, scan_lines
 
 
@@ -55,38 +58,52 @@ def failure_bursts(events: DataFrame, window: str = "5 minutes", slide: str = "1
 
 
 def success_after_failures(events: DataFrame, state: str, out: str, checkpoint: str, min_failures: int = 5,
-                           look_back_minutes: float = 15) -> StreamingQuery:
-    """Logins with many failures of their address just before, written to ``out`` as they arrive.
-
-    Failures are kept in ``state`` by day.  A micro-batch reads back the days its logins look at and counts
-    with the batch operator along time, so no pairs of login and failure are held as state, whatever an
-    address does.  Batch folders are overwritten, so a repeated batch changes nothing.
+                           look_back_minutes: float = 15, keep_days: int | None = None) -> StreamingQuery:
+    """Logins with many failures of their address just before, written to ``out`` as they and their failures arrive.
+
+    Failures and logins are kept in ``state`` by day.  A micro-batch judges its own logins, and again those kept ones that
+    its failures lie just before, so the order of arrival does not matter: :func:`latest_matches` has the last word on each
+    login.  It reads back the days these can look at and counts with the batch operator along time, so no pairs of login and
+    failure are held as state, whatever an address does.  Batch folders are overwritten, so a repeated batch changes nothing.
+    Days more than ``keep_days`` before the newest event are dropped; what comes later than that is judged without them.
     """
     spark = events.sparkSession
     width = int(look_back_minutes * MINUTE_MICROS)
+    login = F.col("subcategory") == "successful_login"
+    reach = F.expr(f"INTERVAL {int(look_back_minutes * 60)} SECONDS")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("day", F.to_date("timestamp_utc"))
-        (rows.filter(F.col("subcategory").isin(*FAILURES)).withColumn("batch", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(state))
-        logins = rows.filter(F.col("subcategory") == "successful_login")
-        span = logins.agg(F.min("timestamp_utc").alias("lo"), F.max("timestamp_utc").alias("hi")).first()
+        (rows.withColumn("batch", F.lit(batch_id)).withColumn("kind", F.when(login, "login").otherwise("failure"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "day", "batch").parquet(state))
+        whole = rows.withColumns({"batch": F.lit(0), "kind": F.lit("")}).schema
+        kept = spark.read.schema(whole).parquet(state)
+        mine = kept.filter(F.col("batch") == batch_id)
+        span = mine.agg(F.min("timestamp_utc").alias("lo"), F.max("timestamp_utc").alias("hi")).first()
+        columns = ("event_id", "source_ip", "timestamp_utc")
         if span["lo"] is None:
-            found = logins.select("event_id", "source_ip", "timestamp_utc", F.lit(0).cast("long").alias("failures"))
+            found = rows.filter(F.lit(False)).select(*columns, F.lit(0).cast("long").alias("failures"))
         else:
-            # The day folders are pruned to those the logins of this batch can look back to.
-            reach = F.expr(f"INTERVAL {int(look_back_minutes * 60)} SECONDS")
-            kept = (spark.read.schema(rows.withColumn("batch", F.lit(0)).schema).parquet(state)
-                    .filter(F.col("day").between(F.to_date(F.lit(span["lo"]) - reach), F.to_date(F.lit(span["hi"])))))
+            # The day folders are pruned to those that the batch's rows can be paired with.
+            near = kept.filter(F.col("day").between(F.to_date(F.lit(span["lo"]) - reach), F.to_date(F.lit(span["hi"]) + reach)))
+            logins, failures = near.filter(F.col("kind") == "login"), near.filter(F.col("kind") == "failure")
+            step = lambda at: F.floor(at / F.lit(width))
+            # A failure can tell on logins of its own step of time and the next.
+            touched = mine.filter(F.col("kind") == "failure").select(
+                "source_ip", F.explode(F.array(step(micros(F.col("timestamp_utc"))), step(micros(F.col("timestamp_utc"))) + 1)).alias("step")).distinct()
+            older = salted_join(logins.filter(F.col("batch") != batch_id).withColumn("step", step(micros(F.col("timestamp_utc")))),
+                                touched, ["source_ip", "step"], "left_semi").drop("step")
+            judged = logins.filter(F.col("batch") == batch_id).unionByName(older)
             at = F.col("at")
             looked = look_along_time(
-                logins.select("event_id", "source_ip", "timestamp_utc", micros(F.col("timestamp_utc")).alias("at")),
-                kept, anchor_id="event_id", keys=["source_ip"], instants={"before": at - width - 1, "end": at - 1},
+                judged.select(*columns, micros(F.col("timestamp_utc")).alias("at")),
+                failures, anchor_id="event_id", keys=["source_ip"], instants={"before": at - width - 1, "end": at - 1},
                 item_time=micros(F.col("timestamp_utc")), sums={"n": F.lit(1)})
             found = (looked.withColumn("failures", F.col("end.n") - F.col("before.n"))
-                     .filter(F.col("failures") >= min_failures)
-                     .select("event_id", "source_ip", "timestamp_utc", "failures"))
+                     .filter(F.col("failures") >= min_failures).select(*columns, "failures"))
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if keep_days is not None and span["hi"] is not None:
+            drop_days(spark, state, span["hi"].date() - timedelta(days=keep_days))
 
     wanted = events.filter(F.col("subcategory").isin(*FAILURES, "successful_login") & F.col("source_ip").isNotNull()
                            & F.col("timestamp_utc").isNotNull() & not_tool_noise())
@@ -94,6 +111,23 @@ def success_after_failures(events: DataFrame, state: str, out: str, checkpoint:
             .foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def latest_matches(spark: SparkSession, out: str) -> DataFrame:
+    """Per login its last count of failures, of all batches that judged it."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    last = F.max_by(F.struct("source_ip", "timestamp_utc", "failures"), "batch").alias("last")
+    return rows.groupBy("event_id").agg(last).select("event_id", "last.*")
+
+
+def drop_days(spark: SparkSession, state: str, before: date) -> None:
+    """Remove the day folders of both kinds that end before a day."""
+    for kind in ("login", "failure"):
+        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/kind={kind}")
+        files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for name in [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []:
+            if name.startswith("day=") and name.removeprefix("day=") < before.isoformat():
+                remove_path(spark, f"{state}/kind={kind}/{name}")
+
+
 def write_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to Parquet until the waiting files are read."""
     return (rows.writeStream.format("parquet").outputMode("append").option("path", path)
