@@ -245,7 +245,7 @@ def events(page: str, template: dict[int, float]) -> Iterator[tuple]:
     """What a page consists of, given the link share of each token of its host's template (token id to share):
 
     ("open", path, 0, 0) and ("close", path, 0, 0) of elements, ("text", path, length, linked length), and
-    ("block", token, text, keep) when a block of text ends; ``keep`` is (in the main part, in none of its surroundings).
+    ("block", token, text, where) when a block of text, as the page writes it, ends; ``where`` is (in the main part, in surroundings).
     """
     walk = Walk()
     inside: list[bool] = []
@@ -256,7 +256,7 @@ def events(page: str, template: dict[int, float]) -> Iterator[tuple]:
     def ended():
         nonlocal now
         if now:
-            text = SPACE.sub(" ", html.unescape("".join(now)).replace("\xa0", " ")).strip()
+            text = "".join(now).strip()
             now = []
             if text:
                 yield "block", block_id(where, text), text, state
@@ -319,7 +319,8 @@ def main_text(page: str, template: dict[int, float]) -> str:
             any_main = True
         elif event[0] == "block" and not event[3][1] and template.get(event[1], 0.0) < TEMPLATE_TEXT:
             blocks.append((event[3][0], event[2]))
-    return " ".join(text for in_main, text in blocks if in_main or not any_main)
+    texts = (SPACE.sub(" ", html.unescape(text).replace("\xa0", " ")).strip() for in_main, text in blocks if in_main or not any_main)
+    return " ".join(text for text in texts if text)
 
 
 #: A block of text is the template's if it is in this share of a host's pages and page contents, and in so many contents.
