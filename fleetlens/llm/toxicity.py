@@ -193,6 +193,10 @@ class TextCNN:
             self.thresholds[lang] = float(top[np.argmin(np.abs(top - self.threshold))])
 
 
+#: A threshold that no score reaches.
+NEVER = 2.0
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000, fit_bytes: int = 20_000, epochs: int = 6,
                  key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang") -> TextCNN:
     """Fit on at most ``fit_rows`` labelled documents, half of each label as far as there are, of at most ``fit_bytes``.
@@ -200,7 +204,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000, fit_b
     The bound covers the fitting sample alone.  It is drawn by a hash of the key from the labels, whose chosen keys
     (never more than ``fit_rows``) are broadcast to the documents.  A fifth calibrates; there the labels are weighted
     back to their shares in the whole table.  Null labels and keys are left out.  Without both labels every score is
-    the share of label 1.
+    the share of label 1, and the threshold is beyond every score.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(
         F.max(label).cast("int").alias("y"))
@@ -233,6 +237,8 @@ def fitted(sample: pa.Table | None, shares: dict[int, int], epochs: int) -> Text
         share = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
         model.top[:] = 0
         model.scale = (1.0, float(np.log(share / (1 - share))))
+        # Scores that tell no text from another reject none.
+        model.threshold = NEVER
         return model
     texts, langs = sample["text"].combine_chunks(), sample["lang"].to_pylist()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts

@@ -79,3 +79,10 @@ def test_odd_rows_pass_every_stage(spark, words, tmp_path):
 def test_empty_tables(spark, tmp_path):
     left = run_stages(spark, with_extra(spark, []), [], [], str(tmp_path))
     assert all(some == [] for some in left.values())
+
+
+def test_without_labels_nothing_is_toxic(spark, docs_of, words, tmp_path):
+    docs = docs_of([words(40, i) for i in range(8)])
+    for k, labels in enumerate(([], [(i, 1, 0) for i in range(8)], [(i, 1, 1) for i in range(8)])):
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / f"{k}/labels.parquet"))
+        assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / str(k))).count() == 8
