@@ -1,7 +1,11 @@
 """Prepare the documents for training: five stages, each written as Parquet and read again by the next.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.  All stages but the last
-return the columns of their input, so that extra columns pass through.
+return the columns of their input, so that extra columns pass through, whatever their names.
+
+What holds for every stage: a null text counts as the empty one; null ids, languages and sources are values of their own; rows
+of equal ids or texts are rows of their own unless a stage says otherwise; texts of any length are looked at whole; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from fleetlens.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold of their language; the classifier learns from ``labels``."""
+    """Documents whose toxicity is below the threshold of their language; the classifier learns from ``labels``.
+
+    Empty texts have the score of an empty text.  Without labels of both kinds nothing is toxic.
+    """
     model = toxicity.fit_toxicity(docs, documents(spark, sf_dir, "labels"))
     score, = fresh(docs, "toxicity")
     kept = docs.withColumn(score, toxicity.toxicity_score(model))
@@ -23,12 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts whose word 5-grams are alike at 0.8 or more: the one of the smallest id."""
+    """One document of each class of texts whose word 5-grams are alike at 0.8 or more: the one of the smallest id.
+
+    Of rows that repeat each other one stays; null ids come last.
+    """
     return similarity.one_per_class(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that documents of smaller ids have too; n_chars follows."""
+    """Texts without the passages that documents of smaller ids have too; n_chars follows.
+
+    Of ties, rows of one id, the first in the table keeps the passage.  A null text becomes the empty text.
+    """
     cut = chunks.remove_repeats(docs)
     return cut.withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -36,7 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.  Null and empty items, and an empty benchmark, are held by none."""
     row, other = fresh(docs, "row_id", "row_ref")
     found = leaks.find_leaks(docs, documents(spark, sf_dir, "benchmark")).select(F.col("row").alias(other)).distinct()
     placed = docs.withColumn(row, F.monotonically_increasing_id())
@@ -44,7 +57,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words the mix takes of each; those it takes nothing of are left out."""
+    """Documents with the words the mix takes of each; those it takes nothing of, as of texts without words, are left out."""
     return mixing.mix(docs).filter("taken > 0")
 
 
