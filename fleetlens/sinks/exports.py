@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.structured import ids_to_json
-from fleetlens.functions.times import iso_text
+from fleetlens.functions.times import export_instant
 from fleetlens.operators.dedupe import dedupe_events, only_new
 from fleetlens.rules.base import finding_errors, with_event_ids
 from fleetlens.schema import (
@@ -95,8 +95,8 @@ def read_events(spark, path: str) -> DataFrame:
 
 
 def _export_values(events: DataFrame) -> list[Column]:
-    """Columns as export texts: instants in ISO form, everything else as it is."""
-    shown = {"timestamp_utc": iso_text(F.col("timestamp_utc")),
+    """Columns as export texts: instants in ISO form with all six digits, everything else as it is."""
+    shown = {"timestamp_utc": export_instant(F.col("timestamp_utc")),
              "timestamp_local": F.date_format("timestamp_local", "yyyy-MM-dd'T'HH:mm:ss")}
     return [shown.get(c, F.col(c)).alias(c) for c in events.columns]
 

@@ -124,6 +124,18 @@ def test_pivot_returns_all_events_of_long_findings(spark):
     assert pivot_to_events(findings, events).filter("finding_id = 'g'").count() == 2
 
 
+def whole_seconds(spark):
+    events = audit_events(spark, SMALL).limit(3)
+    return events.withColumn("timestamp_utc", F.timestamp_seconds(F.lit(1706250714)))
+
+
+def test_whole_seconds_keep_six_digits_in_exports(spark):
+    for row in exports.json_rows(whole_seconds(spark)).collect():
+        assert json.loads(row["json"])["timestamp_utc"] == "2024-01-26T06:31:54.000000+00:00"
+    early = spark.sql("SELECT timestamp_micros(-1) AS t").select(times.export_instant(F.col("t"))).first()[0]
+    assert early == "1969-12-31T23:59:59.999999+00:00"
+
+
 def test_exports_are_the_same_every_time(spark, tmp_path):
     events = audit_events(spark, SMALL)
     digest = lambda df: tuple(exports.content_digest(df).first())
