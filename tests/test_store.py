@@ -136,6 +136,20 @@ def test_whole_seconds_keep_six_digits_in_exports(spark):
     assert early == "1969-12-31T23:59:59.999999+00:00"
 
 
+def test_digest_of_whole_seconds_is_that_of_the_exported_text(spark):
+    import hashlib
+    events = whole_seconds(spark).cache()
+    shas = []
+    for row in events.collect():
+        shown = {c: row[c] for c in sorted(events.columns)}
+        shown["timestamp_utc"] = "2024-01-26T06:31:54.000000+00:00"
+        shown["timestamp_local"] = row["timestamp_local"].strftime("%Y-%m-%dT%H:%M:%S")
+        shas.append(hashlib.sha256(json.dumps(shown, separators=(",", ":")).encode()).hexdigest())
+    sums = [str(sum(int(x[8 * i: 8 * i + 8], 16) for x in shas)) for i in range(4)]
+    want = hashlib.sha256(":".join(["3", *sums]).encode()).hexdigest()
+    assert tuple(exports.content_digest(events).first()) == (3, want)
+
+
 def test_exports_are_the_same_every_time(spark, tmp_path):
     events = audit_events(spark, SMALL)
     digest = lambda df: tuple(exports.content_digest(df).first())
