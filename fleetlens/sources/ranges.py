@@ -15,6 +15,7 @@ import lzma
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 from urllib.parse import quote, unquote, urlsplit
 
 import numpy as np
@@ -26,6 +27,11 @@ from fleetlens.sources.lines import glob_regex
 SPLIT_BYTES = 64 << 20
 #: Bytes read from a file, and handed on, at once.
 PIECE = 4 << 20
+#: Bytes read at once behind a range, for the end of its last line.
+TAIL = 1 << 14
+#: Ranges shorter than a task are packed into so many tasks per core, of at least so many bytes.
+TASKS_PER_CORE = 4
+TASK_BYTES = 1 << 20
 UNPACKED = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
 MANY = re.compile(r"[*?\[{]")
 
@@ -101,9 +107,16 @@ def list_files(paths: Sequence[str]) -> list[FileFacts]:
     return [found[u] for u in sorted(found)]
 
 
-def plan_ranges(files: Sequence[FileFacts], split: int, width: int = 1) -> list[Ranges]:
-    """Ranges of at most ``split`` bytes, whole records of ``width``, packed into tasks of about as much."""
+def plan_ranges(files: Sequence[FileFacts], split: int, width: int = 1, cores: int | None = None) -> list[Ranges]:
+    """Ranges of at most ``split`` bytes, whole records of ``width``, packed into tasks of about as much.
+
+    With ``cores``, short ranges are packed into tasks of up to 64 MB, as long as each core has a few, so that the number of
+    tasks does not grow with every range.
+    """
     step = max(width, split // width * width)
+    if cores:
+        share = (sum(f.size for f in files) + (len(files) << 16)) // (cores * TASKS_PER_CORE)
+        split = max(split, min(SPLIT_BYTES, max(share, TASK_BYTES)))
     tasks: list[Ranges] = []
     waiting: list[tuple[FileFacts, int, int]] = []
     load = 0
@@ -114,9 +127,9 @@ def plan_ranges(files: Sequence[FileFacts], split: int, width: int = 1) -> list[
             if waiting and load + end - start > split:
                 tasks.append(Ranges(waiting))
                 waiting, load = [], 0
+            # Neighbouring ranges of one task are read through one open file; a file costs some time to open, however short.
+            load += end - start + (0 if waiting and waiting[-1][0] is file else 1 << 16)
             waiting.append((file, start, end))
-            # A small file costs some time to open, however short it is.
-            load += end - start + (1 << 16)
     if waiting:
         tasks.append(Ranges(waiting))
     return tasks
@@ -137,8 +150,12 @@ def lines_between(stream, start: int, end: int | None, first: bool) -> Iterator[
     ``stream`` stands at ``start``, or one byte before it unless ``first``: a line begins here only if that byte ends one.
     """
     at, rest, skip = start - (not first), b"", not first
+    read = at
     while True:
-        data = stream.read(PIECE)
+        # No more than the range, and then only as far as its last line goes.
+        want = PIECE if end is None else min(PIECE, end - read) if read < end else min(PIECE, max(TAIL, len(rest)))
+        data = stream.read(want)
+        read += len(data)
         if not data:
             if rest and not skip and (end is None or at < end):
                 yield at, rest, np.array([len(rest)])
@@ -168,6 +185,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["paths"].split("\n")
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.cores = int(options.get("cores", 0)) or None
 
     width = 1
 
@@ -175,19 +193,24 @@ class _Reader(DataSourceReader):
         return list_files(self.paths)
 
     def partitions(self) -> Sequence[InputPartition]:
-        return plan_ranges(self.files(), self.split, self.width) or [Ranges([])]
+        return plan_ranges(self.files(), self.split, self.width, self.cores) or [Ranges([])]
 
-    def pieces(self, file: FileFacts, start: int, end: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        first = start == 0
-        with open_at(file, start - (not first)) as stream:
-            yield from lines_between(stream, start, None if file.unpack else end, first)
+    def pieces(self, partition: Ranges) -> Iterator[tuple[FileFacts, int, Iterator[tuple[int, bytes, np.ndarray]]]]:
+        """(file, first byte, pieces of lines) of a task's ranges, one after the other."""
+        for file, parts in groupby(partition.parts, key=lambda part: part[0]):
+            with open_at(file, 0) as stream:
+                for _, start, end in parts:
+                    first = start == 0
+                    if not file.unpack:
+                        stream.seek(start - (not first))
+                    yield file, start, lines_between(stream, start, None if file.unpack else end, first)
 
 
 class LineReader(_Reader):
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for file, start, end in partition.parts:
+        for file, start, pieces in self.pieces(partition):
             number = 0
-            for at, data, ends in self.pieces(file, start, end):
+            for at, data, ends in pieces:
                 n = len(ends)
                 begins = np.concatenate([[0], ends[:-1]])
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
@@ -205,8 +228,8 @@ class CountReader(_Reader):
         return [f for f in super().files() if not f.unpack and f.size > self.split]
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
-        for file, start, end in partition.parts:
-            yield file.uri, start, sum(len(ends) for _, _, ends in self.pieces(file, start, end))
+        for file, start, pieces in self.pieces(partition):
+            yield file.uri, start, sum(len(ends) for _, _, ends in pieces)
 
 
 class RecordReader(_Reader):
@@ -214,8 +237,14 @@ class RecordReader(_Reader):
         super().__init__(options)
         self.width = int(options["width"])
 
+    def joined(self, partition: Ranges) -> Iterator[tuple[FileFacts, int, int]]:
+        """A task's ranges of each file as one, for they follow each other; a record's number comes from its place."""
+        for file, parts in groupby(partition.parts, key=lambda part: part[0]):
+            spans = list(parts)
+            yield file, spans[0][1], spans[-1][2]
+
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for file, start, end in partition.parts:
+        for file, start, end in self.joined(partition):
             with open_at(file, start) as stream:
                 at = start
                 while True:
@@ -283,4 +312,5 @@ class RecordRanges(DataSource):
 def scan(spark, kind: type[DataSource], paths: str | Sequence[str], split_bytes: int, **options):
     spark.dataSource.register(kind)
     text = "\n".join([paths] if isinstance(paths, str) else paths)
-    return spark.read.format(kind.name()).options(paths=text, split_bytes=str(split_bytes), **options).load()
+    return spark.read.format(kind.name()).options(
+        paths=text, split_bytes=str(split_bytes), cores=str(spark.sparkContext.defaultParallelism), **options).load()

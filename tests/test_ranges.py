@@ -94,6 +94,40 @@ def test_small_files_share_tasks(root):
     assert all(s % 384 == 0 for s, _ in spans) and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_short_ranges_share_tasks_and_read_little(tmp_path, monkeypatch):
+    """Ranges far shorter than a task: few tasks, each file opened once a task, and hardly more bytes read than there are."""
+    data = some_bytes(5, 4000) + b"z" * 70_000 + b"\n" + some_bytes(6, 400)
+    (tmp_path / "a.log").write_bytes(data)
+    reader = ranges.LineReader({"paths": str(tmp_path), "split_bytes": "1000", "cores": "2"})
+    tasks = reader.partitions()
+    assert len(tasks) <= 2 * 2 * ranges.TASKS_PER_CORE and sum(len(t.parts) for t in tasks) == -(-len(data) // 1000)
+    opened, read = [], []
+
+    class Counted:
+        def __init__(self, raw):
+            self.raw, self.seek = raw, raw.seek
+
+        def read(self, n):
+            got = self.raw.read(n)
+            read.append(len(got))
+            return got
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.raw.close()
+
+    real = ranges.open_at
+    monkeypatch.setattr(ranges, "open_at", lambda file, start: opened.append(file) or Counted(real(file, start)))
+    rows = [(at, raw) for t in tasks for batch in reader.read(t) for at, raw in zip(batch["byte_offset"].to_pylist(), batch["raw"].to_pylist())]
+    assert sorted(rows) == [(at, data[at: end]) for at, end in zip(
+        [0, *(k + 1 for k, b in enumerate(data) if b == 10)], [k + 1 for k, b in enumerate(data) if b == 10])]
+    assert len(opened) == len(tasks) and sum(read) < 30 * len(data)
+    records = ranges.RecordReader({"paths": str(tmp_path), "split_bytes": "1000", "width": "12", "cores": "2"})
+    assert len(records.partitions()) <= 2 * 2 * ranges.TASKS_PER_CORE
+
+
 @pytest.mark.parametrize("split", [100, 1 << 20])
 def test_records_of_ranges(spark, tmp_path, split):
     data = random.Random(4).randbytes(12 * 333 + 5)
