@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.structured import ids_to_json
 from fleetlens.functions.times import export_instant
-from fleetlens.operators.dedupe import dedupe_events, only_new
+from fleetlens.operators.dedupe import dedupe_events
 from fleetlens.rules.base import finding_errors, with_event_ids
 from fleetlens.schema import (
     CATEGORIES, EVENT_COLUMNS, EVENT_KINDS, EVENT_SCHEMA, RAW_LINE_MAX_BYTES, REQUIRED_TEXT, SEVERITIES,
@@ -54,6 +54,30 @@ STORE_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T
 FILE_EVENTS = 1_000_000
 
 
+#: Hashes that are few enough to be sent to every task: about 100 bytes each.
+BROADCAST_HASHES = 200_000
+
+
+def new_rows(checked: DataFrame, hashes: DataFrame, count: Row) -> DataFrame:
+    """One row per hash that is not ``known``; ``count`` has how many hashes are new, known, and new but there ``twice``.
+
+    Whole rows are shuffled by hash only where neither the hashes to leave out nor those to keep are few.
+    """
+    of = lambda which: hashes.filter(which).select("event_hash")
+    known, twice = F.col("known"), ~F.col("known") & F.col("twice")
+    if not count["new"]:
+        return checked.limit(0)
+    if count["known"] + count["twice"] <= BROADCAST_HASHES:
+        rest = checked.join(F.broadcast(of(known | twice)), "event_hash", "left_anti")
+        if not count["twice"]:
+            return rest
+        return rest.unionByName(dedupe_events(checked.join(F.broadcast(of(twice)), "event_hash", "left_semi")))
+    wanted = of(~known)
+    if count["new"] <= BROADCAST_HASHES:
+        wanted = F.broadcast(wanted)
+    return dedupe_events(checked.join(wanted, "event_hash", "left_semi") if count["known"] else checked)
+
+
 def append_events(events: DataFrame, path: str) -> dict[str, int]:
     """Add valid, new events to the Parquet store; gives inserted, deduped and invalid counts.
 
@@ -69,16 +93,23 @@ def append_events(events: DataFrame, path: str) -> dict[str, int]:
     bad = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid")).first()
     checked = batch.filter(F.size("errors") == 0).select(*EVENT_COLUMNS).withColumn(
         "event_date", F.coalesce(F.to_date("timestamp_utc").cast("string"), F.lit("undated")))
-    unique = dedupe_events(checked)
+    # One narrow row per hash decides what is new and what comes twice; it is settled before rows are published, so that the
+    # count is that of this batch, whoever else writes.
+    hashes = checked.groupBy("event_hash").agg((F.count(F.lit(1)) > 1).alias("twice"))
     if existing_paths(spark, [path]):
         stored = spark.read.schema(STORE_SCHEMA).parquet(path)
-        unique = only_new(unique, stored.join(checked.select("host_id").distinct(), "host_id", "left_semi"))
+        known = stored.join(checked.select("host_id").distinct(), "host_id", "left_semi").select(
+            "event_hash", F.lit(True).alias("known")).distinct()
+        hashes = hashes.join(known, "event_hash", "left")
+    else:
+        hashes = hashes.withColumn("known", F.lit(False))
+    settled = shared_folder(spark, "hashes")
+    hashes.withColumn("known", F.coalesce("known", F.lit(False))).write.parquet(settled)
+    hashes = spark.read.schema("event_hash string, twice boolean, known boolean").parquet(settled)
+    count = hashes.agg(F.count_if(~F.col("known")).alias("new"), F.count_if(F.col("known")).alias("known"),
+                       F.count_if(~F.col("known") & F.col("twice")).alias("twice")).first()
+    new, inserted = new_rows(checked, hashes, count), count["new"]
     days = checked.groupBy("host_id", "event_date").agg(F.ceil(F.count(F.lit(1)) / FILE_EVENTS).alias("__files"))
-    # New rows are settled before they are published, so that their count is that of this batch, whoever else writes.
-    settled = shared_folder(spark, "new")
-    unique.write.parquet(settled)
-    new = spark.read.schema(unique.schema).parquet(settled)
-    inserted = new.count()
     if inserted or not existing_paths(spark, [path]):
         (new.join(days, ["host_id", "event_date"])
          .repartition("host_id", "event_date", F.pmod(F.xxhash64("event_hash"), F.col("__files")))

@@ -124,6 +124,22 @@ def test_pivot_returns_all_events_of_long_findings(spark):
     assert pivot_to_events(findings, events).filter("finding_id = 'g'").count() == 2
 
 
+@pytest.mark.parametrize("few", [0, 3, 1_000_000])
+def test_append_by_hashes(spark, tmp_path, monkeypatch, few):
+    """Known rows, rows there twice and new ones, however many hashes may be sent to every task."""
+    monkeypatch.setattr(exports, "BROADCAST_HASHES", few)
+    events, store = audit_events(spark, SMALL).cache(), str(tmp_path / "store")
+    first = events.filter("actor_uid % 3 = 0")
+    n, m = first.count(), events.count()
+    assert exports.append_events(first.unionByName(first.limit(2)), store) == {"inserted": n, "deduped": 2, "invalid": 0}
+    copies = events.filter("actor_uid % 3 = 1").limit(2).withColumn("parser_name", F.lit("a"))
+    assert exports.append_events(events.unionByName(copies), store) == {"inserted": m - n, "deduped": n + 2, "invalid": 0}
+    assert exports.append_events(events, store) == {"inserted": 0, "deduped": m, "invalid": 0}
+    rows = exports.read_events(spark, store)
+    assert rows.count() == rows.select("event_hash").distinct().count() == m
+    assert rows.filter("parser_name = 'a'").count() == copies.count() == 2
+
+
 def whole_seconds(spark):
     events = audit_events(spark, SMALL).limit(3)
     return events.withColumn("timestamp_utc", F.timestamp_seconds(F.lit(1706250714)))
