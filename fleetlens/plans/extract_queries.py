@@ -14,7 +14,7 @@ from fleetlens.extract.services import chrome_downloads, chrome_visits, firefox_
 from fleetlens.extract.status import artifact_status, parser_stats
 from fleetlens.functions import times
 from fleetlens.plans.registry import ORACLES, query
-from fleetlens.plans.views import read_table
+from fleetlens.plans.views import read_table, spread_events, spread_width
 from fleetlens.schema import HOST_SCHEMA
 from fleetlens.session import shared_folder
 from fleetlens.sources.lines import read_lines
@@ -42,21 +42,23 @@ def hosts_of(spark, sf_dir: str) -> DataFrame:
 
 
 def lines_from(rows: DataFrame, path: Column | str, line: Column, number: str = "event_id",
-               host: Column | None = None) -> DataFrame:
-    """Raw lines: one per row, in the order of ``number``."""
+               host: Column | None = None, spread: bool = True) -> DataFrame:
+    """Raw lines: one per row, in the order of ``number``; ``spread`` unless the rows are already."""
     who = host if host is not None else F.concat(F.lit("host-"), (F.col("user_id") % 8).cast("string"))
     # The given tables are single splits; the logs of a fleet come in many, so the rows are spread first.
-    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, number)
-    return spread.select(
+    if spread:
+        rows = rows.repartition(spread_width(rows.sparkSession), number)
+    return rows.select(
         who.alias("host_id"), (F.lit(path) if isinstance(path, str) else path).alias("artifact_path"),
         F.lit("0" * 64).alias("artifact_sha256"), F.lit(FILE_MTIME).alias("artifact_mtime"),
         (F.col(number) + 1).cast("long").alias("line_no"), (F.col(number) * 1000).cast("long").alias("byte_offset"),
         line.alias("line"), F.lit(False).alias("had_decode_error"))
 
 
-def _events(spark, sf_dir):
-    return (read_table(spark, sf_dir, "events")
-            .withColumn("u", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+def _events(spark, sf_dir, spread: bool = False):
+    """Events with account and address; ``spread`` before several lines are made of each, which then need no shuffle."""
+    rows = spread_events(spark, sf_dir) if spread else read_table(spark, sf_dir, "events")
+    return (rows.withColumn("u", F.concat(F.lit("u"), F.col("user_id").cast("string")))
             .withColumn("ip", F.concat(F.lit("198.51.100."), (F.col("user_id") % 25).cast("string"))))
 
 
@@ -276,14 +278,14 @@ def _audit(spark, sf_dir):
     stamp = _text("msg=audit(", F.col("e").cast("string"), ".", F.lpad(F.col("f").cast("string"), 6, "0"), ":",
                   F.col("event_id").cast("string"), "):")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = _events(spark, sf_dir).withColumns({"e": F.floor(at / 1_000_000), "f": at % 1_000_000})
+    rows = _events(spark, sf_dir, spread=True).withColumns({"e": F.floor(at / 1_000_000), "f": at % 1_000_000})
     both = F.array(
         _text("type=SYSCALL ", stamp, " arch=c000003e syscall=59 auid=", F.col("user_id").cast("string"),
               ' uid=0 comm="run-', F.col("event_type"), '" exe="/bin/run-', F.col("event_type"), '"'),
         _text("type=EXECVE ", stamp, ' argc=3 a0="run-', F.col("event_type"), '" a1="-u" a2="', F.col("u"), '"'))
     rows = rows.select("event_id", "user_id", F.posexplode(both).alias("part", "line"))
     lines = lines_from(rows.withColumn("n", F.col("event_id") * 2 + F.col("part")), "var/log/audit/audit.log",
-                       F.col("line"), "n")
+                       F.col("line"), "n", spread=False)
     out = REGISTRY["auditd_parser"].extract(lines, hosts_of(spark, sf_dir))
     return out.select("raw_line_offset", "timestamp_utc", "actor_uid", "actor_process", "description")
 
@@ -319,12 +321,12 @@ def _usb(spark, sf_dir):
         _syslog(_text(port, "New USB device found, idVendor=0781, idProduct=5567")),
         _syslog(_text(port, "Product: ", F.col("event_type"))),
         F.when(F.col("event_type") != "error", _text(off, port, "USB disconnect, device number 3")))
-    rows = _events(spark, sf_dir).select("event_id", "user_id", F.posexplode(messages).alias("part", "line"))
+    rows = _events(spark, sf_dir, spread=True).select("event_id", "user_id", F.posexplode(messages).alias("part", "line"))
     maker = rows.filter(F.col("part") == 1).withColumn(
         "line", F.regexp_replace("line", "New USB device found.*$", "Manufacturer: maker"))
     rows = rows.filter(F.col("line").isNotNull()).withColumn("n", F.col("event_id") * 4 + F.col("part"))
-    lines = lines_from(rows, "var/log/kern.log", F.col("line"), "n").unionByName(
-        lines_from(maker.withColumn("n", F.col("event_id") * 4 + 1), "var/log/kern.log", F.col("line"), "n")
+    lines = lines_from(rows, "var/log/kern.log", F.col("line"), "n", spread=False).unionByName(
+        lines_from(maker.withColumn("n", F.col("event_id") * 4 + 1), "var/log/kern.log", F.col("line"), "n", spread=False)
         .withColumn("byte_offset", F.col("byte_offset") + 1))
     out = REGISTRY["usb_parser"].extract(lines, hosts_of(spark, sf_dir))
     return out.select("raw_line_offset", "subcategory", "timestamp_utc", "description")
@@ -341,9 +343,9 @@ def _history(spark, sf_dir):
     both = F.array(
         F.when(F.col("event_type") == "click", _text("#", second)),
         F.when(F.col("event_type") == "view", _text(": ", second, ":0;", command)).otherwise(command))
-    rows = _events(spark, sf_dir).select("event_id", "user_id", "u", F.posexplode(both).alias("part", "line"))
+    rows = _events(spark, sf_dir, spread=True).select("event_id", "user_id", "u", F.posexplode(both).alias("part", "line"))
     rows = rows.filter(F.col("line").isNotNull()).withColumn("n", F.col("event_id") * 2 + F.col("part"))
-    lines = lines_from(rows, _text("home/", F.col("u"), "/.bash_history"), F.col("line"), "n")
+    lines = lines_from(rows, _text("home/", F.col("u"), "/.bash_history"), F.col("line"), "n", spread=False)
     out = REGISTRY["shellhist_parser"].extract(lines, hosts_of(spark, sf_dir))
     return out.select("raw_line_offset", "timestamp_utc", "actor_user", "subcategory", "description")
 
@@ -373,9 +375,9 @@ def apt_lines(spark, sf_dir) -> DataFrame:
         _text("Start-Date: ", F.date_format("ts", "yyyy-MM-dd  HH:mm:ss")), _text("Commandline: apt do ", F.col("event_type")),
         F.when(F.col("event_type") != "view", _text("Requested-By: ", F.col("u"), " (", F.col("user_id").cast("string"), ")")),
         _text("Install: nmap:amd64 (7.9), lib", F.col("event_type"), ":amd64 (1.0, automatic)"), F.lit(""))
-    rows = _events(spark, sf_dir).select("event_id", "user_id", F.posexplode(parts).alias("part", "line"))
+    rows = _events(spark, sf_dir, spread=True).select("event_id", "user_id", F.posexplode(parts).alias("part", "line"))
     rows = rows.filter(F.col("line").isNotNull()).withColumn("n", F.col("event_id") * 5 + F.col("part"))
-    return lines_from(rows, "var/log/apt/history.log", F.col("line"), "n")
+    return lines_from(rows, "var/log/apt/history.log", F.col("line"), "n", spread=False)
 
 
 @query("xtr_12_apt_history", f"""WITH b AS (SELECT *, CASE WHEN event_type = 'view' THEN 'root' ELSE {USER} END AS who,

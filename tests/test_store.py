@@ -257,3 +257,18 @@ def test_catalogue():
     areas = {name.split("_")[0] for name in queries}
     assert areas >= {"src", "out", "prd", "prj", "fn", "tim", "jsn", "arr", "cnd", "xtr", "joi", "agg", "win", "lim", "set",
                      "rul", "rpt", "int", "str", "udx"}
+
+
+def test_rows_are_spread_by_shuffle_width_before_lines_are_made(spark):
+    from fleetlens.plans.extract_queries import apt_lines
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    try:
+        lines = apt_lines(spark, SMALL)
+        assert lines.rdd.getNumPartitions() == 19
+        # Read from above: lines are made of rows that were shuffled as events.
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Repartition") == 1 and plan.index("Generate") < plan.index("Repartition")
+        assert audit_events(spark, SMALL).rdd.getNumPartitions() == 19
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
