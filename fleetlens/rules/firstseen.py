@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.extract.base import join_small
 from fleetlens.functions.text import sql_quote
 from fleetlens.functions.times import from_micros, iso_text, micros, minute_text
 from fleetlens.operators.joins import with_scalar
 from fleetlens.operators.search import not_tool_noise
 from fleetlens.rules.base import EVIDENCE, EvidenceKind, counted, finish, keyed, rule, text
+from fleetlens.session import cut_lineage
 
 # Looked-at columns with their label, and the smallest case.
 FIELDS = (("source_ip", "address"), ("actor_user", "username"))
@@ -28,18 +30,23 @@ EVIDENCE.update({f"events_of_{label}": EvidenceKind(dated_value(column), _value(
 
 
 def late_values(events: DataFrame, column: str, late_fraction: float, min_events: int) -> DataFrame:
-    """Values whose first event (tool noise aside) lies in the late part of the covered period, with all their events counted."""
+    """Values whose first event (tool noise aside) lies in the late part of the covered period, with all their events counted.
+
+    Times alone tell which values are late; only events of these are looked at for their digests and host.
+    """
     at = micros(F.col("timestamp_utc"))
     span = (events.filter(F.col("timestamp_utc").isNotNull())
             .agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n_all"))
             .withColumn("threshold", F.round(
                 F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(late_fraction)).cast("long")))
     own = F.when(not_tool_noise(), at)
-    first = (events.filter(dated_value(column)()).groupBy(F.col(column).alias("value"))
-             .agg(F.min(own).alias("first_us"), F.max(own).alias("last_us"), F.count(own).alias("n"), *counted(),
-                  F.min_by("host_id", F.struct("timestamp_utc", "event_hash")).alias("host")))
-    return with_scalar(first, span).filter(
-        (F.col("n_all") >= min_events) & (F.col("hi") > F.col("lo")) & (F.col("first_us") >= F.col("threshold")))
+    having = events.filter(dated_value(column)()).withColumn("value", F.col(column))
+    first = having.groupBy("value").agg(F.min(own).alias("first_us"), F.max(own).alias("last_us"), F.count(own).alias("n"))
+    late = cut_lineage(with_scalar(first, span).filter(
+        (F.col("n_all") >= min_events) & (F.col("hi") > F.col("lo")) & (F.col("first_us") >= F.col("threshold"))))
+    theirs = join_small(having.select("value", "event_id", "event_hash", "host_id", "timestamp_utc"), late.select("value"), ["value"], "left_semi")
+    return late.join(theirs.groupBy("value").agg(
+        *counted(), F.min_by("host_id", F.struct("timestamp_utc", "event_hash")).alias("host")), "value")
 
 
 @rule("first_seen", late_fraction=0.5)

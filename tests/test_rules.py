@@ -222,3 +222,23 @@ def test_executive_summary(table):
     assert summary.key_observations(findings).count() == 5
     steps = [r.step for r in summary.recommended_actions(findings).collect()]
     assert len(steps) == len(set(steps)) == 5
+
+
+def test_stored_findings_leave_no_plan_with_all_rules_and_a_rule_may_fail_while_it_runs(table, monkeypatch):
+    events = table(*incident())
+    monkeypatch.setitem(REGISTRY, "breaks", base.Rule("breaks", "1.0", lambda events: REGISTRY["brute_force"].findings(events).withColumn(
+        "title", F.raise_error(F.lit("broken row")).cast("string"))))
+    report = run_rules(events, stored=True)
+    assert list(report.failed) == ["breaks"] and "SparkRuntimeException" in report.failed["breaks"]
+    ids = lambda df: sorted(r.finding_id for r in df.select("finding_id").collect())
+    assert ids(report.findings) == ids(run_rules(events, [n for n in REGISTRY if n != "breaks"]).findings) != []
+    plan = report.findings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_persistence_counts_what_occurs_only(table):
+    at = lambda m: START + timedelta(minutes=m)
+    events = [*[fail(i) for i in range(5)], dict(subcategory="successful_login", timestamp_utc=at(9), source_ip="203.0.113.5")]
+    assert found(table(*events), "persistence_after_login") == []
+    [r] = found(table(*events, dict(subcategory="systemd_unit", category="persistence", timestamp_utc=at(20))), "persistence_after_login")
+    assert r.event_count == 2 and r.last_ts_utc == at(20) and "systemd unit" in r.what_happened and "," not in r.what_happened
