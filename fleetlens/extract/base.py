@@ -120,10 +120,14 @@ def complete(df: DataFrame, name: str, version: str, case_id: str = "case") -> D
 
 
 def claimed_lines(lines: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The lines that some job wants, once per job, with its name as ``job``."""
+    """The lines that some job wants, once per job, with its name as ``job``.
+
+    The globs of all jobs are tried once per path, not per line.
+    """
     path = F.col("artifact_path")
     jobs = F.array_compact(F.array(*[F.when(REGISTRY[n].claims(path), F.lit(n)) for n in names]))
-    return lines.withColumn("job", F.explode(jobs))
+    claims = cut_lineage(lines.select("artifact_path").distinct().withColumn("jobs", jobs).filter(F.size("jobs") > 0))
+    return join_small(lines, claims, ["artifact_path"], "inner").withColumn("job", F.explode("jobs")).drop("jobs")
 
 
 def extract_all(lines: DataFrame, hosts: DataFrame, case_id: str = "case",

@@ -552,3 +552,12 @@ def test_all_jobs_read_the_text_once(spark, as_lines, hosts, tmp_path):
     names = ["authlog_parser", "cronlog_parser", "sudoers_parser", "usb_parser"]
     apart = [row for n in names for row in REGISTRY[n].extract(stored, hosts).collect()]
     assert sorted(map(str, together.collect())) == sorted(map(str, apart)) and len(apart) > 20
+
+
+def test_globs_are_tried_per_path_not_per_line(as_lines):
+    from fleetlens.extract.base import claimed_lines
+    lines = as_lines({"var/log/syslog": "a\nb", "var/log/other": "c"})
+    claimed = claimed_lines(lines, ["cronlog_parser", "usb_parser"])
+    assert sorted((r.line, r.job) for r in claimed.collect()) == [
+        (text, job) for text in "ab" for job in ("cronlog_parser", "usb_parser")]
+    assert "RLIKE" not in claimed._jdf.queryExecution().optimizedPlan().toString()
