@@ -26,6 +26,8 @@ LONGEST = 64
 LEAST_SHARE = 0.25
 #: Items searched at once.
 ITEMS = 512
+#: Rows added up one by one, and runs of them side by side: so much fits a core's cache.
+RUN, SIDE = 32, 1024
 
 
 def word_ids(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -151,6 +153,32 @@ def passage_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([count], pa.int64())], ["frequencies", "passages"])
 
 
+def row_sums(matrix: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of a matrix over consecutive runs of ``counts`` places, none of them empty.
+
+    Many runs are added up side by side, a row of each at a time; longer ones than ``RUN`` are cut, and their parts added.
+    """
+    if not len(counts):
+        return np.zeros((0, matrix.shape[1]), matrix.dtype)
+    if counts.max() > RUN:
+        parts = -(-counts // RUN)
+        last = np.cumsum(parts) - 1
+        lengths = np.full(last[-1] + 1, RUN)
+        lengths[last] = counts - (parts - 1) * RUN
+        return row_sums(row_sums(matrix, at, lengths), np.arange(len(lengths)), parts)
+    order = np.argsort(-counts, kind="stable")
+    heads, falling = (np.cumsum(counts) - counts)[order], -counts[order]
+    out = np.empty((len(counts), matrix.shape[1]), matrix.dtype)
+    for low in range(0, len(counts), SIDE):
+        head, left = heads[low: low + SIDE], falling[low: low + SIDE]
+        sums = matrix[at[head]]
+        for j in range(1, -left[0]):
+            live = np.searchsorted(left, -j)
+            sums[:live] += matrix[at[head[:live] + j]]
+        out[order[low: low + SIDE]] = sums
+    return out
+
+
 def range_step(column: np.ndarray, basis: np.ndarray):
     """A mapper to one row per task of A'A·basis over its passages.
 
@@ -170,11 +198,11 @@ def range_step(column: np.ndarray, basis: np.ndarray):
                 if not len(at):
                     continue
                 fresh_passage = np.r_[True, passage[1:] != passage[:-1]]
-                y = np.add.reduceat(basis[at], np.flatnonzero(fresh_passage), axis=0)
-                order = np.argsort(at, kind="stable")
+                y = row_sums(basis, at, np.diff(np.r_[np.flatnonzero(fresh_passage), len(at)]))
+                order = np.argsort(at.astype(np.int16), kind="stable")
                 sorted_at = at[order]
                 heads = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-                total[sorted_at[heads]] += np.add.reduceat(y[(np.cumsum(fresh_passage) - 1)[order]], heads, axis=0)
+                total[sorted_at[heads]] += row_sums(y, (np.cumsum(fresh_passage) - 1)[order], np.diff(np.r_[heads, len(at)]))
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["part"])
     return run
 
@@ -281,6 +309,30 @@ def subsequence_length(a: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def common_lengths(masks: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each window with its text, in words, as :func:`subsequence_length` has it of one.
+
+    ``masks`` has, by window, word and group of 64 places, a bit for each place of the text where the word stands.
+    """
+    n, length, groups = masks.shape
+    masks = np.ascontiguousarray(masks.transpose(1, 2, 0))
+    v = np.full((groups, n), ~U64(0))
+    for j in range(length):
+        carry = np.zeros(n, bool)
+        for g in range(groups):
+            old = v[g]
+            u = old & masks[j, g]
+            total = old + u
+            over = total < old
+            if g:
+                total += carry
+                over |= carry & (total == 0)
+            v[g] = total | (old ^ u)
+            carry = over
+    # A bit is cleared for each word shared; places beyond the text have no words, and keep theirs.
+    return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+
+
 def split_words(texts: list) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, ids, first in word_ids(pa.array(texts, pa.large_string())):
@@ -306,28 +358,60 @@ class Items:
         # With these, a window's product over its own norm is 1 for the item itself, however much the space keeps of it.
         self.vectors = vectors * (norms / inside ** 2)[:, None]
         self.norms = norms
-        self.sets = [set(w.tolist()) for w in self.words]
+        #: All words of items and answers; a word's number is its place here, that of any other word is their count.
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint32), *self.words, *self.answers]))
+        self.has_term = np.zeros(TERMS, bool)
+        self.has_term[terms_of(self.vocabulary)] = True
+        self.word_numbers, self.answer_numbers = ([self.numbers(w) for w in texts] for texts in (self.words, self.answers))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        out = np.full(len(words), len(self.vocabulary), np.int32)
+        maybe = np.flatnonzero(self.has_term[terms_of(words)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.vocabulary, words[maybe]), len(self.vocabulary) - 1)
+            same = self.vocabulary[at] == words[maybe]
+            out[maybe[same]] = at[same]
+        return out
+
+    def masks(self, numbers: list[np.ndarray], item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """For each window, word and group of 64 places, the places in the text of the window's item where the word stands."""
+        groups = max(1, -(-max(len(numbers[k]) for k in np.unique(item)) // 64))
+        out = np.empty((*windows.shape, groups), U64)
+        order = np.argsort(item, kind="stable")
+        table = np.zeros((len(self.vocabulary) + 1, groups), U64)
+        for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            text = numbers[item[own[0]]]
+            place = np.arange(len(text))
+            np.bitwise_or.at(table, (text, place >> 6), U64(1) << (place & 63).astype(U64))
+            out[own] = table[windows[own]]
+            table[text] = 0
+        return out
 
 
 def search(items: Items, latent: Latent, cosine: float, common: float, weaker: float):
     """A mapper of (row, words) to (row, item, cosine, shared, answer): contaminated rows and the item they hold."""
     groups = {int(b): np.flatnonzero((items.blocks == b) & (items.lengths > 0)) for b in np.unique(items.blocks) if b > 0}
 
-    def verified(words, low, high, k):
-        window = words[low:high]
-        size = items.lengths[k]
-        # A common subsequence can't be longer than the words both have; most candidates end here.
-        own = items.sets[k]
-        if sum(w in own for w in window.tolist()) < weaker * size:
-            return None
-        shared = int(subsequence_length(items.words[k], [window])[0])
-        answer = items.answers[k]
-        has_answer = bool(len(answer)) and int(subsequence_length(answer, [window])[0]) == len(answer)
-        if shared >= common * size or (shared >= weaker * size and has_answer):
-            return shared, has_answer
-        return None
-
-    def piece(words, first) -> dict[tuple[int, int], tuple]:
+    def verified(numbers, low, high, item):
+        """(places, shared words, whether the answer is there) of the candidates that count: windows low:high and their items."""
+        length = int((high - low).max())
+        at = low[:, None] + np.arange(length)
+        windows = np.where(at < high[:, None], numbers[np.minimum(at, len(numbers) - 1)], len(items.vocabulary))
+        masks = items.masks(items.word_numbers, item, windows)
+        # A common subsequence can't be longer than the words both have; many candidates end here.
+        left = np.flatnonzero(masks.any(axis=2).sum(axis=1) >= weaker * items.lengths[item])
+        shared = common_lengths(masks[left])
+        enough = shared >= weaker * items.lengths[item[left]]
+        left, shared = left[enough], shared[enough]
+        if not len(left):
+            return left, shared, np.zeros(0, bool)
+        size = np.array([len(items.answers[k]) for k in item[left]])
+        has_answer = (size > 0) & (common_lengths(items.masks(items.answer_numbers, item[left], windows[left])) == size)
+        counts = has_answer | (shared >= common * items.lengths[item[left]])
+        return left[counts], shared[counts], has_answer[counts]
+
+    def piece(words, first) -> list[tuple]:
+        """(row, item, cosine, shared words, answer) of each row and item that it holds, by the first of its best windows."""
         block, n = passage_of_word(first, STEP)
         begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         row_of = np.searchsorted(first, begin, "right") - 1
@@ -347,43 +431,60 @@ def search(items: Items, latent: Latent, cosine: float, common: float, weaker: f
             norm = np.sqrt(np.maximum(whole[border[to]] - whole[begin], 1e-9))
             inside = np.sqrt(np.maximum(kept[border[to]] - kept[begin], 0))
             tried = np.flatnonzero((inside >= cosine * norm) & (inside >= LEAST_SHARE * items.norms[members].min()))
-            tries[width] = tried, to[tried], norm[tried]
-            np.add.at(needed, tried, 1)
-            np.add.at(needed, to[tried], -1)
+            tries[width] = tried, norm[tried]
+            needed += np.bincount(tried, minlength=n + 1) - np.bincount(to[tried], minlength=n + 1)
         known = np.flatnonzero((at >= 0) & (np.cumsum(needed)[block] > 0))
-        parts = np.zeros((n, latent.projection.shape[1]), np.float32)
+        # Blocks behind the last let every window be added up.
+        parts = np.zeros((n + max(groups), latent.projection.shape[1]), np.float32)
         if len(known):
             own = block[known]
             heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            parts[own[heads]] = np.add.reduceat(latent.projection[at[known]], heads, axis=0)
-        sums = np.zeros((n + 1, parts.shape[1]))
-        np.cumsum(parts, axis=0, dtype=np.float64, out=sums[1:])
-        best: dict[tuple[int, int], tuple] = {}
-        for width, members in groups.items():
-            # Windows of so many blocks from every block; at the end of a row they are shorter.
-            tried, to, norm = tries[width]
-            for low in range(0, len(tried), 4096):
-                part, end = tried[low: low + 4096], to[low: low + 4096]
-                product = (sums[end] - sums[part]).astype(np.float32) @ items.vectors[members].T
-                near = product / norm[low: low + 4096, None]
-                for b, m in zip(*np.nonzero((near >= cosine) & (product >= LEAST_SHARE * items.norms[members]))):
-                    item, here = int(members[m]), int(part[b])
-                    r = int(row_of[here])
-                    if (r, item) in best and best[r, item][1] >= items.lengths[item]:
-                        continue
-                    # A block more on both sides holds an item that begins inside a block.
-                    hit = verified(words, max(first[r], begin[here] - STEP), min(first[r + 1], begin[here] + (width + 1) * STEP), item)
-                    if hit and ((r, item) not in best or hit[0] > best[r, item][1]):
-                        best[r, item] = (float(near[b, m]), *hit)
-        return best
+            parts[own[heads]] = row_sums(latent.projection, at[known], np.diff(np.r_[heads, len(own)]))
+        numbers, hits = items.numbers(words), []
+        for low in range(0, n, SIDE):
+            # Windows of so many blocks from every block, each width from the one before; at the end of a row they are shorter.
+            high = min(low + SIDE, n)
+            room = last_block[low:high] - np.arange(low, high)
+            sums, added = np.zeros((high - low, parts.shape[1]), np.float32), 0
+            for width, members in groups.items():
+                for j in range(added, width):
+                    full = np.flatnonzero(room <= j)
+                    ended = sums[full]
+                    sums += parts[low + j: high + j]
+                    sums[full] = ended
+                added = width
+                tried, norm = (x[slice(*np.searchsorted(tries[width][0], (low, high)))] for x in tries[width])
+                least = LEAST_SHARE * items.norms[members]
+                product = sums[tried - low] @ items.vectors[members].T
+                # Only windows whose best item may be near are looked at item by item.
+                some = np.flatnonzero(product.max(axis=1) >= 0.999 * np.maximum(cosine * norm, least.min()))
+                product = product[some]
+                near = product / norm[some, None]
+                b, m = np.nonzero((near >= cosine) & (product >= least))
+                hits.append((width, tried[some[b]], members[m], near[b, m]))
+        found = []
+        for width in groups:
+            here, item, near = (np.concatenate(x) for x in zip(*(h[1:] for h in hits if h[0] == width)))
+            # A block more on both sides holds an item that begins inside a block.
+            start = np.maximum(first[row_of[here]], begin[here] - STEP)
+            stop = np.minimum(first[row_of[here] + 1], begin[here] + (width + 1) * STEP)
+            together = max(1, (1 << 20) // ((width + 2) * (width // 8 + 1) * STEP))
+            for low in range(0, len(here), together):
+                span = slice(low, low + together)
+                places, shared, answer = verified(numbers, start[span], stop[span], item[span])
+                found.append((row_of[here[span]][places], item[span][places], near[span][places], shared, answer))
+        row, item, near, shared, answer = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 5
+        best = np.lexsort((-shared, item, row))
+        best = best[np.r_[True, (np.diff(row[best]) != 0) | (np.diff(item[best]) != 0)][: len(best)]]
+        return list(zip(row[best].tolist(), item[best].tolist(), near[best].tolist(), shared[best].tolist(), answer[best].tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for base, words, first in packed_words(batch.column(1)):
                 if len(words) and groups:
-                    found += [(batch.column(0)[base + r].as_py(), items.ids[k], x[0], x[1] / items.lengths[k], x[2])
-                              for (r, k), x in piece(words, first).items()]
+                    found += [(batch.column(0)[base + r].as_py(), items.ids[k], near, shared / items.lengths[k], answer)
+                              for r, k, near, shared, answer in piece(words, first)]
             if found:
                 cols = list(zip(*found))
                 yield pa.record_batch(

@@ -82,3 +82,50 @@ def test_passages_count_once_wherever_they_stand(spark, docs_of, words, stored):
     assert (many[once > 0] - once[once > 0] > 0).mean() < 0.3
     same, k = counted(["la " * 5000])
     assert k <= 2 and same.sum() <= 2
+
+
+def test_row_sums_equal_plain_sums():
+    rng = np.random.default_rng(4)
+    matrix = rng.normal(size=(50, 7))
+    counts = np.r_[1, 5000, rng.integers(1, 70, 3000), leaks.RUN, leaks.RUN + 1]
+    at = rng.integers(0, 50, counts.sum())
+    want = np.array([matrix[x].sum(axis=0) for x in np.split(at, np.cumsum(counts)[:-1])])
+    assert np.allclose(leaks.row_sums(matrix, at, counts), want)
+    assert leaks.row_sums(matrix, at[:0], counts[:0]).shape == (0, 7)
+
+
+def test_lengths_of_many_windows_equal_the_lengths_of_each():
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 63, 64, 65, 130):
+        text = rng.integers(0, 9, size)
+        windows = rng.integers(0, 12, (40, size + 16))
+        windows[0, :size] = text
+        bits = np.zeros((12, -(-size // 64)), np.uint64)
+        for place, w in enumerate(text):
+            bits[w, place // 64] |= np.uint64(1) << np.uint64(place % 64)
+        assert leaks.common_lengths(bits[windows]).tolist() == leaks.subsequence_length(text, list(windows)).tolist()
+
+
+def test_windows_are_compared_together_and_not_one_by_one(words, monkeypatch):
+    # Half of the rows hold an item, which are of several widths, and one of more than 64 words.
+    items = [words(20 + 15 * i, 40 + i, 300) for i in range(6)]
+    texts = [f"{words(i % 11, i, 300)} {items[i % 6] if i % 2 else ''} {words(70, 99 + i, 300)}" for i in range(60)]
+    rows, = leaks.as_words([pa.record_batch([pa.array(range(60)), pa.array(texts)], ["row", "text"])])
+    weights = np.ones(leaks.TERMS, np.float32)
+    used = np.unique(np.concatenate([leaks.terms_of(w) for w in leaks.split_words(items)]))
+    column = np.full(leaks.TERMS, -1, np.int32)
+    column[used] = np.arange(len(used))
+    latent = leaks.Latent(weights, column, np.eye(len(used), dtype=np.float32))
+    answers = [i.split()[-1] for i in items]
+    searched = leaks.Items(list(range(6)), items, answers, latent)
+    calls, plain = [], leaks.subsequence_length
+    monkeypatch.setattr(leaks, "subsequence_length", lambda *a: calls.append(1) or plain(*a))
+    found = [tuple(c[k].as_py() for c in b.columns) for b in leaks.search(searched, latent, 0.2, 0.6, 0.45)([rows]) for k in range(b.num_rows)]
+    assert {(r, i) for r, i, _, shared, _ in found if shared == 1.0} == {(i, i % 6) for i in range(60) if i % 2}
+    assert not calls
+    # Every row and item counts that shares enough in some window, by the plain comparison of each.
+    for r, i, _, shared, answer in found:
+        own, whole = leaks.split_words([texts[r], items[i]])
+        width = -(-len(whole) // leaks.STEP)
+        windows = [own[max(0, b - leaks.STEP): b + (width + 1) * leaks.STEP] for b in range(0, len(own), leaks.STEP)]
+        assert round(shared * len(whole)) in plain(whole, windows) and (shared >= 0.6 or answer)
