@@ -108,6 +108,21 @@ def test_within_minutes_takes_both_ends(spark):
     assert near(before=False) == list(range(10, 16))
 
 
+def test_within_minutes_deals_its_pairs_over_many_tasks(spark):
+    # A thousand buckets of a few bytes, which adaptive execution would put into a task or two.
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,5 * id)"
+    anchors = spark.range(1000).selectExpr("id AS a", f"{at} AS anchor_ts")
+    events = spark.range(1000).selectExpr("id", f"{at} AS timestamp_utc")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = within_minutes(anchors, events, 5).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.a, r.id) for r in rows) == [(a, i) for a in range(1000) for i in range(a - 1, a + 2) if 0 <= i < 1000]
+    assert len({r.task for r in rows}) > 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_is_a_plain_join(spark, how):
     left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 1), ("none", 2)], "k string, i long")
