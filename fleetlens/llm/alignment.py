@@ -28,8 +28,16 @@ from fleetlens.session import cut_lineage
 BLOCK = 4 << 20
 #: A pair of ids is one number, the first id times this plus the second.
 SIDE = 1 << 20
-#: Groups of more links than this are first reduced to their different ids.
+#: Groups of more links than this are first reduced to their different ids; so many links are made together.
 MANY = 1 << 12
+LINKS = 1 << 22
+#: Values in a list of a stored row, and rows handed to Spark together: what Spark holds at once does not go by blocks or texts.
+PIECE = 1 << 10
+ROWS = 1 << 10
+#: Kinds of a block's rows.
+FIGURES, CELLS, PAIRS = range(3)
+STORED = {**dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), pa.int64()), "groups_sha256": pa.string(), "document": pa.list_(pa.int32()),
+          "slot": pa.list_(pa.int32()), "times": pa.list_(pa.int64()), "pairs": pa.list_(pa.int64()), "held": pa.list_(pa.int32())}
 #: Bytes of different chunks that are encoded as one text, and groups whose texts are made together.
 TEXT = 1 << 14
 SLICE = 1 << 20
@@ -254,17 +262,28 @@ class Groups:
         self.per_document = np.diff(np.searchsorted(left[closes] + 1, np.cumsum(a_counts), "right"), prepend=0)
         self.a_ids, self.b_ids = a_ids, b_ids
 
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(group, pair of ids, how often) of all links; a pair may stand several times for a group."""
+    def slices(self) -> Iterator[tuple[int, int]]:
+        """Ranges of groups with about LINKS links each, where a group of many counts as MANY."""
+        upto = np.cumsum(np.minimum(self.a_sizes * self.b_sizes, MANY))
+        lo = 0
+        while lo < len(upto):
+            hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LINKS)) + 1
+            yield lo, min(hi, len(upto))
+            lo = hi
+
+    def links(self, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, pair of ids, how often) of all links of a range of groups; a pair may stand several times for a group."""
         links = self.a_sizes * self.b_sizes
-        few = links <= MANY
+        inside = np.zeros(len(links), bool)
+        inside[lo:hi] = True
+        few = inside & (links <= MANY)
         a_first, b_first = np.cumsum(self.a_sizes) - self.a_sizes, np.cumsum(self.b_sizes) - self.b_sizes
         group = np.repeat(np.flatnonzero(few), links[few])
         k = ranges(np.zeros(few.sum(), np.int64), links[few])
         width = self.b_sizes[group]
         pair = self.a_ids[a_first[group] + k // width] * SIDE + self.b_ids[b_first[group] + k % width]
         parts = [(group, pair, np.ones(len(pair), np.int64))]
-        for g in np.flatnonzero(~few):
+        for g in np.flatnonzero(inside & (links > MANY)):
             a, n = np.unique(self.a_ids[a_first[g]: a_first[g] + self.a_sizes[g]], return_counts=True)
             b, m = np.unique(self.b_ids[b_first[g]: b_first[g] + self.b_sizes[g]], return_counts=True)
             parts.append((np.full(len(a) * len(b), g), (a[:, None] * SIDE + b).ravel(), np.outer(n, m).ravel()))
@@ -294,10 +313,18 @@ class Groups:
         return [h.hexdigest() if h else "" for h in hashes]
 
 
-def one_list(values, kind: pa.DataType | None = None) -> pa.Array:
-    """A list column of one row."""
-    values = pa.array(values, kind) if kind or not isinstance(values, pa.Array) else values
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def pieces(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values as rows of lists, PIECE values each."""
+    borders = np.append(np.arange(0, len(values), PIECE), len(values))
+    return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(values, kind))
+
+
+def folded(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of the times of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
+    return keys[last], np.diff(np.cumsum(times[order])[last], prepend=0)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.Table]:
@@ -317,40 +344,49 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator
         yield pa.Table.from_batches(waiting)
 
 
-def align_block(table: pa.Table, first: ByteLevel, second: Pieces) -> dict[str, pa.Array]:
-    """One row for a block: its documents' figures, its different pairs of ids, and which of them each document has how often."""
+def align_block(table: pa.Table, first: ByteLevel, second: Pieces) -> Iterator[tuple[int, dict[str, pa.Array]]]:
+    """(kind of row, its columns) for a block: its documents' figures, which pair of ids each document has how often, and its
+    different pairs with the number of documents that have them."""
     texts = [b" " + t if t else b"" for t in table.column(1).cast(pa.large_binary()).to_pylist()]
     (a_ids, a_counts), (b_ids, b_counts) = tokens_of(texts, first, second)
     groups = Groups(a_ids, a_counts, b_ids, b_counts, first.vocabulary, second.vocabulary)
-    group, pair, many = groups.links()
-    owner = np.repeat(np.arange(len(texts)), groups.per_document)
-    pairs, slot = np.unique(pair, return_inverse=True)
-    # A document and a pair of the block in one number; equal ones are summed up.
-    key = owner[group] * max(len(pairs), 1) + slot
-    key, place = np.unique(key, return_inverse=True)
-    times = np.zeros(len(key), np.int64)
-    np.add.at(times, place, many)
-    document, slot = key // max(len(pairs), 1), key % max(len(pairs), 1)
-    links = sums(groups.a_sizes * groups.b_sizes, groups.per_document)
-    return {
-        "ids": one_list(table.column(0).combine_chunks()),
-        "n_a": one_list(a_counts, pa.int64()), "n_b": one_list(b_counts, pa.int64()),
-        "n_groups": one_list(groups.per_document, pa.int64()), "n_links": one_list(links, pa.int64()),
-        "groups_sha256": one_list(groups.digests(first.vocabulary, second.vocabulary), pa.string()),
-        "n_pairs": one_list(np.bincount(document, minlength=len(texts)), pa.int32()),
-        "slot": one_list(slot, pa.int32()), "times": one_list(times, pa.int64()),
-        "pairs": one_list(pairs, pa.int64()), "held": one_list(np.bincount(slot, minlength=len(pairs)), pa.int64()),
+    yield FIGURES, {
+        "place": pa.array(np.arange(len(texts)), pa.int32()), "id": table.column(0).combine_chunks(),
+        "n_a": pa.array(a_counts, pa.int64()), "n_b": pa.array(b_counts, pa.int64()),
+        "n_groups": pa.array(groups.per_document, pa.int64()),
+        "n_links": pa.array(sums(groups.a_sizes * groups.b_sizes, groups.per_document), pa.int64()),
+        "groups_sha256": pa.array(groups.digests(first.vocabulary, second.vocabulary), pa.string()),
     }
-
-
-def score_block(row: dict) -> pa.RecordBatch:
-    """The documents of a block, with the sums over their links."""
-    slot, times, n_pairs = (row[c].to_numpy().astype(np.int64) for c in ("slot", "times", "n_pairs"))
-    documents, best = row["documents"].to_numpy(), row["best"].to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(texts)), groups.per_document)
+    # A document and a pair in one number; equal ones are summed up, so that memory goes by what is different.
+    key, times = [], []
+    for lo, hi in groups.slices():
+        group, pair, many = groups.links(lo, hi)
+        for known, new in zip((key, times), folded(owner[group] * SIDE**2 + pair, many)):
+            known.append(new)
+    key, times = folded(np.concatenate(key), np.concatenate(times)) if key else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    document = key // SIDE**2
+    pairs, slot = np.unique(key % SIDE**2, return_inverse=True)
+    cells = pieces(document, pa.int32())
+    yield CELLS, {"place": pa.array(np.arange(len(cells)), pa.int32()), "document": cells,
+                  "slot": pieces(slot, pa.int32()), "times": pieces(times, pa.int64())}
+    held = pieces(np.bincount(slot, minlength=len(pairs)), pa.int32())
+    yield PAIRS, {"place": pa.array(np.arange(len(held)) * PIECE, pa.int32()), "pairs": pieces(pairs, pa.int64()), "held": held}
+
+
+def score_block(rows: pa.Table, looked: pa.Table) -> pa.Table:
+    """The documents of a block, with the sums over their links; ``looked`` has what the corpus knows of the block's pairs."""
+    rows = rows.sort_by("place")
+    own, cells = (rows.filter(pc.equal(rows["kind"], kind)) for kind in (FIGURES, CELLS))
+    document, slot, times = (pc.list_flatten(cells[c]).to_numpy().astype(np.int64) for c in ("document", "slot", "times"))
+    at = looked["at"].to_numpy()
+    documents, best = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    documents[at], best[at] = looked["documents"].to_numpy(), looked["best"].to_numpy()
+    n_pairs = np.bincount(document, minlength=len(own))
     figures = ["n_a", "n_b", "n_groups", "n_links"]
-    return pa.record_batch(
-        [row["ids"], *(row[c] for c in figures), pa.array(sums(times * best[slot], n_pairs)),
-         pa.array(sums(times * documents[slot], n_pairs)), row["groups_sha256"]],
+    return pa.table(
+        [own["id"], *(own[c] for c in figures), pa.array(sums(times * best[slot], n_pairs)),
+         pa.array(sums(times * documents[slot], n_pairs)), own["groups_sha256"]],
         ["id", *figures, "n_best", "count_sum", "groups_sha256"])
 
 
@@ -364,7 +400,8 @@ class Alignment:
     Null and empty texts, and texts whose tokens do not give their bytes back, have no tokens: zeros and ''.  Rows with equal
     ids or texts stay rows of their own and count each.  A text may be of any length that Spark holds.  Other columns are
     ignored.  Rows are worked on in blocks of ``block`` bytes (one longer text is a block of its own); from a block only its
-    different pairs are joined with the counts of the corpus, so a pair that every document has is one row per block.
+    different pairs are joined with the counts of the corpus, so a pair that every document has is one row per block.  What a
+    block gives is stored in rows of bounded size and meets again in Python, a block at a time; Spark holds no block as a row.
     A group without common ends costs the product of its different ids, for each of these pairs has a count.
     """
 
@@ -372,38 +409,39 @@ class Alignment:
         spark = docs.sparkSession
         files = shipped(spark, byte_level), shipped(spark, pieces)
 
+        kind = docs.schema[id_column].dataType
+        figures = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
+        schema = T.StructType([
+            *T._parse_datatype_string("block bigint, kind int, place int").fields, T.StructField("id", kind),
+            *T._parse_datatype_string(f"{figures}, groups_sha256 string, document array<int>, slot array<int>, times array<bigint>, "
+                                      "pairs array<bigint>, held array<int>").fields])
+        names = schema.names
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, second = loaded(ByteLevel, files[0].value), loaded(Pieces, files[1].value)
             task = TaskContext.get().partitionId()
             for k, table in enumerate(blocks_of(batches, block)):
-                columns = align_block(table, first, second)
-                yield pa.record_batch([pa.array([task << 32 | k], pa.int64()), *columns.values()], ["block", *columns])
+                for row, columns in align_block(table, first, second):
+                    n = len(columns["place"])
+                    columns |= {"block": pa.array(np.full(n, task << 32 | k)), "kind": pa.array(np.full(n, row), pa.int32())}
+                    empty = {"id": table.schema.types[0], **STORED}
+                    batch = pa.record_batch([columns[c] if c in columns else pa.nulls(n, empty[c]) for c in names], names)
+                    for lo in range(0, n, ROWS):
+                        yield batch.slice(lo, ROWS)
 
-        kind = docs.schema[id_column].dataType
-        lists = {"ids": kind, "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string",
-                 "n_pairs": "int", "slot": "int", "times": "bigint", "pairs": "bigint", "held": "bigint"}
-        schema = T.StructType([T.StructField("block", T.LongType())] + [
-            T.StructField(name, T.ArrayType(k if isinstance(k, T.DataType) else T._parse_datatype_string(k))) for name, k in lists.items()])
         blocks = cut_lineage(docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema))
-        entries = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "e")).select("block", "at", "e.pairs", "e.held")
+        entries = blocks.filter(F.col("kind") == PAIRS).select(
+            "block", "place", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "e")).select(
+            "block", (F.col("place") + F.col("at")).alias("at"), "e.pairs", "e.held")
         counts = cut_lineage(entries.groupBy("pairs").agg(F.sum("held").alias("documents")))
         a_id = F.shiftright("pairs", SIDE.bit_length() - 1)
         # One row for each id of the first vocabulary at most.
         most = counts.groupBy(a_id.alias("a_id")).agg(F.max("documents").alias("most"))
         known = counts.withColumn("a_id", a_id).join(F.broadcast(most), "a_id").select(
             "pairs", "documents", (F.col("documents") == F.col("most")).alias("best"))
-        looked = entries.join(known, "pairs").groupBy("block").agg(
-            F.sort_array(F.collect_list(F.struct("at", "documents", "best"))).alias("looked"))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    yield score_block({c: batch.column(c)[k].values for c in batch.schema.names})
-
+        looked = entries.drop("held").join(known, "pairs").select(F.col("block").alias("of_block"), "at", "documents", "best")
         out = T.StructType([T.StructField("id", kind), *T._parse_datatype_string(
-            "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string").fields])
-        empty = F.array().cast("array<struct<at:int,documents:bigint,best:boolean>>")
-        self.documents = blocks.drop("pairs", "held").join(looked, "block", "left").withColumn("looked", F.coalesce("looked", empty)).select(
-            *list(lists)[:-2], F.col("looked.documents").alias("documents"), F.col("looked.best").alias("best")).mapInArrow(
-            score, out).withColumnRenamed("id", id_column)
+            f"{figures}, n_best bigint, count_sum bigint, groups_sha256 string").fields])
+        self.documents = blocks.filter(F.col("kind") != PAIRS).drop("pairs", "held").groupBy("block").cogroup(
+            looked.groupBy("of_block")).applyInArrow(score_block, out).withColumnRenamed("id", id_column)
         self.pairs = counts.select(a_id.alias("a_id"), F.col("pairs").bitwiseAND(SIDE - 1).alias("b_id"), "documents")

@@ -6,7 +6,9 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import alignment
 from fleetlens.llm.rollups import TOKENIZER_FOLDER
@@ -96,3 +98,22 @@ def test_empty_table_string_ids_and_other_columns(spark):
     assert tuple(out["z"])[1:] == (0, 0, 0, 0, 0, 0, "")
     only_empty = alignment.Alignment(spark.createDataFrame(rows[2:], kind), *FILES).documents.collect()
     assert [tuple(r)[1:] for r in only_empty] == [(0, 0, 0, 0, 0, 0, "")]
+
+
+def test_no_stored_row_holds_a_block(docs_of, words, monkeypatch):
+    """A row of a whole block made Spark hold as many blocks as a batch or a row group has rows."""
+    kept, store = [], alignment.cut_lineage
+    monkeypatch.setattr(alignment, "cut_lineage", lambda df, **how: kept.append(store(df, **how)) or kept[-1])
+    found = alignment.Alignment(docs_of([words(9000, 3), None, *["äöü" * 1500 + f" {i}" for i in range(3)]]), *FILES)
+    lists = [c for c, kind in kept[0].dtypes if kind.startswith("array")]
+    longest = kept[0].select([F.max(F.size(c)).alias(c) for c in lists]).first()
+    assert lists and all(0 < n <= 1024 for n in longest), longest
+    assert found.documents.count() == 5
+
+
+def test_links_in_slices_are_the_same(words, sides, monkeypatch):
+    table = pa.table({"id": [1, 2, 3], "text": [words(500, 1), "", "1234567890 12 345 " * 30 + words(90, 2)]})
+    whole = list(alignment.align_block(table, *sides))
+    monkeypatch.setattr(alignment, "LINKS", 7)
+    monkeypatch.setattr(alignment, "MANY", 5)
+    assert list(alignment.align_block(table, *sides)) == whole
