@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.functions.text import key_fingerprint
 from fleetlens.operators import dedupe, search
 from fleetlens.operators.aggregates import distinct_text, ordered_members
 from fleetlens.operators.joins import look_along_time, salted_join, within_minutes
@@ -205,3 +208,14 @@ def test_linked_groups_are_components(spark):
     for x in parent:
         for y in parent:
             assert (root(x) == root(y)) == (x[0] == y[0] and got[x] == got[y])
+
+
+def test_key_fingerprint_of_any_bytes_even_none(spark, tmp_path):
+    from fleetlens.plans.catalogue import QUERIES
+    texts = ["", None, " ", "ab==", "é" * 100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda t: "SHA256:" + base64.b64encode(hashlib.sha256(t.encode()).digest()).decode().rstrip("=")
+    got = {r.doc_id: r.v for r in QUERIES["fn_18_key_fingerprint"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else digest(t) for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(b,) for b in ("=", "==", "====", "a", "a===", "ab c", "YWI", None)], "b string")
+    assert {r.v for r in odd.select(key_fingerprint(F.col("b")).alias("v")).collect()} == {None}
