@@ -242,3 +242,21 @@ def test_persistence_counts_what_occurs_only(table):
     assert found(table(*events), "persistence_after_login") == []
     [r] = found(table(*events, dict(subcategory="systemd_unit", category="persistence", timestamp_utc=at(20))), "persistence_after_login")
     assert r.event_count == 2 and r.last_ts_utc == at(20) and "systemd unit" in r.what_happened and "," not in r.what_happened
+
+
+def test_a_failed_rule_is_no_result(spark, monkeypatch):
+    from fleetlens.plans import rule_queries
+    from fleetlens.plans.catalogue import QUERIES
+    folder = "/root/testdata/sf0.001"
+    broken = base.Rule("breaks", "1.0", lambda events: REGISTRY["ld_preload_rootkit"].findings(events).withColumn(
+        "title", F.raise_error(F.lit("broken row")).cast("string")))
+    monkeypatch.setattr(rule_queries, "_all", {})
+    monkeypatch.setattr(base, "REGISTRY", {"breaks": broken, "sshd_config_risk": REGISTRY["sshd_config_risk"]})
+    for name in ("rpt_23_findings_list", "rpt_24_findings_per_severity", "lim_5_severity_ranked", "rul_20_all_findings"):
+        with pytest.raises(RuntimeError, match="rules failed: .*breaks"):
+            QUERIES[name](spark, folder)
+    # The runner's table is about failures, and is not kept once the rule is mended.
+    assert {r.rule_name: (r.success, r.fail) for r in QUERIES["rul_20_rule_runner"](spark, folder).collect()} == {
+        "breaks": (0, 1), "sshd_config_risk": (1, 0)}
+    base.REGISTRY["breaks"] = REGISTRY["ld_preload_rootkit"]
+    assert QUERIES["rpt_24_findings_per_severity"](spark, folder).count() == 4
