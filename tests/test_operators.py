@@ -219,3 +219,18 @@ def test_key_fingerprint_of_any_bytes_even_none(spark, tmp_path):
     assert got == {i: None if t is None else digest(t) for i, t in enumerate(texts)}
     odd = spark.createDataFrame([(b,) for b in ("=", "==", "====", "a", "a===", "ab c", "YWI", None)], "b string")
     assert {r.v for r in odd.select(key_fingerprint(F.col("b")).alias("v")).collect()} == {None}
+
+
+def test_within_minutes_splits_one_window_over_tasks(spark):
+    # All events lie in half an hour, which was one bucket and so one task.
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id % 30)"
+    anchors, events = spark.range(60).selectExpr("id AS a", f"{at} AS anchor_ts"), spark.range(90).selectExpr("id", f"{at} AS timestamp_utc")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = within_minutes(anchors, events, 30).withColumn("task", F.spark_partition_id()).collect()
+        [same] = within_minutes(anchors.filter("a = 3"), events.filter("id = 33"), 0).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.a, r.id) for r in rows) == [(a, i) for a in range(60) for i in range(90)]
+    assert len({r.task for r in rows}) >= 3 and (same.a, same.id) == (3, 33)
